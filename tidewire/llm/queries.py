@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, langid, mixing, secrets
+from . import bpe, chat, fingerprints, langid, mixing, secrets, substrings
 from .common import table
 
 
@@ -44,14 +44,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op9_langid)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op8_substrings, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.SQL, "op6_mixing": mixing.taken_sql()}
+    return {"op5_chat": chat.SQL, "op6_mixing": mixing.taken_sql(), "op8_substrings": substrings.SQL}
