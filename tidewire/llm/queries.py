@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, langid, mixing, secrets, substrings
+from . import bpe, chat, fingerprints, jaccard, langid, mixing, secrets, substrings
 from .common import table
 
 
@@ -54,8 +54,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op8_substrings, op9_langid)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op8_substrings, op9_langid, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
