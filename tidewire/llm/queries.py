@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, langid, mixing, secrets, substrings
+from . import bpe, chat, fingerprints, jaccard, knn, langid, mixing, secrets, substrings
 from .common import table
 
 
+def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprints.edited(table(spark, sf_dir, "documents"))
     return made.select(
@@ -59,8 +63,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op8_substrings, op9_langid, op10_jaccard)}
+    return {f.__name__: f for f in (op1_knn, op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op8_substrings, op9_langid, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.SQL, "op6_mixing": mixing.taken_sql(), "op8_substrings": substrings.SQL}
+    return {"op1_knn": knn.SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.taken_sql(), "op8_substrings": substrings.SQL}
