@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, knn, langid, mixing, secrets, substrings
+from . import bpe, chat, fingerprints, jaccard, knn, langid, licenses, mixing, secrets, substrings
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -63,7 +67,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn, op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op8_substrings, op9_langid, op10_jaccard)}
+    return {f.__name__: f for f in (op1_knn, op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op7_licenses, op8_substrings, op9_langid, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
