@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BINS = 1 << 16
 #: Bound of the training sample, in documents.
@@ -125,8 +126,8 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarra
     return langs, freq / freq.sum(axis=0)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score and shares (the chosen languages with their proportions)."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, lang_pred, score and shares (the chosen languages with their proportions)."""
     langs, table = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((langs, table.astype(np.float32)))
 
@@ -134,7 +135,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
         langs, table = shared.value
         for b in batches:
             pred, score, shares = [], [], []
-            for text in b.column(1):
+            for text in b.column(len(keep)):
                 t = text.as_py()
                 bins, n = trigrams(t) if t else ((), ())
                 if not len(bins) or not langs:
@@ -146,6 +147,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
                 pred.append(langs[chosen[best]]), score.append(float(min(1.0, share[best])))
                 shares.append([{"lang": langs[i], "share": float(s)} for i, s in zip(chosen, share)])
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)], ["doc_id", "lang_pred", "score", "shares"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)], [*keep, "lang_pred", "score", "shares"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, shares array<struct<lang:string,share:double>>")
+    share = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
+    out = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", share)]
+    # the text to read comes last, so that it may also be one of the kept columns
+    return docs.select(*keep, F.col("text").alias("text_")).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *out]))

@@ -150,6 +150,30 @@ def shard_rows(mixed: DataFrame) -> DataFrame:
     return flat.repartition("shard").sortWithinPartitions("shard", "order")
 
 
+def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The documents as the mix takes them: one row per document and turn, with the words that were
+    drawn in it and the space between them; a text drawn whole stays as it is. doc_id is unique."""
+    turns = mixed.filter(F.size("draws") > 0).select("doc_id", "size", F.explode(turns_of(F.col("draws"))).alias("turn"))
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("turn", lambda d: F.slice(pieces, (d["word_from"] + 1).cast("int"), (d["word_to"] - d["word_from"]).cast("int")))), "")
+    words = F.aggregate("turn", F.lit(0).cast("long"), lambda a, d: a + d["word_to"] - d["word_from"])
+    text = F.when(words == F.col("size"), F.col("text")).otherwise(part)
+    out = docs.join(turns, "doc_id").withColumn("text", text)
+    return out.select(*[c for c in docs.columns])
+
+
+def turns_of(draws: Column) -> Column:
+    """Draws by turn: a turn ends where the words begin anew."""
+    empty = F.array().cast("array<array<struct<shard:int,order:bigint,word_from:bigint,word_to:bigint>>>")
+
+    def step(acc: Column, d: Column) -> Column:
+        last = F.element_at(acc, -1)
+        goes_on = (F.size(acc) > 0) & (F.element_at(last, -1)["word_from"] < d["word_from"])
+        return F.when(goes_on, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.array(d))))).otherwise(F.concat(acc, F.array(F.array(d))))
+
+    return F.aggregate(draws, empty, step)
+
+
 def taken_sql(block_words: int = BLOCK_WORDS) -> str:
     """The same result in DuckDB SQL."""
     times = "((((b * {h}) % blocks) * 65536 + (b * {l}) % blocks) % blocks)"
