@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sequences
+
+PARTS = (sequences,)
+
+
+def everything() -> dict:
+    return {name: q for part in PARTS for name, q in part.CATALOGUE.items()}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for name, q in everything().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in everything().items() if q.sql}
