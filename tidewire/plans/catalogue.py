@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sequences
+from . import gops, sequences
 
-PARTS = (sequences,)
+PARTS = (sequences, gops)
 
 
 def everything() -> dict:
