@@ -1 +1 @@
-
+"""Functions from columns to columns: scores, predicates, time bases, wire fields."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gops, sequences
+from . import gops, quality, sequences
 
-PARTS = (sequences, gops)
+PARTS = (sequences, gops, quality)
 
 
 def everything() -> dict:
