@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gops, quality, sequences
+from . import gops, policies, quality, sequences
 
-PARTS = (sequences, gops, quality)
+PARTS = (sequences, gops, quality, policies)
 
 
 def everything() -> dict:
