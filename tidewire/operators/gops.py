@@ -6,22 +6,29 @@ frame; a keyframe opens a new group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ARRIVAL = Window.partitionBy("stream_id").orderBy("arrival_idx")
-IN_GOP = Window.partitionBy("stream_id", "gop_id").orderBy("arrival_idx")
 KEYS = ("I", "IDR", "CRA", "BLA")
 
 
+def arrival() -> WindowSpec:
+    """A stream's rows in order of arrival."""
+    return Window.partitionBy("stream_id").orderBy("arrival_idx")
+
+
+def in_gop() -> WindowSpec:
+    return Window.partitionBy("stream_id", "gop_id").orderBy("arrival_idx")
+
+
 def is_key(kind: str = "frame_type") -> Column:
     return F.col(kind).isin(*KEYS)
 
 
 def segmented(packets: DataFrame) -> DataFrame:
     """Adds gop_id (0 before the first keyframe) and pos, the place in the group."""
-    frames = packets.withColumn("gop_id", F.sum(is_key().cast("int")).over(ARRIVAL))
-    return frames.withColumn("pos", (F.row_number().over(IN_GOP) - 1).cast("long"))
+    frames = packets.withColumn("gop_id", F.sum(is_key().cast("int")).over(arrival()))
+    return frames.withColumn("pos", (F.row_number().over(in_gop()) - 1).cast("long"))
 
 
 def rollup(frames: DataFrame, clock: int = 90_000) -> DataFrame:
@@ -59,7 +66,7 @@ def completion(groups: DataFrame, clock: int = 90_000) -> DataFrame:
 
 def droppable(frames: DataFrame) -> DataFrame:
     """Adds can_drop: B frames always, keyframes never, P frames unless a B frame comes next."""
-    after = F.lead("frame_type").over(IN_GOP)
+    after = F.lead("frame_type").over(in_gop())
     return frames.withColumn("can_drop", F.when(is_key(), False).when(F.col("frame_type") == "B", True).when(F.col("frame_type") == "P", ~F.coalesce(after == "B", F.lit(False))).otherwise(False))
 
 

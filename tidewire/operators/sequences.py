@@ -8,11 +8,17 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ARRIVAL = Window.partitionBy("stream_id").orderBy("arrival_idx")
-BEFORE = ARRIVAL.rowsBetween(Window.unboundedPreceding, -1)
+
+def arrival() -> WindowSpec:
+    """A stream's rows in order of arrival."""
+    return Window.partitionBy("stream_id").orderBy("arrival_idx")
+
+
+def before() -> WindowSpec:
+    return arrival().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def signed(delta: Column, bits: int) -> Column:
@@ -24,7 +30,7 @@ def signed(delta: Column, bits: int) -> Column:
 def sequence_steps(packets: DataFrame, most: int = 100) -> DataFrame:
     """Adds delta (signed distance to the packet before) and what it means: first, duplicate, next,
     loss, reordered or reset."""
-    delta = signed(F.col("seq").cast("long") - F.lag("seq").over(ARRIVAL), 16)
+    delta = signed(F.col("seq").cast("long") - F.lag("seq").over(arrival()), 16)
     kind = (
         F.when(F.col("delta").isNull(), "first").when(F.col("delta") == 0, "duplicate").when(F.col("delta") == 1, "next")
         .when((F.col("delta") > 1) & (F.col("delta") < most), "loss").when((F.col("delta") < 0) & (F.col("delta") > -most), "reordered").otherwise("reset")
@@ -34,9 +40,9 @@ def sequence_steps(packets: DataFrame, most: int = 100) -> DataFrame:
 
 def extended(packets: DataFrame) -> DataFrame:
     """Adds ext, the sequence number with its wraps counted in, and high, the highest before."""
-    delta = signed(F.col("seq").cast("long") - F.lag("seq").over(ARRIVAL), 16)
-    ext = F.first(F.col("seq").cast("long")).over(ARRIVAL) + F.sum(F.coalesce(F.col("d"), F.lit(0))).over(ARRIVAL)
-    return packets.withColumn("d", delta).withColumn("ext", ext).withColumn("high", F.max("ext").over(BEFORE)).drop("d")
+    delta = signed(F.col("seq").cast("long") - F.lag("seq").over(arrival()), 16)
+    ext = F.first(F.col("seq").cast("long")).over(arrival()) + F.sum(F.coalesce(F.col("d"), F.lit(0))).over(arrival())
+    return packets.withColumn("d", delta).withColumn("ext", ext).withColumn("high", F.max("ext").over(before())).drop("d")
 
 
 def loss_statistics(packets: DataFrame) -> DataFrame:
@@ -62,9 +68,9 @@ def lost_sequences(packets: DataFrame) -> DataFrame:
 def unwrapped(packets: DataFrame, column: str, bits: int, to: str) -> DataFrame:
     """Adds ``to``: a counter of so many bits made continuous, from its first value on."""
     span = 1 << bits
-    step = F.lag(column).over(ARRIVAL) - F.col(column)
+    step = F.lag(column).over(arrival()) - F.col(column)
     turn = F.when(step > span // 2, 1).when(step < -(span // 2), -1).otherwise(0)
-    return packets.withColumn("turn", turn).withColumn(to, F.col(column) + F.sum("turn").over(ARRIVAL) * span).drop("turn")
+    return packets.withColumn("turn", turn).withColumn(to, F.col(column) + F.sum("turn").over(arrival()) * span).drop("turn")
 
 
 def jitter(packets: DataFrame, clock: int = 90_000) -> DataFrame:
@@ -72,7 +78,7 @@ def jitter(packets: DataFrame, clock: int = 90_000) -> DataFrame:
     The fold holds one stream's transit times (16 bytes a packet) at a time."""
     common = gcd(clock, 1_000_000)  # so that microseconds of the epoch times the clock stay in 64 bits
     transit = F.expr(f"capture_us * {clock // common} div {1_000_000 // common}") - F.col("ts")
-    steps = unwrapped(packets, "rtp_ts", 32, "ts").withColumn("transit", transit).withColumn("d", F.abs(F.col("transit") - F.lag("transit").over(ARRIVAL)).cast("double"))
+    steps = unwrapped(packets, "rtp_ts", 32, "ts").withColumn("transit", transit).withColumn("d", F.abs(F.col("transit") - F.lag("transit").over(arrival())).cast("double"))
     folded = steps.filter("d is not null").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("arrival_idx", "d"))).alias("ds"))
     zero = F.struct(F.lit(0.0).alias("j"), F.lit(0.0).alias("most"))
 
@@ -85,16 +91,16 @@ def jitter(packets: DataFrame, clock: int = 90_000) -> DataFrame:
 
 def playout(packets: DataFrame, delay_us: int = 50_000, clock: int = 90_000) -> DataFrame:
     """When the jitter buffer releases each packet, and whether it came too late for that."""
-    base = F.first("capture_us").over(ARRIVAL)
+    base = F.first("capture_us").over(arrival())
     at = base + F.expr(f"(ts - first_ts) * 1000000 div {clock}") + delay_us
-    rows = unwrapped(packets, "rtp_ts", 32, "ts").withColumn("first_ts", F.first("ts").over(ARRIVAL)).withColumn("playout_us", at)
+    rows = unwrapped(packets, "rtp_ts", 32, "ts").withColumn("first_ts", F.first("ts").over(arrival())).withColumn("playout_us", at)
     return rows.withColumn("late", F.col("capture_us") > F.col("playout_us"))
 
 
 def continuity(packets: DataFrame) -> DataFrame:
     """Continuity counters (modulo 16) per stream: packets, repeats and breaks."""
     cc = F.pmod(F.col("seq"), F.lit(16))
-    step = F.pmod(cc - F.lag(cc).over(ARRIVAL), F.lit(16))
+    step = F.pmod(cc - F.lag(cc).over(arrival()), F.lit(16))
     rows = packets.withColumn("step", step)
     return rows.groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.count_if(F.col("step") == 0).alias("repeats"), F.count_if(F.col("step") > 1).alias("breaks"))
 

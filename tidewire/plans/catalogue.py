@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gops, policies, quality, sequences
+from . import gops, live, policies, quality, sequences, wire
 
-PARTS = (sequences, gops, quality, policies)
+PARTS = (sequences, gops, quality, policies, wire, live)
 
 
 def everything() -> dict:

@@ -115,7 +115,7 @@ def corrupted_tails(spark, sf_dir):
 s AS (SELECT stream_id, gop_id, bool_or(pos = 0 AND frame_type = 'IDR') AS starts_with_key, count(*) FILTER (WHERE dts <= before) AS dts_steps_back, count(*) FILTER (WHERE pts <= pts_before) AS pts_steps_back, count(*) FILTER (WHERE dts <> before + 3000) AS gaps FROM l GROUP BY stream_id, gop_id)
 SELECT stream_id, gop_id, starts_with_key, dts_steps_back, pts_steps_back, starts_with_key AND dts_steps_back = 0 AS valid, CAST(round(greatest(0.0, 1.0 - CASE WHEN starts_with_key THEN 0.0 ELSE 0.3 END - gaps * 0.1), 6) AS DOUBLE) AS health FROM s""")
 def gop_validation(spark, sf_dir):
-    rows = frames(spark, sf_dir).withColumn("before", F.lag("dts").over(op.IN_GOP)).withColumn("pts_before", F.lag("pts").over(op.IN_GOP))
+    rows = frames(spark, sf_dir).withColumn("before", F.lag("dts").over(op.in_gop())).withColumn("pts_before", F.lag("pts").over(op.in_gop()))
     out = rows.groupBy("stream_id", "gop_id").agg(F.bool_or((F.col("pos") == 0) & op.is_key()).alias("starts_with_key"), F.count_if(F.col("dts") <= F.col("before")).alias("dts_steps_back"), F.count_if(F.col("pts") <= F.col("pts_before")).alias("pts_steps_back"), F.count_if(F.col("dts") != F.col("before") + 3000).alias("gaps"))
     health = F.greatest(F.lit(0.0), 1.0 - F.when(F.col("starts_with_key"), 0.0).otherwise(0.3) - F.col("gaps") * 0.1)
     return out.select("stream_id", "gop_id", "starts_with_key", "dts_steps_back", "pts_steps_back", (F.col("starts_with_key") & (F.col("dts_steps_back") == 0)).alias("valid"), F.round(health, 6).alias("health"))
@@ -168,7 +168,7 @@ def gop_merge(spark, sf_dir):
 SELECT r.stream_id, r.gop_id, count(*) FILTER (WHERE r.ref IS NOT NULL AND f.event_id IS NULL) AS open_references FROM r LEFT JOIN f ON f.stream_id = r.stream_id AND f.gop_id = r.gop_id AND f.event_id = r.ref GROUP BY r.stream_id, r.gop_id""")
 def gop_references(spark, sf_dir):
     rows = frames(spark, sf_dir)
-    rows = rows.withColumn("one", F.lag("event_id").over(op.ARRIVAL)).withColumn("two", F.lag("event_id", 2).over(op.ARRIVAL))
+    rows = rows.withColumn("one", F.lag("event_id").over(op.arrival())).withColumn("two", F.lag("event_id", 2).over(op.arrival()))
     refs = rows.select("stream_id", "gop_id", F.explode(F.array("one", "two")).alias("ref"))
     have = rows.select("stream_id", "gop_id", F.col("event_id").alias("ref"), F.lit(True).alias("held"))
     return refs.join(have, ["stream_id", "gop_id", "ref"], "left").groupBy("stream_id", "gop_id").agg(F.count_if(F.col("ref").isNotNull() & F.col("held").isNull()).alias("open_references"))
@@ -184,7 +184,7 @@ def recovery_points(spark, sf_dir):
 
 @add(170, sql=WITH + ", l AS (SELECT stream_id, arrival_idx, pts < lag(pts) OVER (PARTITION BY stream_id ORDER BY arrival_idx) AS back FROM packets WHERE arrival_idx <= 30) SELECT stream_id, coalesce(bool_or(back), false) AS has_b_frames FROM l GROUP BY stream_id")
 def b_frame_detection(spark, sf_dir):
-    rows = packets(spark, sf_dir).filter("arrival_idx <= 30").withColumn("back", F.col("pts") < F.lag("pts").over(op.ARRIVAL))
+    rows = packets(spark, sf_dir).filter("arrival_idx <= 30").withColumn("back", F.col("pts") < F.lag("pts").over(op.arrival()))
     return rows.groupBy("stream_id").agg(F.coalesce(F.bool_or("back"), F.lit(False)).alias("has_b_frames"))
 
 
@@ -217,7 +217,7 @@ SELECT stream_id, event_id, dts, CAST(row_number() OVER (PARTITION BY stream_id
 def decode_order(spark, sf_dir):
     """Frames by decode time, without those that come after a later frame must have left a buffer of
     depth three."""
-    sent = F.max("dts").over(op.ARRIVAL.rowsBetween(Window.unboundedPreceding, -4))
+    sent = F.max("dts").over(op.arrival().rowsBetween(Window.unboundedPreceding, -4))
     rows = packets(spark, sf_dir).withColumn("sent", sent).filter(F.col("sent").isNull() | (F.col("dts") > F.col("sent")))
     return rows.select("stream_id", "event_id", "dts", F.row_number().over(Window.partitionBy("stream_id").orderBy("dts")).cast("long").alias("out_idx"))
 
@@ -225,5 +225,5 @@ def decode_order(spark, sf_dir):
 @add(208, 209, sql=WITH + """, s AS (SELECT *, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY arrival_idx) AS frame_no FROM packets)
 SELECT stream_id, CAST(frame_no AS BIGINT) AS frame_no, count(*) AS packets, CAST(sum(size) AS BIGINT) AS size, max(capture_us) - min(capture_us) > 200000 AS corrupted FROM s WHERE frame_no > 0 GROUP BY stream_id, frame_no""")
 def frame_assembly(spark, sf_dir):
-    rows = packets(spark, sf_dir).withColumn("frame_no", F.sum((F.col("event_id") % 3 == 0).cast("int")).over(op.ARRIVAL)).filter("frame_no > 0")
+    rows = packets(spark, sf_dir).withColumn("frame_no", F.sum((F.col("event_id") % 3 == 0).cast("int")).over(op.arrival())).filter("frame_no > 0")
     return rows.groupBy("stream_id", "frame_no").agg(F.count(F.lit(1)).alias("packets"), F.sum("size").alias("size"), (F.max("capture_us") - F.min("capture_us") > 200_000).alias("corrupted"))

@@ -33,7 +33,7 @@ def token_bucket(spark, sf_dir):
 @add(160, sql=WITH + """, t AS (SELECT stream_id, arrival_idx, (size % 101) / 100.0 AS p FROM packets), h AS (SELECT *, list(p) OVER (PARTITION BY stream_id ORDER BY arrival_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ps FROM t)
 SELECT stream_id, arrival_idx, CAST(round(list_sum([ps[i] * i for i in range(1, len(ps) + 1)]) / (len(ps) * (len(ps) + 1) / 2), 6) AS DOUBLE) AS smoothed FROM h""")
 def smoothed_pressure(spark, sf_dir):
-    last = seq.ARRIVAL.rowsBetween(-9, 0)
+    last = seq.arrival().rowsBetween(-9, 0)
     rows = packets(spark, sf_dir).withColumn("ps", F.collect_list((F.col("size") % 101) / 100.0).over(last))
     total = F.aggregate(F.transform("ps", lambda p, i: p * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return rows.select("stream_id", "arrival_idx", F.round(total / (F.size("ps") * (F.size("ps") + 1) / 2), 6).alias("smoothed"))

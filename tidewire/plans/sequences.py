@@ -53,7 +53,7 @@ def lost_sequences(spark, sf_dir):
 
 @add(34, 35, sql=_TS + "SELECT stream_id, arrival_idx, ts - first_value(ts) OVER (PARTITION BY stream_id ORDER BY arrival_idx) AS pts, ts - first_value(ts) OVER (PARTITION BY stream_id ORDER BY arrival_idx) - CASE WHEN frame_type = 'B' THEN 6000 ELSE 0 END AS dts FROM u")
 def rtp_timestamps(spark, sf_dir):
-    rows = op.unwrapped(packets(spark, sf_dir), "rtp_ts", 32, "ts").withColumn("pts", F.col("ts") - F.first("ts").over(op.ARRIVAL))
+    rows = op.unwrapped(packets(spark, sf_dir), "rtp_ts", 32, "ts").withColumn("pts", F.col("ts") - F.first("ts").over(op.arrival()))
     return rows.select("stream_id", "arrival_idx", "pts", (F.col("pts") - F.when(F.col("frame_type") == "B", 6000).otherwise(0)).alias("dts"))
 
 
@@ -63,7 +63,7 @@ _PTS = WITH + ", p AS (SELECT stream_id, arrival_idx, (pts + 8589900000) % 85899
 @add(41, 195, 196, sql=_PTS + "SELECT stream_id, arrival_idx, wire, CAST(wire + sum(CASE WHEN before - wire > 4294967296 THEN 1 WHEN before - wire < -4294967296 THEN -1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY arrival_idx) * 8589934592 AS BIGINT) AS pts, coalesce(abs(wire - before) > 90000 AND abs(wire - before) < 4294967296, false) AS discontinuity FROM q")
 def pts_wraps(spark, sf_dir):
     rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", F.pmod(F.col("pts") + 8589900000, F.lit(1 << 33)).alias("wire"))
-    jump = F.abs(F.col("wire") - F.lag("wire").over(op.ARRIVAL))
+    jump = F.abs(F.col("wire") - F.lag("wire").over(op.arrival()))
     return op.unwrapped(rows, "wire", 33, "pts").withColumn("discontinuity", F.coalesce((jump > 90000) & (jump < 1 << 32), F.lit(False)))
 
 
@@ -138,5 +138,5 @@ def loss_windows(spark, sf_dir):
 
 @add(228, sql=_TS + ", j AS (SELECT stream_id, arrival_idx, ts - lag(ts) OVER (PARTITION BY stream_id ORDER BY arrival_idx) AS step FROM u) SELECT stream_id, arrival_idx, step, CASE WHEN abs(step) > 90000 THEN 'high' ELSE 'medium' END AS severity FROM j WHERE abs(step) > 9000")
 def timestamp_jumps(spark, sf_dir):
-    rows = op.unwrapped(packets(spark, sf_dir), "rtp_ts", 32, "ts").withColumn("step", F.col("ts") - F.lag("ts").over(op.ARRIVAL))
+    rows = op.unwrapped(packets(spark, sf_dir), "rtp_ts", 32, "ts").withColumn("step", F.col("ts") - F.lag("ts").over(op.arrival()))
     return rows.filter(F.abs("step") > 9000).select("stream_id", "arrival_idx", "step", F.when(F.abs("step") > 90000, "high").otherwise("medium").alias("severity"))
