@@ -7,6 +7,8 @@ state, however many rows a key has.
 
 from __future__ import annotations
 
+import heapq
+
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -171,3 +173,108 @@ def alert_deduplication(rows: DataFrame, pause_us: int, key: str = "alert", at:
         return (new,)
 
     return ordered_fold(rows, key, list(order), lambda: {"at": None}, step, _fields(sent=T.BooleanType()))
+
+
+def checked_packets(rows: DataFrame, most_gap: int = 100, most_jump: int = 60 * 90_000, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
+    """Adds problem for columns seq and rtp_ts: a sequence gap or a time jump beyond its limit
+    rejects the row and leaves the state as it was."""
+    def step(s: dict, r: dict) -> tuple:
+        if s["seq"] is not None:
+            gap = (r["seq"] - s["seq"] + 32768) % 65536 - 32768
+            jump = (r["rtp_ts"] - s["ts"] + (1 << 31)) % (1 << 32) - (1 << 31)
+            if abs(gap) > most_gap:
+                return ("gap",)
+            if abs(jump) > most_jump:
+                return ("jump",)
+        s["seq"], s["ts"] = r["seq"], r["rtp_ts"]
+        return (None,)
+
+    return ordered_fold(rows, key, list(order), lambda: {"seq": None, "ts": None}, step, _fields(problem=T.StringType()))
+
+
+def reordered(rows: DataFrame, depth: int, key: str = "stream_id") -> DataFrame:
+    """stream_id, event_id, dts, out: frames as a buffer of so many frames releases them by decode
+    time. A frame whose time has passed when it comes is dropped; a keyframe empties the buffer; what
+    is left at the end of a stream is released last. The state is the buffer."""
+    shipped(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heap, last, n = object(), [], None, 0
+        for b in batches:
+            out: list[tuple] = []
+
+            def release(k: int) -> None:
+                nonlocal last, n
+                while len(heap) > k:
+                    dts, event = heapq.heappop(heap)
+                    out.append((now, event, dts, n))
+                    last, n = dts, n + 1
+
+            for r in b.to_pylist():
+                if r[key] != now:
+                    release(0)
+                    now, last, n = r[key], None, 0
+                if last is not None and r["dts"] <= last:
+                    continue
+                if r["frame_type"] == "IDR":
+                    release(0)
+                heapq.heappush(heap, (r["dts"], r["event_id"]))
+                release(depth)
+            yield batch(out)
+        out = []
+        while heap:
+            dts, event = heapq.heappop(heap)
+            out.append((now, event, dts, n))
+            n += 1
+        yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], [key, "event_id", "dts", "out"])
+
+    return rows.repartition(key).sortWithinPartitions(key, "arrival_idx").mapInArrow(run, f"{key} long, event_id long, dts long, out long")
+
+
+def memory_limit(rows: DataFrame, most: int, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
+    """Adds granted and used for a column change: what would go over the limit is refused, what is
+    given back always counts."""
+    def step(s: dict, r: dict) -> tuple:
+        ok = r["change"] <= 0 or s["used"] + r["change"] <= most
+        if ok:
+            s["used"] = max(0, s["used"] + r["change"])
+        return ok, s["used"]
+
+    return ordered_fold(rows, key, list(order), lambda: {"used": 0}, step, _fields(granted=T.BooleanType(), used=T.LongType()))
+
+
+def cached(rows: DataFrame, most: int, ttl_us: int, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
+    """Adds hit for columns entry and capture_us: a cache of so many entries, the least recently used
+    of which goes first, and of which none lives longer than its time."""
+    def step(s: dict, r: dict) -> tuple:
+        held = s["held"]
+        born = held.pop(r["entry"], None)
+        hit = born is not None and r["capture_us"] - born <= ttl_us
+        held[r["entry"]] = born if hit else r["capture_us"]
+        if len(held) > most:
+            del held[next(iter(held))]
+        return (hit,)
+
+    return ordered_fold(rows, key, list(order), lambda: {"held": {}}, step, _fields(hit=T.BooleanType()))
+
+
+def drift_corrected(samples: DataFrame, limit_us: int = 40_000, share: float = 0.1, most_us: int = 5_000, pause_us: int = 100_000, last: int = 100) -> DataFrame:
+    """Adds offset_us and corrections for drift samples: once ten samples are there, and not more
+    often than the pause, a tenth of the mean drift, at most a step, moves the audio offset; later
+    samples see it."""
+    def step(s: dict, r: dict) -> tuple:
+        drift = r["drift_us"] - s["offset"]
+        seen = s["seen"]
+        seen.append(drift)
+        del seen[:-last]
+        if abs(drift) > limit_us and len(seen) >= 10 and (s["at"] is None or r["capture_us"] - s["at"] > pause_us):
+            mean = int(sum(seen) / len(seen))
+            if abs(mean) >= limit_us // 2:
+                move = max(-most_us, min(most_us, int(mean * share)))
+                s["offset"], s["at"], s["n"] = s["offset"] - move, r["capture_us"], s["n"] + 1
+        return s["offset"], s["n"]
+
+    return ordered_fold(samples, "stream_id", ["capture_us", "event_id"], lambda: {"offset": 0, "seen": [], "at": None, "n": 0}, step, _fields(offset_us=T.LongType(), corrections=T.LongType()))
