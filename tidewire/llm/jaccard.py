@@ -40,7 +40,9 @@ WIDTH = 5
 PERCENT = 80
 #: Leading tokens of this many documents and more are common; at most HOT_MOST of them are kept.
 HOT, HOT_MOST = 32, 1 << 18
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
+#: Pairs of documents held at once under the tokens of a batch.
+PAIRS_AT_ONCE = 1 << 18
 #: Up to this many ids of documents to compare are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -72,12 +74,6 @@ def set_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, tokens, bounds in token_sets(batches):
-        k1, k2 = set_keys(tokens, bounds)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2)], ["doc", "n", "k1", "k2"])
-
-
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of a set of n tokens with any set that reaches the threshold."""
     return -(-percent * n // 100)
@@ -98,47 +94,118 @@ def _take(bounds: np.ndarray, docs: np.ndarray, most: np.ndarray) -> tuple[np.nd
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + bounds[docs][which], which
 
 
+def _order(tokens: np.ndarray, which: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Each document's tokens with the rare ones first."""
+    return np.lexsort((tokens, common, which))
+
+
+def _is_common(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(tokens), bool)
+    return hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+
+
+def _wide(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens over which common ones are counted: half as many again as lead."""
+    return (n - _needed(n, percent) + 1) * 3 // 2 + 1
+
+
 def common_tokens(docs: DataFrame, percent: int) -> np.ndarray:
-    """Tokens that lead in ``HOT`` and more documents (distinct sets of each task), most common
-    first, at most HOT_MOST; sorted. Counted over half as many tokens again as lead."""
+    """Tokens that lead in ``HOT`` and more documents (distinct sets of each task), sorted; at most
+    HOT_MOST, the most common ones, from each of two rounds. The first counts the leading tokens
+    by hash; the second, with the first's common tokens put last, counts the ones that move up,
+    and all tokens of documents whose lead was mostly common."""
+    def counts(tokens: np.ndarray) -> pa.RecordBatch:
+        token, count = np.unique(tokens, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "n"])
+
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, tokens, bounds in token_sets(batches):
+            own = _own(tokens, bounds)
+            at, _ = _take(bounds, own, _wide(np.diff(bounds)[own], percent))
+            yield counts(tokens[at])
+
+    def kept(rows: DataFrame) -> np.ndarray:
+        counted = rows.groupBy("token").agg(F.sum("n").alias("n"))
+        hot = counted.filter(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(HOT_MOST).select("token").toPandas()["token"]
+        return np.sort(hot.to_numpy(np.int64).view(np.uint64))
+
+    texts = docs.select("doc_id", "text")
+    first = kept(texts.mapInArrow(lead, "token long, n long"))
+    if not len(first):
+        return first
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, bounds in token_sets(batches):
             own = _own(tokens, bounds)
             n = np.diff(bounds)[own]
-            at, _ = _take(bounds, own, (n - _needed(n, percent) + 1) * 3 // 2 + 1)
-            token, count = np.unique(tokens[at], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "n"])
+            wide = _wide(n, percent)
+            at, which = _take(bounds, own, n)
+            token = tokens[at]
+            place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            common = _is_common(token, shared.value)
+            mostly = np.bincount(which, weights=common & (place < wide[which]), minlength=len(own)) * 2 > np.minimum(wide, n)
+            order = _order(token, which, common)
+            new = (place[order] >= wide[which[order]]) & ~common[order]  # not counted before
+            new &= (place < wide[which]) | mostly[which]  # places, in the new order
+            yield counts(token[order][new])
+
+    return np.union1d(first, kept(texts.mapInArrow(moved, "token long, n long")))
+
 
-    counted = docs.select("doc_id", "text").mapInArrow(lead, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    hot = counted.filter(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(HOT_MOST).select("token").toPandas()["token"]
-    return np.sort(hot.to_numpy(np.int64).view(np.uint64))
+def _leads(batches: Iterator[pa.RecordBatch], percent: int, hot: np.ndarray) -> Iterator[tuple]:
+    """For groups of documents: ids, tokens and bounds; then, for the lead of each distinct set, the
+    token, its document (place in the group), whether it is common, and by document how many are."""
+    for ids, tokens, bounds in token_sets(batches):
+        own = _own(tokens, bounds)
+        n = np.diff(bounds)[own]
+        at, which = _take(bounds, own, n)
+        token = tokens[at]
+        common = _is_common(token, hot)
+        order = _order(token, which, common)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+        order = order[place < (n - _needed(n, percent) + 1)[which]]
+        token, which, common = token[order], which[order], common[order]
+        many = np.bincount(which, weights=common, minlength=len(own)).astype(np.int64)
+        yield ids, tokens, bounds, token, own[which], common, many[which]
 
 
 def matrix_rows(docs: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
-    """The matrix: token, doc, n (set size), lead (length of its lead), common (how many of the
-    lead are common tokens) and is_common, one row for each leading token of each distinct set."""
+    """The matrix by rare tokens: token, doc, n (set size) and common (how many of the document's leading tokens
+    are common), one row for each rare leading token of each distinct set."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        for ids, tokens, bounds in token_sets(batches):
-            own = _own(tokens, bounds)
-            sizes = np.diff(bounds)
-            at, which = _take(bounds, own, sizes[own])
-            token = tokens[at]
-            place = np.searchsorted(hot, token)
-            common = hot[np.minimum(place, len(hot) - 1)] == token if len(hot) else np.zeros(len(token), bool)
-            order = np.lexsort((token, common, which))
-            token, which, common = token[order], which[order], common[order]
-            n = sizes[own]
-            lead = n - _needed(n, percent) + 1
-            rank = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-            keep = rank < lead[which]
-            token, which, common = token[keep], which[keep], common[keep]
-            many = np.bincount(which, weights=common, minlength=len(own)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[own][which]), pa.array(n[which].astype(np.int32)), pa.array(many[which]), pa.array(common)], ["token", "doc", "n", "common", "is_common"])
+        for ids, _, bounds, token, doc, common, many in _leads(batches, percent, shared.value):
+            rare = ~common
+            n = np.diff(bounds).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(token[rare].view(np.int64)), pa.array(ids[doc[rare]]), pa.array(n[doc[rare]]), pa.array(many[rare].astype(np.int32))], ["token", "doc", "n", "common"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "token long, doc long, n int, common int")
+
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "token long, doc long, n int, common int, is_common boolean")
+def sizes_and_families(docs: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
+    """Two kinds of rows from one reading: the size and keys of every document's set (token is null),
+    and the matrix by common tokens. Rare tokens come first in a lead, so common ones are in it only
+    if the rare ones of the set are too few to fill it; sets that share no rare token at all can
+    reach the threshold only among these."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "n", "k1", "k2", "token", "common"]
+        for ids, tokens, bounds, token, doc, common, many in _leads(batches, percent, shared.value):
+            n = np.diff(bounds)
+            k1, k2 = set_keys(tokens, bounds)
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(k1), pa.array(k2), none, none], names)
+            size = n[doc]
+            keep = common
+            if keep.any():
+                none = pa.nulls(int(keep.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[keep]]), pa.array(size[keep]), none, none, pa.array(token[keep].view(np.int64)), pa.array(many[keep])], names)
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc long, n long, k1 long, k2 long, token long, common long")
 
 
 def _pairs_met(percent: int):
@@ -165,27 +232,33 @@ def _pairs_met(percent: int):
 
     def met(token, table):
         doc, n, common = (table[c].to_numpy().astype(np.int64) for c in ("doc", "n", "common"))
-        edge = np.concatenate(([True], token[1:] != token[:-1]))
-        start = np.flatnonzero(edge)
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         length = np.diff(np.append(start, len(token)))
-        left, right = [], []
-        place = np.arange(len(token))
         reach = np.repeat(start + length, length)
-        for step in range(1, int(length.max())):
-            x = place[place + step < reach]
-            if not len(x):
-                break
-            left.append(x)
-            right.append(x + step)
-        if not left:
-            return
-        a, b = np.concatenate(left), np.concatenate(right)
+        left, right, held = [], [], 0
+        place = np.flatnonzero(np.arange(len(token)) + 1 < reach)
+        step = 1
+        while len(place):
+            for i in range(0, len(place), PAIRS_AT_ONCE):
+                a = place[i : i + PAIRS_AT_ONCE]
+                left.append(a)
+                right.append(a + step)
+                held += len(a)
+                if held >= PAIRS_AT_ONCE:
+                    yield from flushed(np.concatenate(left), np.concatenate(right), doc, n, common)
+                    left, right, held = [], [], 0
+            step += 1
+            place = place[place + step < reach[place]]
+        if left:
+            yield from flushed(np.concatenate(left), np.concatenate(right), doc, n, common)
+
+    def flushed(a, b, doc, n, common):
         fits = (doc[a] != doc[b]) & (np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b]))
         a, b = a[fits], b[fits]
-        swap = doc[a] > doc[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
         if not len(a):
             return
+        swap = doc[a] > doc[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
         order = np.lexsort((doc[b], doc[a]))
         a, b = a[order], b[order]
         new = np.flatnonzero(np.concatenate(([True], (doc[a][1:] != doc[a][:-1]) | (doc[b][1:] != doc[b][:-1]))))
@@ -227,36 +300,35 @@ def opened_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(wanted.mapInArrow(run, "doc long, tokens array<long>").dropDuplicates(["doc"]), "sets")
 
 
-def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of documents that link and whose links connect all that is connected."""
-    hot = common_tokens(docs, percent)
-    matrix = matrix_rows(docs, percent, hot)
-    rare = matrix.filter(~F.col("is_common")).select("token", "doc", "n", "common")
-    dense = written(matrix.filter("is_common").select("token", "doc", "n", "common").filter(
-        # only documents whose common leading tokens alone can carry a pair to the threshold
-        F.col("common") >= _reach(F.col("n"), F.ceil(F.col("n") * percent / 100), percent) - _rest(F.col("n"), percent)), "dense")
-
+def links(docs: DataFrame, percent: int, hot: np.ndarray, dense: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents that link and whose links connect all that is connected. ``dense``
+    has the matrix rows of common tokens."""
+    rare = matrix_rows(docs, percent, hot)
     met = rare.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs_met(percent), "a long, b long, na long, nb long, ca long, cb long, met long")
     counted = met.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb", "ca", "cb")], F.sum("met").alias("met"))
     bound = F.col("met") + F.least("ca", "cb") + F.greatest(_rest(F.col("na"), percent), _rest(F.col("nb"), percent))
-    pairs = counted.filter(bound >= _reach(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    pairs = written(counted.filter(bound >= _reach(F.col("na"), F.col("nb"), percent)).select("a", "b"), "pairs")
 
     # families: each list of a common token gets the member with the largest share of common tokens as its leader
     first = dense.groupBy("token").agg(F.min(F.struct((-F.col("common") / F.col("n")).alias("s"), "doc", "n")).alias("l")).select("token", F.col("l.doc").alias("leader"), F.col("l.n").alias("leader_n"))
     stars = dense.join(first, "token").filter((F.col("doc") != F.col("leader")) & (F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent))
     stars = stars.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-    pairs = written(pairs.unionByName(stars).distinct(), "pairs")
 
     listed = dense.select("doc").distinct()
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(listed).distinct(), "ids")
-    sets = opened_sets(docs, ids)
-    found = written(compared(pairs, sets, percent), "compared")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(listed).distinct()
+    sets = opened_sets(docs, written(ids, "ids"))
+    # one pair a document first; pairs inside the groups that these make need no comparison
+    seeds = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(stars).distinct(), "seeds")
+    found = written(compared(seeds, sets, percent), "compared")
     linked = found.filter("links").select("a", "b")
+    group = written(components(linked), "groups")
+    ga, gb = (group.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")) for c in ("a", "b"))
+    rest = pairs.join(seeds, ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left").filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
+    linked = linked.unionByName(written(compared(rest, sets, percent).filter("links").select("a", "b"), "more"))
     if dense.isEmpty():
         return linked
 
     # what is left of the families: members outside the component of their list's leader
-    group = written(components(linked), "groups")
     named = dense.join(group.withColumnRenamed("node", "doc"), "doc", "left").withColumn("group", F.coalesce("component", "doc"))
     heads = first.join(group.withColumnRenamed("node", "leader"), "leader", "left").select("token", "leader", F.coalesce("component", "leader").alias("head"))
     distance = found.select("a", "b", (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
@@ -264,22 +336,40 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = named.join(heads, "token").join(distance.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "d"), ["doc", "leader"], "left")
     named = written(named.select("token", "doc", "n", "group", "head", F.when(F.col("doc") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d")), "named")
     out = named.filter("group <> head").select("token", F.col("doc").alias("u"), F.col("n").alias("un"), F.col("group").alias("ug"), F.col("d").alias("ud"), "head")
-    if out.isEmpty():
+    # the bound for a member outside: how many of its tokens the union of all others in families
+    # holds, against the overlap that even the smallest of them asks for
+    union = sets.join(listed, "doc", "left_semi").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("t")
+    smallest = out.join(named.groupBy("token").agg(F.min("n").alias("least")), "token").groupBy("u", "un").agg(F.min("least").alias("least"))
+    held = sets.withColumnRenamed("doc", "u").join(smallest, "u").select("u", "un", "least", F.explode("tokens").alias("t")).join(union, "t").groupBy("u", "un", "least").agg(F.count(F.lit(1)).alias("held"))
+    asked = _reach(F.col("un"), F.greatest("least", F.ceil(F.col("un") * percent / 100)), percent)
+    opened = written(held.filter(F.col("held") >= asked).select("u"), "opened")
+    if opened.isEmpty():
         return linked
+    out = out.join(opened, "u", "left_semi")
+    named = named.filter("group = head").unionByName(named.filter("group <> head").join(opened.withColumnRenamed("u", "doc"), "doc", "left_semi").select(*named.columns))
     near = (F.least("n", "un") * 100 >= F.greatest("n", "un") * percent) & F.coalesce(F.abs(F.col("d") - F.col("ud")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    # two members that are both outside meet once
-    more = named.drop("head").join(out, "token").filter((F.col("group") != F.col("ug")) & near & ((F.col("group") == F.col("head")) | (F.col("doc") < F.col("u"))))
+    # a pair meets under the first common token that leads in both, and needs enough of them; two members
+    # that are both outside meet once
+    leads = named.groupBy("doc").agg(F.collect_list("token").alias("lead"))
+    both = F.array_intersect("lead", "ulead")
+    reach = _reach(F.col("n"), F.col("un"), percent) - F.greatest(_rest(F.col("n"), percent), _rest(F.col("un"), percent))
+    sides = (F.col("group") == F.col("head")) | (F.col("doc") < F.col("u"))
+    left, right = named.drop("head").join(leads, "doc"), out.join(leads.select(F.col("doc").alias("u"), F.col("lead").alias("ulead")), "u").withColumnRenamed("token", "token2")
+    more = left.join(right, (F.col("token") == F.col("token2")) & (F.col("group") != F.col("ug")) & near & sides & (F.size(both) >= reach) & (F.array_min(both) == F.col("token")))
     more = more.select(F.least("doc", "u").alias("a"), F.greatest("doc", "u").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return linked.unionByName(compared(more, sets, percent).filter("links").select("a", "b"))
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    sized = written(docs.select("doc_id", "text").mapInArrow(_sizes, "doc long, n long, k1 long, k2 long"), "sizes")
+    hot = common_tokens(docs, percent)
+    both = written(sizes_and_families(docs, percent, hot), "sizes")
+    sized = both.filter("token is null").select("doc", "n", "k1", "k2")
+    dense = both.filter("token is not null").select("token", "doc", "n", "common")
     first = sized.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("first"))
     same = sized.join(first, ["k1", "k2", "n"], "left").select("doc", "n", F.coalesce("first", "doc").alias("first"))
     copies = same.filter("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    found = components(links(docs, percent).unionByName(copies))
+    found = components(links(docs, percent, hot, dense).unionByName(copies))
     rows = sized.select("doc", "n").join(found, F.col("doc") == F.col("node"), "left")
     rows = rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     return rows.unionByName(docs.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
