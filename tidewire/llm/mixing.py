@@ -99,7 +99,7 @@ def place(block: Column, blocks: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, block_words: int = BLOCK_WORDS, shards: int = 16, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target and draws: what the mix takes from each document, an
-    array of (shard, order, word_from, word_to), words from 0, word_to exclusive. A shard's
+    array of (shard, order, word_from, word_to, turn), words from 0, word_to exclusive, by turn and place. A shard's
     output is its draws sorted by order."""
     spark = docs.sparkSession
     sized = written(sizes(docs), "sizes")
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     goals = goals.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("quota", F.least(F.floor(F.col("target") / block_words + 0.5), F.col("blocks") * limit))
     quotas = [(r.nr, r.quota) for r in goals.select("nr", "quota").orderBy("nr").collect()]  # one row per source
     if not quotas:
-        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.array().cast("array<struct<shard:int,order:bigint,word_from:bigint,word_to:bigint>>").alias("draws"))
+        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.array().cast("array<struct<shard:int,order:bigint,word_from:bigint,word_to:bigint,turn:int>>").alias("draws"))
     ends = np.cumsum(np.array(split_quotas([q for _, q in quotas], shards, seed)), axis=0).T
     dealt = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({nr}, array({', '.join(f'{x}L' for x in row)}))" for (nr, _), row in zip(quotas, ends.tolist())) + " AS t(nr, ends)")
     goals = goals.join(dealt, "nr")
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         lo = F.greatest(block * block_words - F.col("start"), F.lit(0))
         hi = F.least((block + 1) * block_words - F.col("start"), F.col("size"))
         shard = F.size(F.filter("ends", lambda e: e <= at))
-        return F.when(at < F.col("quota"), F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed), "nr", at).alias("order"), lo.alias("word_from"), hi.alias("word_to")))
+        return F.when(at < F.col("quota"), F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed), "nr", at).alias("order"), lo.alias("word_from"), hi.alias("word_to"), F.lit(turn).alias("turn")))
 
     seen = F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     drawn = F.concat(*[F.transform(seen, partial(draw, t)) for t in range(limit)])
@@ -155,7 +155,13 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     drawn in it and the space between them; a text drawn whole stays as it is. doc_id is unique."""
     turns = mixed.filter(F.size("draws") > 0).select("doc_id", "size", F.explode(turns_of(F.col("draws"))).alias("turn"))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("turn", lambda d: F.slice(pieces, (d["word_from"] + 1).cast("int"), (d["word_to"] - d["word_from"]).cast("int")))), "")
+
+    def cut(words: Column) -> Column:
+        taken = F.transform("turn", lambda d: F.slice(words, (d["word_from"] + 1).cast("int"), (d["word_to"] - d["word_from"]).cast("int")))
+        return F.array_join(F.flatten(taken), "")
+
+    # the words are bound once, by a one-element transform, not for each draw
+    part = F.element_at(F.transform(F.array(pieces), cut), 1)
     words = F.aggregate("turn", F.lit(0).cast("long"), lambda a, d: a + d["word_to"] - d["word_from"])
     text = F.when(words == F.col("size"), F.col("text")).otherwise(part)
     out = docs.join(turns, "doc_id").withColumn("text", text)
@@ -163,15 +169,9 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def turns_of(draws: Column) -> Column:
-    """Draws by turn: a turn ends where the words begin anew."""
-    empty = F.array().cast("array<array<struct<shard:int,order:bigint,word_from:bigint,word_to:bigint>>>")
-
-    def step(acc: Column, d: Column) -> Column:
-        last = F.element_at(acc, -1)
-        goes_on = (F.size(acc) > 0) & (F.element_at(last, -1)["word_from"] < d["word_from"])
-        return F.when(goes_on, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.array(d))))).otherwise(F.concat(acc, F.array(F.array(d))))
-
-    return F.aggregate(draws, empty, step)
+    """Draws by turn, without the turns that have none."""
+    turns = F.sequence(F.lit(0), F.array_max(F.transform(draws, lambda d: d["turn"])))
+    return F.filter(F.transform(turns, lambda t: F.filter(draws, lambda d: d["turn"] == t)), lambda x: F.size(x) > 0)
 
 
 def taken_sql(block_words: int = BLOCK_WORDS) -> str:
