@@ -15,7 +15,7 @@ CATALOGUE = Catalogue()
 add = CATALOGUE.add
 
 
-@add(2, 72, 73, 75, sql=WITH + """, h AS (SELECT stream_id, arrival_idx, CASE WHEN event_id % 19 = 0 THEN 1 ELSE 2 END AS version, (event_id % 2) = 1 AS marker, CAST(90 + event_id % 38 AS BIGINT) AS payload_type, CAST(seq AS BIGINT) AS seq, rtp_ts, stream_id + 1000 AS ssrc FROM packets)
+@add(72, 73, 75, sql=WITH + """, h AS (SELECT stream_id, arrival_idx, CASE WHEN event_id % 19 = 0 THEN 1 ELSE 2 END AS version, (event_id % 2) = 1 AS marker, CAST(90 + event_id % 38 AS BIGINT) AS payload_type, CAST(seq AS BIGINT) AS seq, rtp_ts, stream_id + 1000 AS ssrc FROM packets)
 SELECT stream_id, arrival_idx, CAST(version AS BIGINT) AS version, marker, payload_type, seq, rtp_ts, ssrc, CASE WHEN version <> 2 THEN 'version' WHEN payload_type < 96 OR payload_type > 127 THEN 'payload type' END AS error FROM h""")
 def rtp_headers(spark, sf_dir):
     """Headers of twelve bytes, read back and checked: the row stays, with its error beside it."""
@@ -88,7 +88,7 @@ def parameter_sets(spark, sf_dir):
     return kept.withColumn("origin", F.lit("own")).unionByName(copies.withColumn("origin", F.lit("copied")))
 
 
-@add(93, 110, sql=WITH + """, s AS (SELECT stream_id, arrival_idx, CASE frame_type WHEN 'IDR' THEN 1 WHEN 'P' THEN 2 ELSE 3 END AS needs, last_value(CASE WHEN frame_type = 'IDR' THEN event_id END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY arrival_idx) AS set_event FROM packets)
+@add(93, sql=WITH + """, s AS (SELECT stream_id, arrival_idx, CASE frame_type WHEN 'IDR' THEN 1 WHEN 'P' THEN 2 ELSE 3 END AS needs, last_value(CASE WHEN frame_type = 'IDR' THEN event_id END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY arrival_idx) AS set_event FROM packets)
 SELECT stream_id, arrival_idx, needs, set_event, set_event IS NOT NULL AS decodable FROM s""")
 def decodable_frames(spark, sf_dir):
     """The newest parameter sets before each frame; without any it cannot be decoded."""

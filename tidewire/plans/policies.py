@@ -45,7 +45,7 @@ def rate_controller(spark, sf_dir):
     return folds.rate_controller(ticks, least=100_000, most=50_000_000).select("stream_id", "tick", F.round("smoothed", 6).alias("smoothed"), "rate")
 
 
-@add(242, 238)
+@add(242)
 def circuit_breaker(spark, sf_dir):
     rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", "capture_us", (F.col("event_type") == "error").alias("failed"))
     return folds.circuit_breaker(rows, "failed", threshold=2, timeout_us=500_000).select("stream_id", "arrival_idx", "allowed", "state")
@@ -57,7 +57,7 @@ def quality_ladder(spark, sf_dir):
     return folds.quality_ladder(rows, (50_000_000, 25_000_000, 10_000_000, 5_000_000, 2_000_000)).select("stream_id", "win", "profile")
 
 
-@add(235, 236)
+@add(235)
 def connection_limits(spark, sf_dir):
     rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", (F.col("event_type").isin("click", "view", "signup")).alias("opens"))
     return folds.connection_limit(rows, 25).select("stream_id", "arrival_idx", "admitted", "held")

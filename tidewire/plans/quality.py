@@ -190,7 +190,7 @@ def frame_validation(spark, sf_dir):
     return rows.select("stream_id", "arrival_idx", fits.alias("in_range"), ordered.alias("ordered"), fair.alias("size_ok"), found.alias("errors"))
 
 
-@add(122, 123, 152, 153, sql=WITH + "SELECT stream_id, arrival_idx, round(avg(size) OVER w, 6) AS mean_size, min(size) OVER w AS least, max(size) OVER w AS most, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) OVER w, 6) AS error_share FROM packets WINDOW w AS (PARTITION BY stream_id ORDER BY arrival_idx)")
+@add(122, 123, sql=WITH + "SELECT stream_id, arrival_idx, round(avg(size) OVER w, 6) AS mean_size, min(size) OVER w AS least, max(size) OVER w AS most, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) OVER w, 6) AS error_share FROM packets WINDOW w AS (PARTITION BY stream_id ORDER BY arrival_idx)")
 def running_diagnostics(spark, sf_dir):
     w = seq.arrival()
     return packets(spark, sf_dir).select("stream_id", "arrival_idx", F.round(F.avg("size").over(w), 6).alias("mean_size"), F.min("size").over(w).alias("least"), F.max("size").over(w).alias("most"), F.round(F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).over(w), 6).alias("error_share"))
