@@ -185,6 +185,36 @@ def test_jaccard_families(spark, monkeypatch, hot):
     assert got == brute.components({i: [brute.shingles(t)] for i, t, *_ in rows})
 
 
+@pytest.mark.parametrize(("hot", "members"), [(3, 4), (8, 256), (32, 256)])
+def test_jaccard_returns_all_links(spark, monkeypatch, hot, members):
+    """Every linked pair of distinct sets, and each row's number of links, inside families and between parts of groups."""
+    import random
+
+    from tests.llm.conftest import build, prose
+
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    r, rows = random.Random(6), []
+    for family in range(3):
+        base = prose(400 + family, 110).split()
+        for _ in range(20):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 2, 3])):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w), "en", "a"))
+    rows += [(len(rows) + i, prose(500, 30) + (" tail" if i == 2 else ""), "en", "b") for i in range(3)] + [(len(rows) + 3, None, "en", "b")]
+    sets = {i: frozenset(brute.shingles(t)) for i, t, *_ in rows}
+    first: dict = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i] or i, i)
+    links = {(i, j) for i in sets for j in sets if i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    for x in jaccard.join(build(spark, rows)).collect():
+        assert (x.class_id, x.n_links) == (first[sets[x.doc_id] or x.doc_id], sum(i == x.doc_id for i, _ in links))
+    found = [tuple(x) for x in jaccard.pairs(build(spark, rows)).collect()]
+    ids = set(first.values())
+    assert sorted(found) == sorted((i, j, len(sets[i]), len(sets[j]), len(sets[i] & sets[j])) for i, j in links if i < j and i in ids and j in ids)
+
+
 def test_langid(spark, odd, odd_rows, none, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(docs)

@@ -1,21 +1,20 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Tokens are the distinct five-word shingles of a text. Documents are partitioned into groups of
-similar ones: documents with the same token set are one group from the start, and families of
-near copies become groups when their members are joined to a leader. The matrix lists, for each
-token, the groups whose token union holds it. Its entries are limited to what the bound needs: if
-two sets reach the threshold, then in any common order of tokens their first
-n - ceil(t n) + 1 tokens meet, so the count of a query's leading tokens that a group holds, plus all
-its other tokens, bounds the overlap of the two. Only groups that can still reach the threshold are
-opened, and their members compared token by token.
+Tokens are the distinct five-word shingles of a text. Documents with the same token set are one class. Classes
+are partitioned into groups of similar ones: a class belongs to the group of its first leading token, or of its
+least common one if it has any, which near copies share; groups of more than ``MEMBERS`` classes are split. The
+matrix lists, for each token, the groups whose union holds it, one row for each token and group. Its entries are
+limited to leading tokens: if two sets reach the threshold, then in any common order of tokens their first
+n - ceil(t n) + 1 tokens meet, so the number of leading tokens that two groups share, plus all their members' other
+tokens, bounds the overlap of any two members. Only pairs of groups that can still reach the threshold are opened.
+There each class is a query: the count of its tokens that the other group's union holds bounds its overlap with
+every member, and the members of groups that pass are compared with it token by token. All links are found, inside
+groups too; ``pairs`` returns them, ``join`` counts them.
 
 The order puts rare tokens first (by hash) and common ones last: ``HOT`` and more documents among
 leading tokens. Common tokens fill the lead only in documents made almost wholly of them, that
-is in large families, where every member is compared with the family's leader first; only members
-outside the leader's component are compared further, within the triangle inequality of the
-Jaccard distance. Thus no list is expanded into all its pairs, and no link between groups is lost:
-the components are those of all links. The order only affects speed, so the list of common tokens
-may be bounded (``HOT_MOST``) without changing any result.
+is in large families, whose members share few groups, so no list is expanded into all pairs of its documents.
+The order only affects speed, so the list of common tokens may be bounded (``HOT_MOST``) without changing any result.
 
 Defined cases: a text without words, or null, has no shingles and links with nothing; a text of fewer
 than five words is one shingle; equal doc_ids are one document per distinct text for linking and
@@ -28,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -43,6 +42,8 @@ HOT, HOT_MOST = 32, 1 << 18
 GROUP_BYTES = 1 << 20
 #: Pairs of documents held at once under the tokens of a batch.
 PAIRS_AT_ONCE = 1 << 18
+#: Classes in a group at most, about; columns of a matrix of members and tokens held at once.
+MEMBERS, COLUMNS = 256, 4096
 #: Up to this many ids of documents to compare are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -154,9 +155,15 @@ def common_tokens(docs: DataFrame, percent: int) -> np.ndarray:
     return np.union1d(first, kept(texts.mapInArrow(moved, "token long, n long")))
 
 
+def _classes(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One 64-bit key of each token set."""
+    k1, k2 = set_keys(tokens, bounds)
+    return wordhash.mix(k1.view(np.uint64) ^ wordhash.mix(k2.view(np.uint64) + np.diff(bounds).astype(np.uint64))).view(np.int64)
+
+
 def _leads(batches: Iterator[pa.RecordBatch], percent: int, hot: np.ndarray) -> Iterator[tuple]:
-    """For groups of documents: ids, tokens and bounds; then, for the lead of each distinct set, the
-    token, its document (place in the group), whether it is common, and by document how many are."""
+    """For groups of documents: ids, tokens, bounds, and the places of distinct sets; the group of each of these; then,
+    for their leads, the token, which of the distinct sets it belongs to, and whether it is common."""
     for ids, tokens, bounds in token_sets(batches):
         own = _own(tokens, bounds)
         n = np.diff(bounds)[own]
@@ -165,52 +172,61 @@ def _leads(batches: Iterator[pa.RecordBatch], percent: int, hot: np.ndarray) ->
         common = _is_common(token, hot)
         order = _order(token, which, common)
         place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-        order = order[place < (n - _needed(n, percent) + 1)[which]]
+        lead = n - _needed(n, percent) + 1
+        order = order[place < lead[which]]
         token, which, common = token[order], which[order], common[order]
         many = np.bincount(which, weights=common, minlength=len(own)).astype(np.int64)
-        yield ids, tokens, bounds, token, own[which], common, many[which]
+        key = token[np.cumsum(lead) - lead + np.where(many > 0, lead - many, 0)].view(np.int64)
+        yield ids, tokens, bounds, own, key, token, which, common
 
 
-def matrix_rows(docs: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
-    """The matrix by rare tokens: token, doc, n (set size) and common (how many of the document's leading tokens
-    are common), one row for each rare leading token of each distinct set."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _group(key: np.ndarray, cls: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The group of each class: its key, or one of the parts of a large group."""
+    keys, parts = large
+    if not len(keys):
+        return key
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, key ^ (cls % parts[at]), key)
+
+
+def matrix_rows(docs: DataFrame, percent: int, hot: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The matrix by rare tokens: token, grp and n (set size), one row for each rare leading token of each distinct set;
+    rows of one token and group are made one when they meet."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, large))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, bounds, token, doc, common, many in _leads(batches, percent, shared.value):
-            rare = ~common
-            n = np.diff(bounds).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token[rare].view(np.int64)), pa.array(ids[doc[rare]]), pa.array(n[doc[rare]]), pa.array(many[rare].astype(np.int32))], ["token", "doc", "n", "common"])
+        hot, large = shared.value
+        for _, tokens, bounds, own, key, token, which, common in _leads(batches, percent, hot):
+            group = _group(key, _classes(tokens, bounds)[own], large)
+            n = np.diff(bounds)[own].astype(np.int32)
+            rare = which[~common]
+            yield pa.RecordBatch.from_arrays([pa.array(token[~common].view(np.int64)), pa.array(group[rare]), pa.array(n[rare])], ["token", "grp", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "token long, doc long, n int, common int")
+    return docs.select("doc_id", "text").mapInArrow(rows, "token long, grp long, n int")
 
 
 def sizes_and_families(docs: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
-    """Two kinds of rows from one reading: the size and keys of every document's set (token is null),
-    and the matrix by common tokens. Rare tokens come first in a lead, so common ones are in it only
-    if the rare ones of the set are too few to fill it; sets that share no rare token at all can
-    reach the threshold only among these."""
+    """Two kinds of rows from one reading: size, class and group key of every document's set (token is null; the key
+    is given once for equal sets of a batch), and common leading tokens with the class and group key."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "n", "k1", "k2", "token", "common"]
-        for ids, tokens, bounds, token, doc, common, many in _leads(batches, percent, shared.value):
-            n = np.diff(bounds)
-            k1, k2 = set_keys(tokens, bounds)
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(k1), pa.array(k2), none, none], names)
-            size = n[doc]
-            keep = common
-            if keep.any():
-                none = pa.nulls(int(keep.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[keep]]), pa.array(size[keep]), none, none, pa.array(token[keep].view(np.int64)), pa.array(many[keep])], names)
+        names = ["doc", "n", "cls", "key", "token"]
+        for ids, tokens, bounds, own, key, token, which, common in _leads(batches, percent, shared.value):
+            n, cls = np.diff(bounds), _classes(tokens, bounds)
+            keys, known = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+            keys[own], known[own] = key, False
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(cls), pa.array(keys, mask=known), pa.nulls(len(ids), pa.int64())], names)
+            of = which[common]
+            if len(of):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own][of]), pa.array(n[own][of]), pa.array(cls[own][of]), pa.array(key[of]), pa.array(token[common].view(np.int64))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc long, n long, k1 long, k2 long, token long, common long")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc long, n long, cls long, key long, token long")
 
 
 def _pairs_met(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over matrix rows sorted by token: pairs of documents of fitting sizes under each rare
+        """Over matrix rows sorted by token and group: pairs of groups of fitting sizes under each rare
         token, with the number of tokens they meet under in this batch. The rows of the last
         token of a batch wait for the next one; rare tokens have short lists."""
         held = None
@@ -231,7 +247,10 @@ def _pairs_met(percent: int):
             batch = following
 
     def met(token, table):
-        doc, n, common = (table[c].to_numpy().astype(np.int64) for c in ("doc", "n", "common"))
+        group, n = (table[c].to_numpy().astype(np.int64) for c in ("grp", "n"))
+        first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (group[1:] != group[:-1]))))
+        low, high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
+        token, group = token[first], group[first]
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         length = np.diff(np.append(start, len(token)))
         reach = np.repeat(start + length, length)
@@ -245,131 +264,195 @@ def _pairs_met(percent: int):
                 right.append(a + step)
                 held += len(a)
                 if held >= PAIRS_AT_ONCE:
-                    yield from flushed(np.concatenate(left), np.concatenate(right), doc, n, common)
+                    yield from flushed(np.concatenate(left), np.concatenate(right), group, low, high)
                     left, right, held = [], [], 0
             step += 1
             place = place[place + step < reach[place]]
         if left:
-            yield from flushed(np.concatenate(left), np.concatenate(right), doc, n, common)
+            yield from flushed(np.concatenate(left), np.concatenate(right), group, low, high)
 
-    def flushed(a, b, doc, n, common):
-        fits = (doc[a] != doc[b]) & (np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b]))
+    def flushed(a, b, group, low, high):
+        fits = (high[a] * 100 >= percent * low[b]) & (high[b] * 100 >= percent * low[a])
         a, b = a[fits], b[fits]
         if not len(a):
             return
-        swap = doc[a] > doc[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        order = np.lexsort((doc[b], doc[a]))
+        order = np.lexsort((group[b], group[a]))
         a, b = a[order], b[order]
-        new = np.flatnonzero(np.concatenate(([True], (doc[a][1:] != doc[a][:-1]) | (doc[b][1:] != doc[b][:-1]))))
+        new = np.flatnonzero(np.concatenate(([True], (group[a][1:] != group[a][:-1]) | (group[b][1:] != group[b][:-1]))))
         times = np.diff(np.append(new, len(a)))
-        a, b = a[new], b[new]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], doc[b], n[a], n[b], common[a], common[b], times)], ["a", "b", "na", "nb", "ca", "cb", "met"])
+        low, high = np.minimum.reduceat(np.minimum(low[a], low[b]), new), np.maximum.reduceat(np.maximum(high[a], high[b]), new)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group[a[new]], group[b[new]], low, high, times)], ["a", "b", "low", "high", "met"])
 
     return run
 
 
-def _reach(na: Column, nb: Column, percent: int) -> Column:
-    """Least overlap of two sets of these sizes that reach the threshold."""
-    return F.ceil((na + nb) * percent / (100 + percent))
-
-
-def _rest(n: Column, percent: int) -> Column:
-    """Tokens behind the lead."""
-    return F.ceil(n * percent / 100) - 1
-
-
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, na, nb, overlap of the given pairs (a, b), and whether they link."""
-    one = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb"))
-    two = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta"))
-    both = pairs.select("a", "b").join(one, "b").join(two, "a")
-    found = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("overlap"))
-    return found.withColumn("links", F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent)
-
-
-def opened_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc, tokens for the documents in ``ids`` (doc)."""
+def opened_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The columns of ``classes`` (first, cls ...) with the tokens of each class, read from its first document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, tokens, bounds in token_sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["doc", "tokens"])
+        for _, tokens, bounds in token_sets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_classes(tokens, bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["cls", "tokens"])
 
+    ids = classes.select(F.col("first").alias("id")).distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text")
-    wanted = texts.join(F.broadcast(ids) if few else ids, texts.doc_id == ids.doc, "left_semi")
-    return written(wanted.mapInArrow(run, "doc long, tokens array<long>").dropDuplicates(["doc"]), "sets")
-
-
-def links(docs: DataFrame, percent: int, hot: np.ndarray, dense: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents that link and whose links connect all that is connected. ``dense``
-    has the matrix rows of common tokens."""
-    rare = matrix_rows(docs, percent, hot)
-    met = rare.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs_met(percent), "a long, b long, na long, nb long, ca long, cb long, met long")
-    counted = met.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb", "ca", "cb")], F.sum("met").alias("met"))
-    bound = F.col("met") + F.least("ca", "cb") + F.greatest(_rest(F.col("na"), percent), _rest(F.col("nb"), percent))
-    pairs = written(counted.filter(bound >= _reach(F.col("na"), F.col("nb"), percent)).select("a", "b"), "pairs")
-
-    # families: each list of a common token gets the member with the largest share of common tokens as its leader
-    first = dense.groupBy("token").agg(F.min(F.struct((-F.col("common") / F.col("n")).alias("s"), "doc", "n")).alias("l")).select("token", F.col("l.doc").alias("leader"), F.col("l.n").alias("leader_n"))
-    stars = dense.join(first, "token").filter((F.col("doc") != F.col("leader")) & (F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent))
-    stars = stars.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-
-    listed = dense.select("doc").distinct()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(listed).distinct()
-    sets = opened_sets(docs, written(ids, "ids"))
-    # one pair a document first; pairs inside the groups that these make need no comparison
-    seeds = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(stars).distinct(), "seeds")
-    found = written(compared(seeds, sets, percent), "compared")
-    linked = found.filter("links").select("a", "b")
-    group = written(components(linked), "groups")
-    ga, gb = (group.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")) for c in ("a", "b"))
-    rest = pairs.join(seeds, ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left").filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-    linked = linked.unionByName(written(compared(rest, sets, percent).filter("links").select("a", "b"), "more"))
-    if dense.isEmpty():
-        return linked
-
-    # what is left of the families: members outside the component of their list's leader
-    named = dense.join(group.withColumnRenamed("node", "doc"), "doc", "left").withColumn("group", F.coalesce("component", "doc"))
-    heads = first.join(group.withColumnRenamed("node", "leader"), "leader", "left").select("token", "leader", F.coalesce("component", "leader").alias("head"))
-    distance = found.select("a", "b", (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
-    distance = distance.unionByName(distance.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    named = named.join(heads, "token").join(distance.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "d"), ["doc", "leader"], "left")
-    named = written(named.select("token", "doc", "n", "group", "head", F.when(F.col("doc") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d")), "named")
-    out = named.filter("group <> head").select("token", F.col("doc").alias("u"), F.col("n").alias("un"), F.col("group").alias("ug"), F.col("d").alias("ud"), "head")
-    # the bound for a member outside: how many of its tokens the union of all others in families
-    # holds, against the overlap that even the smallest of them asks for
-    union = sets.join(listed, "doc", "left_semi").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("t")
-    smallest = out.join(named.groupBy("token").agg(F.min("n").alias("least")), "token").groupBy("u", "un").agg(F.min("least").alias("least"))
-    held = sets.withColumnRenamed("doc", "u").join(smallest, "u").select("u", "un", "least", F.explode("tokens").alias("t")).join(union, "t").groupBy("u", "un", "least").agg(F.count(F.lit(1)).alias("held"))
-    asked = _reach(F.col("un"), F.greatest("least", F.ceil(F.col("un") * percent / 100)), percent)
-    opened = written(held.filter(F.col("held") >= asked).select("u"), "opened")
-    if opened.isEmpty():
-        return linked
-    out = out.join(opened, "u", "left_semi")
-    named = named.filter("group = head").unionByName(named.filter("group <> head").join(opened.withColumnRenamed("u", "doc"), "doc", "left_semi").select(*named.columns))
-    near = (F.least("n", "un") * 100 >= F.greatest("n", "un") * percent) & F.coalesce(F.abs(F.col("d") - F.col("ud")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    # a pair meets under the first common token that leads in both, and needs enough of them; two members
-    # that are both outside meet once
-    leads = named.groupBy("doc").agg(F.collect_list("token").alias("lead"))
-    both = F.array_intersect("lead", "ulead")
-    reach = _reach(F.col("n"), F.col("un"), percent) - F.greatest(_rest(F.col("n"), percent), _rest(F.col("un"), percent))
-    sides = (F.col("group") == F.col("head")) | (F.col("doc") < F.col("u"))
-    left, right = named.drop("head").join(leads, "doc"), out.join(leads.select(F.col("doc").alias("u"), F.col("lead").alias("ulead")), "u").withColumnRenamed("token", "token2")
-    more = left.join(right, (F.col("token") == F.col("token2")) & (F.col("group") != F.col("ug")) & near & sides & (F.size(both) >= reach) & (F.array_min(both) == F.col("token")))
-    more = more.select(F.least("doc", "u").alias("a"), F.greatest("doc", "u").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return linked.unionByName(compared(more, sets, percent).filter("links").select("a", "b"))
+    wanted = texts.join(F.broadcast(ids) if few else ids, texts.doc_id == ids.id, "left_semi")
+    return written(wanted.mapInArrow(run, "cls long, tokens array<long>").dropDuplicates(["cls"]).join(classes, "cls"), "sets")
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Tokens that each set of ``one`` shares with each set of ``two`` (None: ``one`` itself); 0 where a set's tokens
+    in the union of the other group are too few for any of its members."""
+    sides = [one] if two is None else [one, two]
+    flat = [np.concatenate(x) for x in sides]
+    which = [np.repeat(np.arange(len(x)), [len(t) for t in x]) for x in sides]
+    n = [np.array([len(t) for t in x]) for x in sides]
+    if two is None:
+        union, count = np.unique(flat[0], return_counts=True)
+        union = union[count > 1]
+    else:
+        union = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(one), len(sides[-1])), np.float32)
+    if not len(union):
+        return out
+    kept = []
+    for i, (t, w) in enumerate(zip(flat, which)):
+        column = np.minimum(np.searchsorted(union, t), len(union) - 1)
+        held = union[column] == t
+        least = np.maximum(n[i - 1 if two is not None else 0].min(), _needed(n[i], percent))
+        passes = np.bincount(w[held], minlength=len(n[i])) * (100 + percent) >= percent * (n[i] + least)
+        held &= passes[w]
+        order = np.argsort(column[held], kind="stable")
+        kept.append((column[held][order], w[held][order]))
+    for lo in range(0, len(union), COLUMNS):
+        dense = []
+        for (column, w), x in zip(kept, sides):
+            part = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+            m = np.zeros((len(x), min(COLUMNS, len(union) - lo)), np.float32)
+            m[w[part], column[part] - lo] = 1
+            dense.append(m)
+        out += dense[0] @ dense[-1].T
+    return out
+
+
+def _verified(percent: int, every: bool):
+    """Over the members of opened pairs of groups (a, b, side, first, w, tokens), sorted: with ``every`` all links as
+    (x, y, nx, ny, overlap), else for each member with links x, the least member y connected with it by links found here,
+    and how many classes (nx) and documents (ny) it links with."""
+    def block(one: list[tuple], two: list[tuple]) -> tuple | None:
+        if not one or (not two and len(one) < 2):
+            return None
+        got = _overlaps([r[2] for r in one], [r[2] for r in two] or None, percent)
+        same = not two
+        two = two or one
+        (da, wa, na), (db, wb, nb) = ((np.array([r[0] for r in s]), np.array([r[1] for r in s]), np.array([len(r[2]) for r in s])) for s in (one, two))
+        link = got.astype(np.int64) * (100 + percent) >= percent * (na[:, None] + nb[None, :])
+        if same:
+            np.fill_diagonal(link, False)
+        if not link.any():
+            return None
+        if every:
+            x, y = np.nonzero(np.triu(link) if same else link)
+            swap = da[x] > db[y]
+            pick = lambda u, v: np.where(swap, v[y], u[x])
+            return pick(da, db), np.where(swap, da[x], db[y]), pick(na, nb), np.where(swap, na[x], nb[y]), got[x, y].astype(np.int64)
+        ra, rb = da.copy(), db.copy()
+        top = np.iinfo(np.int64).max
+        while True:  # the least id spreads over the links
+            if same:
+                new = np.minimum(ra, np.where(link, ra[None, :], top).min(axis=1))
+                done, ra = (new == ra).all(), new
+            else:
+                newa = np.minimum(ra, np.where(link, rb[None, :], top).min(axis=1))
+                newb = np.minimum(rb, np.where(link, newa[:, None], top).min(axis=0))
+                done, ra, rb = (newa == ra).all() and (newb == rb).all(), newa, newb
+            if done:
+                break
+        rows = [(da, ra, link.sum(axis=1), link @ wb)] + ([] if same else [(db, rb, link.sum(axis=0), wa @ link)])
+        d, r, links, documents = (np.concatenate(x) for x in zip(*rows))
+        some = links > 0
+        return d[some], r[some], links[some], documents[some], np.zeros(some.sum(), np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out, size = None, ([], []), [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["x", "y", "nx", "ny", "overlap"])
+
+        for b in batches:
+            a, c, side, first, w = (b.column(i).to_numpy() for i in range(5))
+            at, values = b.column(5).offsets.to_numpy(), b.column(5).values.to_numpy()
+            for i in range(len(a)):
+                if now != (a[i], c[i]):
+                    if (found := block(*held)) is not None:
+                        out.append(found)
+                        size += len(found[0])
+                    if size >= PAIRS_AT_ONCE:
+                        yield batch()
+                        out, size = [], 0
+                    now, held = (a[i], c[i]), ([], [])
+                held[side[i]].append((first[i], w[i], values[at[i] : at[i + 1]]))
+        if (found := block(*held)) is not None:
+            out.append(found)
+        if out:
+            yield batch()
 
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    return run
+
+
+def _linked(docs: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """One row per row of ``docs`` with a doc_id (doc, n, cls), the classes (cls, key, first, w: how many rows), and what
+    ``_verified`` finds in the opened groups."""
     hot = common_tokens(docs, percent)
     both = written(sizes_and_families(docs, percent, hot), "sizes")
-    sized = both.filter("token is null").select("doc", "n", "k1", "k2")
-    dense = both.filter("token is not null").select("token", "doc", "n", "common")
-    first = sized.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("first"))
-    same = sized.join(first, ["k1", "k2", "n"], "left").select("doc", "n", F.coalesce("first", "doc").alias("first"))
-    copies = same.filter("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    found = components(links(docs, percent, hot, dense).unionByName(copies))
-    rows = sized.select("doc", "n").join(found, F.col("doc") == F.col("node"), "left")
-    rows = rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
-    return rows.unionByName(docs.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    sized = both.filter("token is null").select("doc", "n", "cls")
+    classes = both.filter("token is null and n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("w"))
+    classes = written(classes, "classes")
+    # at most one row for each MEMBERS classes
+    parts = classes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts")).filter("parts > 1")
+    large = parts.orderBy("key").toPandas()
+    large = (large["key"].to_numpy(np.int64), large["parts"].to_numpy(np.int64))
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(parts), "key", "left").withColumn("grp", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.col("key").bitwiseXOR(F.pmod("cls", "parts"))))
+
+    rare = matrix_rows(docs, percent, hot, large)
+    met = rare.repartition("token").sortWithinPartitions("token", "grp").mapInArrow(_pairs_met(percent), "a long, b long, low long, high long, met long")
+    # the matrix by common tokens: few groups hold each of them
+    dense = grouped(both.filter("token is not null")).groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    dense = written(dense, "dense")
+    left, right = dense.select("token", F.col("grp").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha")), dense.select("token", F.col("grp").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    fits = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)
+    more = left.join(right, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b", F.least("la", "lb").alias("low"), F.greatest("ha", "hb").alias("high"), F.lit(1).cast("long").alias("met"))
+    counted = met.unionByName(more).groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("met").alias("met"))
+    # the least overlap that reaches the threshold, less all tokens behind the lead
+    asked = (F.col("low") + F.col("high")) * percent / (100 + percent) - F.col("high") * percent / 100
+    members = written(grouped(classes).select("cls", "grp", "first", "w"), "members")
+    alone = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
+    opened = written(counted.filter(F.col("met") > asked - 1e-6).select("a", "b").unionByName(alone), "opened")
+    sides = opened.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("grp")).unionByName(opened.filter("a <> b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("grp")))
+    sets = opened_sets(docs, written(members.join(sides.select("grp").distinct(), "grp", "left_semi"), "wanted"))
+    rows = sides.join(sets, "grp").select("a", "b", "side", "first", "w", "tokens")
+    rows = rows.repartition("a", "b").sortWithinPartitions("a", "b", "side", "first")
+    found = rows.mapInArrow(_verified(percent, every), "x long, y long, nx long, ny long, overlap long")
+    return sized.join(classes.select("cls", "first", "w"), "cls", "left"), written(found, "found")
+
+
+def pairs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All links between classes: a < b (their class_ids), na, nb (shingles) and overlap. Documents of one class,
+    which ``join`` names, link with each other and with all of a linked class."""
+    _, found = _linked(docs, percent, True)
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), "overlap")
+
+
+def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (the least doc_id with the same shingles) and n_links (how many other
+    rows link with it, those of its class too) of every row."""
+    sized, found = _linked(docs, percent, False)
+    copies = sized.filter("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    group = components(found.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(copies))
+    counts = found.groupBy(F.col("x").alias("of")).agg(F.sum("ny").alias("links"))
+    rows = sized.join(group, F.col("doc") == F.col("node"), "left").join(counts, F.col("first") == F.col("of"), "left")
+    none = F.lit(None).cast("long")
+    links = F.coalesce(F.col("w") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
+    rows = rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("first", "doc").alias("class_id"), links.alias("n_links"))
+    return rows.unionByName(docs.filter(F.col("doc_id").isNull()).select("doc_id", *[none.alias(c) for c in ("n_shingles", "component_id", "class_id", "n_links")]))
