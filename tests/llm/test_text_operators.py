@@ -215,6 +215,23 @@ def test_jaccard_returns_all_links(spark, monkeypatch, hot, members):
     assert sorted(found) == sorted((i, j, len(sets[i]), len(sets[j]), len(sets[i] & sets[j])) for i, j in links if i < j and i in ids and j in ids)
 
 
+def test_jaccard_matrix_holds_one_row_for_a_token_and_group(spark):
+    """Near copies share a group, so opened pairs of groups are far fewer than pairs of documents."""
+    import numpy as np
+
+    from tests.llm.conftest import build, prose
+
+    base = prose(700, 200).split()
+    rows = [(i, " ".join(base[: 20 + i] + [f"edit{i}"] + base[21 + i :]), "en", "a") for i in range(40)]
+    docs = build(spark, rows)
+    hot = jaccard.common_tokens(docs, 80)
+    sized = jaccard.sizes_and_families(docs, 80, hot).filter("token is null").select("doc", "key").collect()
+    groups = [r.key for r in sized if r.key is not None]
+    assert len(groups) == 40 and len(set(groups)) < 12
+    parts = jaccard._group(np.array(groups), np.arange(40), (np.sort(np.unique(groups)), np.full(len(set(groups)), 3)))
+    assert len(set(parts.tolist())) > len(set(groups))
+
+
 def test_langid(spark, odd, odd_rows, none, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(docs)
