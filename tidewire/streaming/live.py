@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,12 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withColumn("stream_id", F.col("user_id") % 8)
 
 
+def lateness(spark: SparkSession, sf_dir: str) -> str:
+    """A delay for which no row of the events table is late, in whatever order its files are read."""
+    first, last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(*[F.unix_seconds(f(F.col("ts").cast("timestamp"))) for f in (F.min, F.max)]).first()
+    return f"{(last or 0) - (first or 0) + 1} seconds"
+
+
 def rate_windows(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and sums per stream and tumbling window."""
     return events.withWatermark("at", late).groupBy("stream_id", F.window("at", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event_id")).alias("ids")).select("stream_id", F.unix_seconds("w.start").alias("window_s"), "n", "ids")
@@ -40,20 +47,30 @@ def idle_sessions(events: DataFrame, gap: str = "8 hours", late: str = "2 days")
 
 
 def gap_counts(events: DataFrame) -> DataFrame:
-    """Numbers skipped in each stream, kept in a state of two longs per stream."""
+    """Numbers skipped in each stream, whatever the order in which they come: the state has the ranges that are still
+    missing between the lowest and the highest number, and lost falls when a batch fills some."""
     shipped(events.sparkSession)
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high, lost = state.get if state.exists else (None, 0)
-        ids = pd.concat(list(batches))["event_id"].sort_values().to_numpy()
-        for i in ids:
-            if high is not None and i > high + 1:
-                lost += int(i - high - 1)
-            high = int(i) if high is None else max(high, int(i))
-        state.update((high, lost))
-        yield pd.DataFrame({"stream_id": [key[0]], "high": [high], "lost": [lost]})
-
-    return events.select("stream_id", "event_id").groupBy("stream_id").applyInPandasWithState(count, "stream_id long, high long, lost long", "high long, lost long", "update", GroupStateTimeout.NoTimeout)
+        ids = np.unique(pd.concat(list(batches))["event_id"].dropna().to_numpy(np.int64))
+        low, high, starts, ends = state.get if state.exists else (None, None, [], [])
+        starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
+        if low is not None:
+            ids = np.unique(np.concatenate((ids, starts - 1, ends + 1, [low, high])))
+        if not len(ids):
+            return
+        p, q = ids[:-1], ids[1:]
+        missing = q > p + 1
+        if low is not None:  # between two numbers that were known all is seen, but for the ranges
+            at = np.searchsorted(starts, p + 1, "right") - 1
+            inside = (at >= 0) & (ends[at] >= p + 1) if len(starts) else np.zeros(len(p), bool)
+            missing &= (p >= high) | (q <= low) | inside
+        starts, ends = p[missing] + 1, q[missing] - 1
+        high = int(ids[-1])
+        state.update((int(ids[0]), high, starts.tolist(), ends.tolist()))
+        yield pd.DataFrame({"stream_id": [key[0]], "high": [high], "lost": [int((ends - starts + 1).sum())]})
+
+    return events.select("stream_id", "event_id").groupBy("stream_id").applyInPandasWithState(count, "stream_id long, high long, lost long", "low long, high long, starts array<long>, ends array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
