@@ -57,7 +57,7 @@ def codec_detection(spark, sf_dir):
         "event_id", b0.bitwiseAND(127).alias("cleaned"), F.when(hevc.between(32, 40), "HEVC").when(b0.bitwiseAND(31).between(1, 28), "H264").otherwise("unknown").alias("by_payload"), F.coalesce(F.upper(named), F.lit("unknown")).alias("by_metadata"))
 
 
-@add(52, 53, 54, sql="""WITH t AS (SELECT event_id, event_id % 40 AS n, event_id % 4 AS a FROM events)
+@add(52, 54, sql="""WITH t AS (SELECT event_id, event_id % 40 AS n, event_id % 4 AS a FROM events)
 SELECT event_id, CASE WHEN n BETWEEN 16 AND 18 THEN 'BLA' WHEN n IN (19, 20) THEN 'IDR' WHEN n = 21 THEN 'CRA' WHEN n = 32 THEN 'VPS' WHEN n = 33 THEN 'SPS' WHEN n = 34 THEN 'PPS' WHEN n < 16 AND n % 2 = 1 THEN 'P' ELSE 'B' END AS hevc, CASE a WHEN 0 THEN 'IDR' WHEN 2 THEN 'I' ELSE 'P' END AS av1, 'I' AS jpeg_xs FROM t""")
 def frame_types(spark, sf_dir):
     n, a = F.col("event_id") % 40, F.col("event_id") % 4
@@ -65,7 +65,7 @@ def frame_types(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", hevc.alias("hevc"), F.when(a == 0, "IDR").when(a == 2, "I").otherwise("P").alias("av1"), F.lit("I").alias("jpeg_xs"))
 
 
-@add(76, 78, sql=WITH + ", l AS (SELECT * FROM (VALUES ('IDR', 8000), ('P', 5000), ('B', 3000)) t(kind, most)) SELECT stream_id, arrival_idx, frame_type, size <= most AS fits FROM packets JOIN l ON frame_type = kind")
+@add(78, sql=WITH + ", l AS (SELECT * FROM (VALUES ('IDR', 8000), ('P', 5000), ('B', 3000)) t(kind, most)) SELECT stream_id, arrival_idx, frame_type, size <= most AS fits FROM packets JOIN l ON frame_type = kind")
 def size_limits(spark, sf_dir):
     limits = spark.sql("SELECT * FROM VALUES ('IDR', 8000), ('P', 5000), ('B', 3000) AS t(frame_type, most)")
     return packets(spark, sf_dir).join(F.broadcast(limits), "frame_type").select("stream_id", "arrival_idx", "frame_type", (F.col("size") <= F.col("most")).alias("fits"))  # three rows
@@ -138,13 +138,13 @@ def rtp_timestamp_validation(spark, sf_dir):
     return folds.checked_packets(rows).select("stream_id", "arrival_idx", "problem")
 
 
-@add(212, 213, 214, 215)
+@add(213, 214, 215)
 def reordered_frames(spark, sf_dir):
     rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", "event_id", "dts", "frame_type")
     return folds.reordered(rows, depth=3)
 
 
-@add(237)
+@add()
 def memory_admission(spark, sf_dir):
     rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", F.when(F.col("event_type") == "error", -F.col("size")).otherwise(F.col("size")).alias("change"))
     return folds.memory_limit(rows, 4_000_000).select("stream_id", "arrival_idx", "granted", "used")

@@ -16,7 +16,7 @@ CATALOGUE = Catalogue()
 add = CATALOGUE.add
 
 
-@add(26, 33, 74, sql=WITH + "SELECT stream_id, arrival_idx, true AS sync, false AS error, event_id % 3 = 0 AS starts, stream_id + 256 AS pid, CAST(1 AS BIGINT) AS control, CAST(seq % 16 AS BIGINT) AS counter FROM packets")
+@add(74, sql=WITH + "SELECT stream_id, arrival_idx, true AS sync, false AS error, event_id % 3 = 0 AS starts, stream_id + 256 AS pid, CAST(1 AS BIGINT) AS control, CAST(seq % 16 AS BIGINT) AS counter FROM packets")
 def transport_headers(spark, sf_dir):
     rows = packets(spark, sf_dir).withColumn("data", wire.ts_header(F.col("stream_id") + 256, (F.col("seq") % 16).cast("long"), F.col("event_id") % 3 == 0))
     return rows.select("stream_id", "arrival_idx", *[v.alias(k) for k, v in wire.ts_fields(F.col("data")).items()])
@@ -67,7 +67,7 @@ def nal_units(spark, sf_dir):
     return rows.select("stream_id", "arrival_idx", F.size("units").alias("n_units"), kind.alias("frame_type"), (F.array_contains("kinds", 7) & F.array_contains("kinds", 8)).alias("has_parameter_sets"))
 
 
-@add(204, 205, 203, sql=WITH + """, x AS (SELECT *, n % 5 = 0 AS s, n % 5 = 4 AS e FROM (SELECT *, (seq + 36) % 65536 AS n FROM packets) t), i AS (SELECT *, sum(CASE WHEN s THEN 1 ELSE 0 END) OVER w AS unit, (seq - lag(seq) OVER w + 65536) % 65536 AS step FROM x WINDOW w AS (PARTITION BY stream_id ORDER BY arrival_idx)),
+@add(203, sql=WITH + """, x AS (SELECT *, n % 5 = 0 AS s, n % 5 = 4 AS e FROM (SELECT *, (seq + 36) % 65536 AS n FROM packets) t), i AS (SELECT *, sum(CASE WHEN s THEN 1 ELSE 0 END) OVER w AS unit, (seq - lag(seq) OVER w + 65536) % 65536 AS step FROM x WINDOW w AS (PARTITION BY stream_id ORDER BY arrival_idx)),
 u AS (SELECT stream_id, unit, count(*) AS fragments, CAST(sum(size) AS BIGINT) AS bytes, bool_or(e) AND bool_and(s OR step = 1) AS complete FROM i WHERE unit > 0 GROUP BY stream_id, unit)
 SELECT stream_id, CAST(unit AS BIGINT) AS unit, fragments, bytes, complete FROM u""")
 def fragment_reassembly(spark, sf_dir):
