@@ -77,6 +77,20 @@ def test_chat_finds_rewritten_history():
     assert flags == [False, False, False, True]
 
 
+def test_chat_renders_true_history_beyond_a_run(spark):
+    def template(turns, prompt=None):  # the last answer's text only; roles must alternate
+        assert all(a[0] != b[0] for a, b in zip(turns, turns[1:]))
+        last = max((i for i, t in enumerate(turns) if t[0] == "assistant"), default=-1)
+        return "".join(f"[{r}]{t if r != 'assistant' or i == last else ''};" for i, (r, t) in enumerate(turns)) + (f"[{prompt}]" if prompt else "")
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t}", 1, "x") for c in range(3) for t in range(70)]
+    got = {(r.conv_id, r.turn): tuple(r)[2:] for r in chat.render(_turns(spark, rows), template).collect()}
+    for c in range(3):
+        run = chat.Renderer(template, True)
+        for _, t, role, text, *_ in rows[c * 70 : c * 70 + 70]:
+            assert got[c, t] == run.add((role, text))
+
+
 def test_chat_spans_are_the_answers():
     run = chat.Renderer(chat.marked, True)
     for turn in [("user", "q"), ("assistant", "an <| answer"), ("assistant", "")]:

@@ -6,10 +6,12 @@ does not begin with the one before it, the template rewrites history, and the tu
 Where the answer begins inside an assistant turn shows from a rendering that ends in the prompt for
 that turn, where it ends from a rendering with an empty answer: between them lies the loss mask.
 
-Rows are dealt by ranges of (conv_id, turn), so a conversation of any length is spread over tasks.
+A template whose turns are rendered independently of each other, as ``marked`` does, is said to be independent.
+For it rows are dealt by ranges of (conv_id, turn), so a conversation of any length is spread over tasks.
 A task renders runs of at most ``RUN`` turns: a run that does not start its conversation is
 rendered after one stand-in turn, whose text is then cut off, so prefixes never grow with the
-conversation. Reading back streams each conversation's pieces in order in constant memory.
+conversation. Any other template sees the true turns: one task renders a conversation from its start, by all of
+its prefixes, which is quadratic in its length. Reading back streams each conversation's pieces in order in constant memory.
 
 Defined cases: null roles and texts count as empty; turns of equal number are ordered by role, then
 text; rows without conv_id form one conversation, null turns come first; no rows give no rows;
@@ -80,15 +82,17 @@ class Renderer:
         return span, lo, hi, rewritten
 
 
-def render(turns: DataFrame, template: Callable[..., str] = marked) -> DataFrame:
+def render(turns: DataFrame, template: Callable[..., str] = marked, independent: bool | None = None) -> DataFrame:
     """One row per turn: conv_id, turn, piece (its span of the formatted conversation), loss_from
     and loss_to (the answer inside the piece), rewritten. A conversation's output is its pieces by
-    (turn, piece)."""
+    (turn, piece). ``independent``: whether the template renders each turn by itself; unless said, only ``marked`` does."""
+    apart = template is marked if independent is None else independent
     rows = turns.select("conv_id", F.lit(1).alias("mark"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     firsts = turns.select("conv_id").distinct().select("conv_id", F.lit(0).alias("mark"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("text"))
     keys = ["conv_id", "mark", "turn", "role", "text"]
     ordered = rows.unionByName(firsts).withColumn("h", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("conv_id", "mark", "turn", "role", "h").sortWithinPartitions(*keys).select(*keys)
+    dealt = ordered.repartitionByRange("conv_id", "mark", "turn", "role", "h") if apart else ordered.repartition("conv_id")
+    ordered = dealt.sortWithinPartitions(*keys).select(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, conv = None, object()
@@ -98,7 +102,7 @@ def render(turns: DataFrame, template: Callable[..., str] = marked) -> DataFrame
                 if mark == 0:
                     now, conv = Renderer(template, True), c
                     continue
-                if now is None or c != conv or now.n >= RUN:
+                if now is None or c != conv or apart and now.n >= RUN:
                     now, conv = Renderer(template, False), c
                 for x, v in zip(out, (c, turn, *now.add((role, text)))):
                     x.append(v)
