@@ -3,7 +3,7 @@ without live secrets, mixed to target weights, as tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns a DataFrame;
 all but the last return the columns of documents. Nulls, empty tables and repeated rows are handled as
-each operator says; repeated doc_ids end at the second stage, which keeps one row of each.
+each operator says. doc_ids may be null or repeat: stages that join go by a written number of each row.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ LEAST_SHARE = 0.5
 #: Up to this many rows of ids or spans are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
+#: The column that numbers the rows inside a stage.
+ROW = "_row_number"
+
 #: No SQL: language ID learns a model and the tokens come from merges.
 ORACLE_SQL = None
 
@@ -28,6 +31,11 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written once so that all readers see the same."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that holds half of them go; lang becomes the language found."""
     shipped(spark)
@@ -37,20 +45,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
+    """Of each group of linked rows the one with the smallest doc_id stays (null comes last, then the first row)."""
     shipped(spark)
-    joined = written(jaccard.join(docs), "joined")
-    gone = written(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(_checked(gone), "doc_id", "left_anti")
-    repeated = joined.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return (kept if repeated else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
+    rows = _numbered(docs)
+    joined = written(jaccard.join(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id"), "joined")
+    many = joined.groupBy("component_id").count().filter("count > 1").select("component_id")
+    linked = written(joined.join(_checked(written(many, "many")), "component_id").join(rows.select(ROW, "doc_id"), ROW), "linked")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    best = linked.groupBy("component_id").agg(F.min(rank)[ROW].alias(ROW)).select(ROW)
+    gone = written(linked.select(ROW).join(best, ROW, "left_anti"), "gone")
+    return rows.join(_checked(gone), ROW, "left_anti").select(*docs.columns)
 
 
 def live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets that look live are replaced in the texts; widely copied examples stay."""
-    spans = secrets.scan(docs).filter(F.exists("spans", lambda s: s["live"])).dropDuplicates(["doc_id"])
+    rows = _numbered(docs)
+    spans = secrets.scan(rows.withColumn("doc_id", F.col(ROW))).filter(F.exists("spans", lambda s: s["live"]))
     spans = written(spans.withColumnRenamed("doc_id", "of"), "spans")
-    out = docs.join(_checked(spans), docs.doc_id == spans.of, "left")
+    out = rows.join(_checked(spans), F.col(ROW) == F.col("of"), "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("spans")))
     out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
@@ -58,7 +70,8 @@ def live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: not at all, in part, once or twice."""
-    mixed = mixing.mixed_texts(docs, mixing.mix(docs))
+    rows = _numbered(docs)
+    mixed = mixing.mixed_texts(rows, mixing.mix(rows, keep=(ROW,)), ROW)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -151,3 +151,22 @@ def test_pipeline(spark, sf_dir, odd_rows):
         for _, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, sf_dir), "stage")
         assert docs.count() >= 0
+
+
+def test_pipeline_keeps_clean_rows_without_or_with_equal_ids(spark, sf_dir):
+    from tests.llm.conftest import build, prose
+
+    texts = [prose(800 + k, 90) for k in range(6)]
+    secret = " token=mineminemine9"
+    rows = [(None, texts[0] + secret, "en", "a"), (None, texts[1] + secret, "en", "a"), (7, texts[2], "en", "a"), (7, texts[3], "en", "a"), (8, texts[4], "en", "a"), (9, texts[4], "en", "a"), (None, texts[5], "en", "a"), (3, texts[5], "en", "a")]
+    docs = build(spark, rows)
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = corpus_pipeline.near_copies(spark, docs.select(*names), sf_dir)
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=key) == sorted(((i, t) for i, t, *_ in rows if t != texts[4] or i == 8 if t != texts[5] or i == 3), key=key)
+    docs = written(corpus_pipeline.live_secrets(spark, docs, sf_dir), "secrets")
+    out = docs.collect()
+    assert len(out) == 6 and sum("[SECRET]" in r.text for r in out) == 2 and not any("mineminemine9" in r.text for r in out)
+    mixed = corpus_pipeline.target_weights(spark, docs, sf_dir).collect()
+    whole = {(r.doc_id, w) for r in out for w in brute.words(r.text)}
+    assert {(r.doc_id, w) for r in mixed for w in brute.words(r.text)} <= whole and sum(r.doc_id is None for r in mixed) >= 2

@@ -33,9 +33,9 @@ BLOCK_WORDS = 64
 DOCS_PER_RANGE = 20_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of each text."""
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, the columns in ``keep`` and the number of words of each text."""
+    return docs.select("doc_id", "source", *keep, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
@@ -97,17 +97,17 @@ def place(block: Column, blocks: Column) -> Column:
     return F.when(blocks <= 1, F.lit(0).cast("long")).otherwise(found)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, block_words: int = BLOCK_WORDS, shards: int = 16, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target and draws: what the mix takes from each document, an
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, block_words: int = BLOCK_WORDS, shards: int = 16, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in ``keep`` (which also order rows of equal doc_id and size), doc_id, size, source_size, target and draws: what the mix takes from each document, an
     array of (shard, order, word_from, word_to, turn), words from 0, word_to exclusive, by turn and place. A shard's
     output is its draws sorted by order."""
     spark = docs.sparkSession
-    sized = written(sizes(docs), "sizes")
+    sized = written(sizes(docs, keep), "sizes")
     goals = written(targets(sized, weights, share, limit), "targets")
     goals = goals.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("quota", F.least(F.floor(F.col("target") / block_words + 0.5), F.col("blocks") * limit))
     quotas = [(r.nr, r.quota) for r in goals.select("nr", "quota").orderBy("nr").collect()]  # one row per source
     if not quotas:
-        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.array().cast("array<struct<shard:int,order:bigint,word_from:bigint,word_to:bigint,turn:int>>").alias("draws"))
+        return sized.select(*keep, "doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.array().cast("array<struct<shard:int,order:bigint,word_from:bigint,word_to:bigint,turn:int>>").alias("draws"))
     ends = np.cumsum(np.array(split_quotas([q for _, q in quotas], shards, seed)), axis=0).T
     dealt = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({nr}, array({', '.join(f'{x}L' for x in row)}))" for (nr, _), row in zip(quotas, ends.tolist())) + " AS t(nr, ends)")
     goals = goals.join(dealt, "nr")
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranged.groupBy("source", "part").agg(F.sum("size").alias("n")).select(F.col("source").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     bases = bases.join(goals.select(F.col("source").alias("s"), "source_size", "target", "blocks", "quota", "ends", "nr"), F.col("of").eqNullSafe(F.col("s"))).drop("s")
-    within = Window.partitionBy("source", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "part").orderBy("doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(bases, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
     placed = placed.withColumn("start", F.col("base") + F.col("inner"))
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     seen = F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     drawn = F.concat(*[F.transform(seen, partial(draw, t)) for t in range(limit)])
-    return placed.select("doc_id", "size", "source_size", "target", F.array_compact(drawn).alias("draws"))
+    return placed.select(*keep, "doc_id", "size", "source_size", "target", F.array_compact(drawn).alias("draws"))
 
 
 def taken(mixed: DataFrame) -> DataFrame:
@@ -150,10 +150,10 @@ def shard_rows(mixed: DataFrame) -> DataFrame:
     return flat.repartition("shard").sortWithinPartitions("shard", "order")
 
 
-def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def mixed_texts(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents as the mix takes them: one row per document and turn, with the words that were
-    drawn in it and the space between them; a text drawn whole stays as it is. doc_id is unique."""
-    turns = mixed.filter(F.size("draws") > 0).select("doc_id", "size", F.explode(turns_of(F.col("draws"))).alias("turn"))
+    drawn in it and the space between them; a text drawn whole stays as it is. ``key``, a column of both, is unique and not null."""
+    turns = mixed.filter(F.size("draws") > 0).select(key, "size", F.explode(turns_of(F.col("draws"))).alias("turn"))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
 
     def cut(words: Column) -> Column:
@@ -164,7 +164,7 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     part = F.element_at(F.transform(F.array(pieces), cut), 1)
     words = F.aggregate("turn", F.lit(0).cast("long"), lambda a, d: a + d["word_to"] - d["word_from"])
     text = F.when(words == F.col("size"), F.col("text")).otherwise(part)
-    out = docs.join(turns, "doc_id").withColumn("text", text)
+    out = docs.join(turns, key).withColumn("text", text)
     return out.select(*[c for c in docs.columns])
 
 
