@@ -17,8 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, at most about.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once a session, so that their Python finds it."""
+    """Sends this package to the executors once a session, so that their Python finds it, and bounds the bytes of the
+    Arrow batches that they get, unless the session has set a bound itself."""
     context = spark.sparkContext
     if not getattr(context, "_tidewire_shipped", False):
         root = Path(__file__).resolve().parent.parent
@@ -28,19 +34,22 @@ def shipped(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(root.parent))
         context.addPyFile(str(to))
         context._tidewire_shipped = True
+    if spark.conf.get(_BATCH) == "67108864b":  # Spark's own default
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    shipped(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see. On a cluster it is spark.checkpoint.dir; where that is
-    unset (tests, one machine) it is a new local folder, kept for the session."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset and Spark runs on one machine
+    (tests), it is a new local folder, kept for the session; a cluster must name one."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known
@@ -51,7 +60,22 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     executors, and lets several readers use one computation."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidewire_path = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a table made by ``written`` once nothing reads it any more."""
+    spark, path = df.sparkSession, df._tidewire_path
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def checked(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (written, narrow rows) as a side to broadcast if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Tokens are the distinct five-word shingles of a text. Documents with the same token set are one class. Classes
 are partitioned into groups of similar ones: a class belongs to the group of its first leading token, or of its
-least common one if it has any, which near copies share; groups of more than ``MEMBERS`` classes are split. The
+first common one if it has any, which near copies share; groups of more than ``MEMBERS`` classes are split. The
 matrix lists, for each token, the groups whose union holds it, one row for each token and group. Its entries are
 limited to leading tokens: if two sets reach the threshold, then in any common order of tokens their first
 n - ceil(t n) + 1 tokens meet, so the number of leading tokens that two groups share, plus all their members' other
@@ -11,14 +11,21 @@ There each class is a query: the count of its tokens that the other group's unio
 every member, and the members of groups that pass are compared with it token by token. All links are found, inside
 groups too; ``pairs`` returns them, ``join`` counts them.
 
-The order puts rare tokens first (by hash) and common ones last: ``HOT`` and more documents among
-leading tokens. Common tokens fill the lead only in documents made almost wholly of them, that
-is in large families, whose members share few groups, so no list is expanded into all pairs of its documents.
-The order only affects speed, so the list of common tokens may be bounded (``HOT_MOST``) without changing any result.
+The order puts rare tokens first (by hash) and common ones last. Common tokens fill the lead only in documents made
+almost wholly of them, that is in large families, whose members share few groups, so no list is expanded into all pairs
+of its documents. The order only affects speed, so the list of common tokens may come from a sketch (each task counts the
+tokens that it meets at least twice) and may be bounded (``HOT_MOST``) without changing any result.
+
+Tokens are 64-bit hashes of five words, compared within one pair of documents only, where a chance collision has a
+probability of about 1e-14; classes, which are told apart in the whole table, have 128 bits.
+
+Each text is read twice: for the sketch of common tokens, and for its signature (size, class, leading tokens), which is
+written; documents of opened groups are read once more, for all their tokens.
 
 Defined cases: a text without words, or null, has no shingles and links with nothing; a text of fewer
 than five words is one shingle; equal doc_ids are one document per distinct text for linking and
-give one row each; a null doc_id is its own component (null); no rows give no rows; further columns are ignored.
+give one row each; a null doc_id is its own component (null); no rows give no rows; texts of any length are read whole;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,48 +38,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import written
+from .common import checked, removed, shipped, written
 from .components import components
 
 WIDTH = 5
 #: Similarity threshold, per cent.
 PERCENT = 80
-#: Leading tokens of this many documents and more are common; at most HOT_MOST of them are kept.
+#: Tokens of this many documents and more are common; at most HOT_MOST of them are kept.
 HOT, HOT_MOST = 32, 1 << 18
 GROUP_BYTES = 1 << 20
+#: Tokens that a task counts at once for the sketch of common ones.
+COUNTED_AT_ONCE = 1 << 22
 #: Pairs of documents held at once under the tokens of a batch.
 PAIRS_AT_ONCE = 1 << 18
 #: Classes in a group at most, about; columns of a matrix of members and tokens held at once.
 MEMBERS, COLUMNS = 256, 4096
-#: Up to this many ids of documents to compare are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Tables of up to this many narrow rows (classes to open, pairs of groups) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 300_000
 
 
 def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For groups of documents: ids, tokens (distinct in each document, rising) and bounds."""
     for ids, words, bounds in wordhash.groups(batches, lower=True, size=GROUP_BYTES):
         n = np.diff(bounds)
-        of = np.repeat(np.arange(len(ids)), n)
-        grams = wordhash.runs(words, WIDTH)
-        at = np.flatnonzero(of[: len(grams)] == of[WIDTH - 1 :]) if len(grams) else np.zeros(0, np.int64)
-        doc, gram = of[at], grams[at]
-        few = np.flatnonzero((n > 0) & (n < WIDTH))
-        if len(few):  # the whole sequence as one token, apart from those of full width
-            whole = np.array([wordhash.mix(wordhash.runs(words[bounds[i] : bounds[i + 1]], int(n[i])) + np.uint64(n[i])) for i in few], np.uint64).ravel()
-            doc, gram = np.concatenate((doc, few)), np.concatenate((gram, whole))
-        order = np.lexsort((gram, doc))
-        doc, gram = doc[order], gram[order]
-        keep = np.ones(len(doc), bool)
-        keep[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
-        doc, gram = doc[keep], gram[keep]
-        yield ids, gram, np.searchsorted(doc, np.arange(len(ids) + 1))
-
-
-def set_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.maximum(n - WIDTH + 1, n > 0)  # few words are one token, the whole sequence
+        ends = np.concatenate(([0], np.cumsum(size)))
+        grams, out, kept = wordhash.runs(words, WIDTH), np.empty(ends[-1], np.uint64), np.zeros(len(ids) + 1, np.int64)
+        for i in range(len(ids)):
+            mine = out[kept[i] : kept[i] + size[i]]
+            if 0 < n[i] < WIDTH:  # apart from tokens of full width
+                mine[:] = wordhash.mix(wordhash.runs(words[bounds[i] : bounds[i + 1]], int(n[i])) + np.uint64(n[i]))
+            else:
+                mine[:] = grams[bounds[i] : bounds[i] + size[i]]
+            mine.sort()
+            if len(mine) > 1:
+                new = np.flatnonzero(mine[1:] != mine[:-1]) + 1
+                if len(new) + 1 < len(mine):
+                    mine[1 : len(new) + 1] = mine[new]
+                    mine = mine[: len(new) + 1]
+            kept[i + 1] = kept[i] + len(mine)
+        yield ids, out[: kept[-1]], kept
+
+
+def class_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two order-free 64-bit keys of each token set."""
-    mixed = wordhash.mix(tokens + np.uint64(0x9E3779B97F4A7C15))
-    total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64))) for x in (tokens, mixed)]
-    return tuple((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
+    n = np.diff(bounds).astype(np.uint64)
+    keys = []
+    for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wordhash.mix(tokens ^ np.uint64(salt)), dtype=np.uint64)))
+        keys.append(wordhash.mix(total[bounds[1:]] - total[bounds[:-1]] + n).view(np.int64))
+    return keys[0], keys[1]
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -80,148 +95,83 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _own(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Places of the first of equal sets within a group."""
-    k1, k2 = set_keys(tokens, bounds)
+def _own(bounds: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """Places of the first of equal sets within a group of documents; empty sets are left out."""
     some = np.flatnonzero(np.diff(bounds))
-    _, first = np.unique(np.stack((k1[some], k2[some], np.diff(bounds)[some]), axis=1), axis=0, return_index=True)
+    _, first = np.unique(np.stack((c1[some], c2[some]), axis=1), axis=0, return_index=True)
     return np.sort(some[first])
 
 
-def _take(bounds: np.ndarray, docs: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the first ``most`` tokens of each of ``docs``, and which of them each belongs to."""
-    n = np.minimum(np.diff(bounds)[docs], most)
-    which = np.repeat(np.arange(len(docs)), n)
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + bounds[docs][which], which
-
-
-def _order(tokens: np.ndarray, which: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Each document's tokens with the rare ones first."""
-    return np.lexsort((tokens, common, which))
-
-
-def _is_common(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    if not len(hot):
-        return np.zeros(len(tokens), bool)
-    return hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
-
-
-def _wide(n: np.ndarray, percent: int) -> np.ndarray:
-    """Tokens over which common ones are counted: half as many again as lead."""
-    return (n - _needed(n, percent) + 1) * 3 // 2 + 1
-
-
 def common_tokens(docs: DataFrame, percent: int) -> np.ndarray:
-    """Tokens that lead in ``HOT`` and more documents (distinct sets of each task), sorted; at most
-    HOT_MOST, the most common ones, from each of two rounds. The first counts the leading tokens
-    by hash; the second, with the first's common tokens put last, counts the ones that move up,
-    and all tokens of documents whose lead was mostly common."""
-    def counts(tokens: np.ndarray) -> pa.RecordBatch:
-        token, count = np.unique(tokens, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "n"])
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, bounds in token_sets(batches):
-            own = _own(tokens, bounds)
-            at, _ = _take(bounds, own, _wide(np.diff(bounds)[own], percent))
-            yield counts(tokens[at])
-
-    def kept(rows: DataFrame) -> np.ndarray:
-        counted = rows.groupBy("token").agg(F.sum("n").alias("n"))
-        hot = counted.filter(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(HOT_MOST).select("token").toPandas()["token"]
-        return np.sort(hot.to_numpy(np.int64).view(np.uint64))
-
-    texts = docs.select("doc_id", "text")
-    first = kept(texts.mapInArrow(lead, "token long, n long"))
-    if not len(first):
-        return first
-    shared = docs.sparkSession.sparkContext.broadcast(first)
-
-    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of ``HOT`` and more documents, sorted; at most HOT_MOST, the most common ones. A sketch: each task counts
+    blocks of ``COUNTED_AT_ONCE`` tokens (of distinct sets) and hands on those that it has met twice."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+            token = np.concatenate(held)
+            token.sort()
+            edge = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
+            n = np.diff(edge)
+            many = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(token[edge[:-1][many]].view(np.int64)), pa.array(n[many])], ["token", "n"])
+
+        held, size = [], 0
         for _, tokens, bounds in token_sets(batches):
-            own = _own(tokens, bounds)
-            n = np.diff(bounds)[own]
-            wide = _wide(n, percent)
-            at, which = _take(bounds, own, n)
-            token = tokens[at]
-            place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-            common = _is_common(token, shared.value)
-            mostly = np.bincount(which, weights=common & (place < wide[which]), minlength=len(own)) * 2 > np.minimum(wide, n)
-            order = _order(token, which, common)
-            new = (place[order] >= wide[which[order]]) & ~common[order]  # not counted before
-            new &= (place < wide[which]) | mostly[which]  # places, in the new order
-            yield counts(token[order][new])
-
-    return np.union1d(first, kept(texts.mapInArrow(moved, "token long, n long")))
-
-
-def _classes(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One 64-bit key of each token set."""
-    k1, k2 = set_keys(tokens, bounds)
-    return wordhash.mix(k1.view(np.uint64) ^ wordhash.mix(k2.view(np.uint64) + np.diff(bounds).astype(np.uint64))).view(np.int64)
-
-
-def _leads(batches: Iterator[pa.RecordBatch], percent: int, hot: np.ndarray) -> Iterator[tuple]:
-    """For groups of documents: ids, tokens, bounds, and the places of distinct sets; the group of each of these; then,
-    for their leads, the token, which of the distinct sets it belongs to, and whether it is common."""
-    for ids, tokens, bounds in token_sets(batches):
-        own = _own(tokens, bounds)
-        n = np.diff(bounds)[own]
-        at, which = _take(bounds, own, n)
-        token = tokens[at]
-        common = _is_common(token, hot)
-        order = _order(token, which, common)
-        place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-        lead = n - _needed(n, percent) + 1
-        order = order[place < lead[which]]
-        token, which, common = token[order], which[order], common[order]
-        many = np.bincount(which, weights=common, minlength=len(own)).astype(np.int64)
-        key = token[np.cumsum(lead) - lead + np.where(many > 0, lead - many, 0)].view(np.int64)
-        yield ids, tokens, bounds, own, key, token, which, common
-
-
-def _group(key: np.ndarray, cls: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The group of each class: its key, or one of the parts of a large group."""
-    keys, parts = large
-    if not len(keys):
-        return key
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return np.where(keys[at] == key, key ^ (cls % parts[at]), key)
-
-
-def matrix_rows(docs: DataFrame, percent: int, hot: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The matrix by rare tokens: token, grp and n (set size), one row for each rare leading token of each distinct set;
-    rows of one token and group are made one when they meet."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, large))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, large = shared.value
-        for _, tokens, bounds, own, key, token, which, common in _leads(batches, percent, hot):
-            group = _group(key, _classes(tokens, bounds)[own], large)
-            n = np.diff(bounds)[own].astype(np.int32)
-            rare = which[~common]
-            yield pa.RecordBatch.from_arrays([pa.array(token[~common].view(np.int64)), pa.array(group[rare]), pa.array(n[rare])], ["token", "grp", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(rows, "token long, grp long, n int")
-
-
-def sizes_and_families(docs: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
-    """Two kinds of rows from one reading: size, class and group key of every document's set (token is null; the key
-    is given once for equal sets of a batch), and common leading tokens with the class and group key."""
+            own = _own(bounds, *class_keys(tokens, bounds))
+            mine = np.zeros(len(bounds) - 1, bool)
+            mine[own] = True
+            held.append(tokens[np.repeat(mine, np.diff(bounds))])
+            size += len(held[-1])
+            if size >= COUNTED_AT_ONCE:
+                yield repeated(held)
+                held, size = [], 0
+        if size:
+            yield repeated(held)
+
+    counted = docs.select("doc_id", "text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    hot = counted.filter(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(HOT_MOST).select("token").toPandas()["token"]
+    return np.sort(hot.to_numpy(np.int64).view(np.uint64))
+
+
+def signatures(docs: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
+    """One row per row of ``docs`` with a doc_id: doc, n (set size), c1 and c2 (its class), and, given once for equal sets of a
+    batch, key (its group before any split) and the leading tokens, rare and common ones."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "n", "cls", "key", "token"]
-        for ids, tokens, bounds, own, key, token, which, common in _leads(batches, percent, shared.value):
-            n, cls = np.diff(bounds), _classes(tokens, bounds)
-            keys, known = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-            keys[own], known[own] = key, False
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(cls), pa.array(keys, mask=known), pa.nulls(len(ids), pa.int64())], names)
-            of = which[common]
-            if len(of):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own][of]), pa.array(n[own][of]), pa.array(cls[own][of]), pa.array(key[of]), pa.array(token[common].view(np.int64))], names)
+    def spread(values: np.ndarray, n: np.ndarray, own: np.ndarray, docs: int) -> pa.Array:
+        size = np.zeros(docs, np.int64)
+        size[own] = n
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(values.view(np.int64)))
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc long, n long, cls long, key long, token long")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for ids, tokens, bounds in token_sets(batches):
+            c1, c2 = class_keys(tokens, bounds)
+            n = np.diff(bounds)
+            own = _own(bounds, c1, c2)
+            mine = np.zeros(len(ids), bool)
+            mine[own] = True
+            token = tokens[np.repeat(mine, n)]
+            common = hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token if len(hot) else np.zeros(len(token), bool)
+            size = n[own]
+            start = np.cumsum(size) - size
+            lead = size - _needed(size, percent) + 1
+            before = np.concatenate(([0], np.cumsum(~common)))  # rare tokens before each place
+            rare = before[start + size] - before[start]
+            which = np.repeat(np.arange(len(own)), size)
+            rank = before[:-1] - before[start][which]
+            first = ~common & (rank < lead[which])
+            last = common & (np.arange(len(token)) - start[which] - rank < (lead - rare)[which])
+            rare, many = np.bincount(which[first], minlength=len(own)), np.bincount(which[last], minlength=len(own))
+            key = np.zeros(len(ids), np.int64)
+            firsts, lasts = token[first], token[last]
+            for some, at, values in ((rare > 0, np.cumsum(rare) - rare, firsts), (many > 0, np.cumsum(many) - many, lasts)):
+                key[own[some]] = values[at[some]].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(n), pa.array(c1), pa.array(c2), pa.array(key, mask=~mine), spread(firsts, rare, own, len(ids)), spread(lasts, many, own, len(ids))],
+                ["doc", "n", "c1", "c2", "key", "rare", "common"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc long, n long, c1 long, c2 long, key long, rare array<long>, common array<long>")
 
 
 def _pairs_met(percent: int):
@@ -286,19 +236,6 @@ def _pairs_met(percent: int):
     return run
 
 
-def opened_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The columns of ``classes`` (first, cls ...) with the tokens of each class, read from its first document."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, bounds in token_sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_classes(tokens, bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["cls", "tokens"])
-
-    ids = classes.select(F.col("first").alias("id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text")
-    wanted = texts.join(F.broadcast(ids) if few else ids, texts.doc_id == ids.id, "left_semi")
-    return written(wanted.mapInArrow(run, "cls long, tokens array<long>").dropDuplicates(["cls"]).join(classes, "cls"), "sets")
-
-
 def _overlaps(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int) -> np.ndarray:
     """Tokens that each set of ``one`` shares with each set of ``two`` (None: ``one`` itself); 0 where a set's tokens
     in the union of the other group are too few for any of its members."""
@@ -335,7 +272,7 @@ def _overlaps(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int)
 
 
 def _verified(percent: int, every: bool):
-    """Over the members of opened pairs of groups (a, b, side, first, w, tokens), sorted: with ``every`` all links as
+    """Over the members of opened pairs of groups (a, b, side, first, c1, w, tokens), sorted: with ``every`` all links as
     (x, y, nx, ny, overlap), else for each member with links x, the least member y connected with it by links found here,
     and how many classes (nx) and documents (ny) it links with."""
     def block(one: list[tuple], two: list[tuple]) -> tuple | None:
@@ -373,14 +310,14 @@ def _verified(percent: int, every: bool):
         return d[some], r[some], links[some], documents[some], np.zeros(some.sum(), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out, size = None, ([], []), [], 0
+        now, held, last, out, size = None, ([], []), None, [], 0
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["x", "y", "nx", "ny", "overlap"])
 
         for b in batches:
-            a, c, side, first, w = (b.column(i).to_numpy() for i in range(5))
-            at, values = b.column(5).offsets.to_numpy(), b.column(5).values.to_numpy()
+            a, c, side, first, c1, w = (b.column(i).to_numpy() for i in range(6))
+            at, values = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
             for i in range(len(a)):
                 if now != (a[i], c[i]):
                     if (found := block(*held)) is not None:
@@ -389,8 +326,10 @@ def _verified(percent: int, every: bool):
                     if size >= PAIRS_AT_ONCE:
                         yield batch()
                         out, size = [], 0
-                    now, held = (a[i], c[i]), ([], [])
-                held[side[i]].append((first[i], w[i], values[at[i] : at[i + 1]]))
+                    now, held, last = (a[i], c[i]), ([], []), None
+                if last != (side[i], first[i], c1[i]):  # else the same row of a table that holds it twice
+                    last = side[i], first[i], c1[i]
+                    held[side[i]].append((first[i], w[i], values[at[i] : at[i + 1]]))
         if (found := block(*held)) is not None:
             out.append(found)
         if out:
@@ -399,26 +338,42 @@ def _verified(percent: int, every: bool):
     return run
 
 
+def opened_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (first, c1, c2, grp, w) with their tokens, read from their first documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, (c1, c2, grp, w) = np.arange(b.num_rows), (b.column(i).to_numpy() for i in range(2, 6))
+            for at, tokens, bounds in token_sets(iter([pa.RecordBatch.from_arrays([pa.array(rows), b.column(1)], ["row", "text"])])):
+                k1, k2 = class_keys(tokens, bounds)
+                same = (c1[at] == k1) & (c2[at] == k2)  # else another text of the same doc_id
+                keep, n = at[same], np.diff(bounds)[same]
+                values = tokens[np.repeat(same, np.diff(bounds))].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), *(pa.array(x[keep]) for x in (c1, grp, w)), lists], ["first", "c1", "grp", "w", "tokens"])
+
+    wanted = docs.select("doc_id", "text").join(checked(members, BROADCAST_ROWS), F.col("doc_id") == F.col("first"))
+    return wanted.select("first", "text", "c1", "c2", "grp", "w").mapInArrow(run, "first long, c1 long, grp long, w long, tokens array<long>")
+
+
 def _linked(docs: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """One row per row of ``docs`` with a doc_id (doc, n, cls), the classes (cls, key, first, w: how many rows), and what
+    """One row per row of ``docs`` with a doc_id (doc, n, first, w: its class's least doc_id and number of rows), and what
     ``_verified`` finds in the opened groups."""
-    hot = common_tokens(docs, percent)
-    both = written(sizes_and_families(docs, percent, hot), "sizes")
-    sized = both.filter("token is null").select("doc", "n", "cls")
-    classes = both.filter("token is null and n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("w"))
-    classes = written(classes, "classes")
-    # at most one row for each MEMBERS classes
-    parts = classes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts")).filter("parts > 1")
-    large = parts.orderBy("key").toPandas()
-    large = (large["key"].to_numpy(np.int64), large["parts"].to_numpy(np.int64))
+    shipped(docs.sparkSession)
+    signed = written(signatures(docs, percent, common_tokens(docs, percent)), "signed")
+    whole = signed.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("key"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("w"))
+    classes = written(whole, "classes")
+    # the number of parts of large groups: at most one row for each MEMBERS classes
+    parts = written(classes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts")).filter("parts > 1"), "parts")
+    parts = checked(parts, BROADCAST_ROWS)
 
     def grouped(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(parts), "key", "left").withColumn("grp", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.col("key").bitwiseXOR(F.pmod("cls", "parts"))))
+        return df.join(parts, "key", "left").withColumn("grp", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.col("key").bitwiseXOR(F.pmod("c1", "parts"))))
 
-    rare = matrix_rows(docs, percent, hot, large)
+    leads = grouped(signed.filter("key is not null"))
+    rare = leads.select(F.explode("rare").alias("token"), "grp", F.col("n").cast("int").alias("n"))
     met = rare.repartition("token").sortWithinPartitions("token", "grp").mapInArrow(_pairs_met(percent), "a long, b long, low long, high long, met long")
     # the matrix by common tokens: few groups hold each of them
-    dense = grouped(both.filter("token is not null")).groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    dense = leads.select(F.explode("common").alias("token"), "grp", "n").groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     dense = written(dense, "dense")
     left, right = dense.select("token", F.col("grp").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha")), dense.select("token", F.col("grp").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
     fits = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)
@@ -426,15 +381,18 @@ def _linked(docs: DataFrame, percent: int, every: bool) -> tuple[DataFrame, Data
     counted = met.unionByName(more).groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("met").alias("met"))
     # the least overlap that reaches the threshold, less all tokens behind the lead
     asked = (F.col("low") + F.col("high")) * percent / (100 + percent) - F.col("high") * percent / 100
-    members = written(grouped(classes).select("cls", "grp", "first", "w"), "members")
+    members = written(grouped(classes).select("c1", "c2", "grp", "first", "w"), "members")
     alone = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    opened = written(counted.filter(F.col("met") > asked - 1e-6).select("a", "b").unionByName(alone), "opened")
-    sides = opened.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("grp")).unionByName(opened.filter("a <> b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("grp")))
-    sets = opened_sets(docs, written(members.join(sides.select("grp").distinct(), "grp", "left_semi"), "wanted"))
-    rows = sides.join(sets, "grp").select("a", "b", "side", "first", "w", "tokens")
-    rows = rows.repartition("a", "b").sortWithinPartitions("a", "b", "side", "first")
-    found = rows.mapInArrow(_verified(percent, every), "x long, y long, nx long, ny long, overlap long")
-    return sized.join(classes.select("cls", "first", "w"), "cls", "left"), written(found, "found")
+    opened = counted.filter(F.col("met") > asked - 1e-6).select("a", "b").unionByName(alone)
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("grp")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("grp")), F.struct(F.lit(1).alias("side"), F.col("b").alias("grp"))))
+    sides = written(opened.select("a", "b", F.explode(both).alias("s")).select("a", "b", "s.side", "s.grp"), "sides")
+    wanted = written(members.join(sides.select("grp").distinct(), "grp", "left_semi"), "wanted")
+    rows = opened_sets(docs, wanted).join(checked(sides, BROADCAST_ROWS), "grp").select("a", "b", "side", "first", "c1", "w", "tokens")
+    rows = rows.repartition("a", "b").sortWithinPartitions("a", "b", "side", "first", "c1")
+    found = written(rows.mapInArrow(_verified(percent, every), "x long, y long, nx long, ny long, overlap long"), "found")
+    for done in (dense, members, sides, wanted):
+        removed(done)
+    return signed.select("doc", "n", "c1", "c2").join(classes.select("c1", "c2", "first", "w"), ["c1", "c2"], "left"), found
 
 
 def pairs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

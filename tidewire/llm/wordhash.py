@@ -1,33 +1,28 @@
 """64-bit hashes of words and of runs of words, for many texts at once, with numpy.
 
-A word's hash is a polynomial of its bytes, a run's hash a polynomial of its words' hashes, both
-modulo 2^64 and mixed at the end; prefix sums give all of them in a few passes over the data.
+A word is read in chunks of eight bytes, each mixed into the hash of what came before it (its length comes first), so
+no two words meet by algebra, as under a polynomial modulo 2^64; words of more than ``LONG`` bytes go through blake2b. A
+run's hash mixes its words' hashes in one after the other.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E6C63D0876A9A47  # odd, so that it has an inverse
-INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are hashed in groups of about this many bytes, and long ones in pieces of it.
 PIECE = 1 << 20
+#: Bytes of the longest word that is hashed by chunks.
+LONG = 128
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((BASE, INVERSE)):
-            steps = np.full(max(n, 2 * PIECE), base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,26 +33,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    power, inverse = _power(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[:-1], out=total[1:])
-    return mix((total[hi] - total[lo]) * inverse[lo])
-
-
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word of ``data``."""
-    a = np.frombuffer(data, np.uint8)
-    gap = _space[a]
+    gap = _space[np.frombuffer(data, np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True]))))
-    lo, hi = edge[::2], edge[1::2]
-    return _sums(a.astype(np.uint64) + np.uint64(1), lo, hi), lo
+    lo, n = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
+    h = mix((eight[lo] & _MASK[np.minimum(n, 8)]) ^ n.astype(np.uint64) * _STEP)
+    at, done = np.flatnonzero(n > 8), 8
+    while len(at) and done < LONG:
+        h[at] = mix((h[at] + _STEP) * np.uint64(0xD6E8FEB86659FD93) ^ (eight[lo[at] + done] & _MASK[np.minimum(n[at] - done, 8)]))
+        done += 8
+        at = at[n[at] > done]
+    for i in at:  # few
+        h[i] = int.from_bytes(hashlib.blake2b(data[lo[i] : lo[i] + n[i]], digest_size=8).digest(), "little")
+    return h, lo
 
 
 def runs(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` words."""
-    at = np.arange(max(0, len(hashes) - width + 1))
-    return _sums(hashes, at, at + width)
+    n = max(0, len(hashes) - width + 1)
+    h = np.full(n, width, np.uint64)
+    for j in range(width):
+        h = (h ^ hashes[j : j + n]) * _STEP
+        h ^= h >> np.uint64(29)
+    return mix(h)
 
 
 def _long(data: bytes) -> np.ndarray:
@@ -72,19 +72,20 @@ def _long(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def groups(batches: Iterator[pa.RecordBatch], lower: bool = False, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def groups(batches: Iterator[pa.RecordBatch], lower: bool = False, size: int = PIECE, marks: bool = False) -> Iterator[tuple]:
     """From batches of (doc_id, text): groups of documents as (ids, words, bounds); the words of
     the i-th document are words[bounds[i]:bounds[i + 1]]. Null doc_ids are left out; null texts
-    have no words. ids rise within a group."""
-    def made(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    have no words. ids rise within a group. With ``marks``, also the CRC-32 of each text."""
+    def made(rows: list[tuple[int, bytes]]) -> tuple:
         rows.sort(key=lambda r: r[0])
         ids = np.array([r[0] for r in rows], np.int64)
+        more = (np.array([zlib.crc32(r[1]) for r in rows], np.int64),) if marks else ()
         if len(rows) == 1:
             h = _long(rows[0][1])
-            return ids, h, np.array([0, len(h)])
+            return ids, h, np.array([0, len(h)]), *more
         h, lo = words(b"\n".join(r[1] for r in rows))
         starts = np.cumsum([0, *[len(r[1]) + 1 for r in rows]])
-        return ids, h, np.searchsorted(lo, starts)
+        return ids, h, np.searchsorted(lo, starts), *more
 
     rows, held = [], 0
     for b in batches:
