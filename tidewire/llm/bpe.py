@@ -9,7 +9,8 @@ would take quadratic time. Words seen before come from a bounded cache in each t
 The vocabulary file is read on the driver and broadcast; its size is fixed by the vocabulary.
 
 Defined cases: null counts as an empty text, which has no tokens; texts of any length are encoded
-whole, in bounded pieces; repeated rows are encoded alike; further columns can be carried along.
+whole, in bounded pieces; pairs of equal rank are merged from the left; repeated rows are encoded alike; no rows give no
+rows; further columns can be carried along (their texts do not go to Python), whatever their names but ``ids``.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import shipped
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 128
@@ -148,41 +150,40 @@ class Encoder:
         return b"".join(out)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
+def encoded(text: Column, spark: SparkSession, path: str) -> Column:
+    """The token ids of a text (null: none), as array<int>."""
+    shared = shipped(spark).sparkContext.broadcast(Vocabulary.load(path))
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ids, the token ids of ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
-        for b in _pieces(batches):
-            ids = [encoder.ids(t) if t else b"" for t in b.column(len(keep)).to_pylist()]
+        for b in batches:
+            ids = [encoder.ids(t.as_py()) if t.is_valid else b"" for t in b]
             ends = np.cumsum([0, *[len(x) // 4 for x in ids]], dtype=np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), values)], [*keep, "ids"])
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(*keep, F.col(text).alias("text_")).mapInArrow(run, schema)
+    return F.arrow_udf(run, "array<int>", F.ArrowUDFType.SCALAR_ITER)(text)
 
 
-def decode(tokens: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Adds the text that the token ids stand for; bytes that are not UTF-8 become U+FFFD."""
-    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-    at = tokens.columns.index(ids)
+def decoded(ids: Column, spark: SparkSession, path: str) -> Column:
+    """The text that token ids stand for; bytes that are not UTF-8 become U+FFFD."""
+    shared = shipped(spark).sparkContext.broadcast(Vocabulary.load(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = shared.value.bytes_of.__getitem__
-        for b in _pieces(batches):
-            lists = b.column(at)
-            texts = [b"".join(map(of, x.values.to_numpy().tolist())).decode("utf-8", "replace") if x.is_valid else None for x in lists]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to])
+        for b in batches:
+            yield pa.array([b"".join(map(of, x.values.to_numpy().tolist())).decode("utf-8", "replace") if x.is_valid else None for x in b], pa.string())
+
+    return F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)(ids)
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(to, T.StringType())]))
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ids, the token ids of ``text``."""
+    return docs.select(*keep, encoded(F.col(text), docs.sparkSession, path).alias("ids"))
+
+
+def decode(tokens: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """Adds the text that the token ids stand for."""
+    return tokens.select("*", decoded(F.col(ids), tokens.sparkSession, path).alias(to))
 
 
 def default_path(spark: SparkSession) -> str:

@@ -9,8 +9,9 @@ Training: trigram counts of a bounded sample of labelled documents, TRAIN_DOCS o
 of doc_id, each read whole. Predictions cover every document, each read whole.
 
 Defined cases: a text that is null or has no letters is ``und`` with score 0; with no labelled
-document every prediction is ``und``; a null doc_id is not held out and not learned from; repeated
-rows get equal predictions; further columns are ignored.
+document every prediction is ``und``; a null doc_id is not held out and not learned from; a doc_id with several langs counts
+for the least of them; of languages of equal share the first by name is predicted; repeated rows get equal predictions; texts
+of any length are read whole; no rows give no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import shipped
 
 BINS = 1 << 16
 #: Bound of the training sample, in documents.
@@ -108,8 +110,10 @@ def language_set(like: np.ndarray, counts: np.ndarray, penalty: float = PENALTY)
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Language names and the probabilities of each bin in each language (BINS x languages)."""
+    shipped(docs.sparkSession)
     rows = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).dropDuplicates(["doc_id"])
+    # one language of each sampled doc_id, whatever the order of rows
+    sample = rows.groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     labelled = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most TRAIN_DOCS rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +130,21 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarra
     return langs, freq / freq.sum(axis=0)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, lang_pred, score and shares (the chosen languages with their proportions)."""
-    langs, table = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, table.astype(np.float32)))
+_SHARE = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+
+
+def predicted(text: Column, spark: SparkSession, model: tuple[list[str], np.ndarray]) -> Column:
+    """lang_pred, score and shares (the chosen languages with their proportions) of a text, as a struct. Only the text goes
+    to Python, and only the struct comes back."""
+    langs, table = model
+    shared = shipped(spark).sparkContext.broadcast((langs, table.astype(np.float32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs, table = shared.value
         for b in batches:
             pred, score, shares = [], [], []
-            for text in b.column(len(keep)):
-                t = text.as_py()
+            for t in b:
+                t = t.as_py()
                 bins, n = trigrams(t) if t else ((), ())
                 if not len(bins) or not langs:
                     pred.append("und"), score.append(0.0), shares.append([])
@@ -146,10 +154,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
                 best = share.argmax()
                 pred.append(langs[chosen[best]]), score.append(float(min(1.0, share[best])))
                 shares.append([{"lang": langs[i], "share": float(s)} for i, s in zip(chosen, share)])
-            kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)], [*keep, "lang_pred", "score", "shares"])
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, _SHARE)], ["lang_pred", "score", "shares"])
 
-    share = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
-    out = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", share)]
-    # the text to read comes last, so that it may also be one of the kept columns
-    return docs.select(*keep, F.col("text").alias("text_")).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *out]))
+    kind = "struct<lang_pred:string,score:double,shares:array<struct<lang:string,share:double>>>"
+    # not deterministic in name only, so that a filter on the struct does not run it twice
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(text)
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, lang_pred, score and shares (the chosen languages with their proportions)."""
+    found = predicted(F.col("text"), docs.sparkSession, model or train(docs))
+    return docs.select(*keep, found.alias("_found")).select(*keep, "_found.lang_pred", "_found.score", "_found.shares")
