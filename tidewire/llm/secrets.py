@@ -10,7 +10,9 @@ Positions come from splitting the text at the matches, so all work stays in Data
 and texts are never shuffled: only candidates are.
 
 Defined cases: null counts as an empty text; repeated rows (equal doc_id and text) are one
-repository; a null source is an owner of its own; no rows give no rows; further columns are ignored.
+repository; a null source is an owner of its own; spans of one kind do not overlap, those of several kinds may; texts of any
+length are read whole, a private key up to 65,536 characters; no rows give no rows; further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,14 +35,15 @@ MORE = [
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,255}", 0, 40),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    ("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 20),
+    # through the END line; a key cut off before it, through its lines of base64
+    ("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[\s\S]{1,65536}?-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{40,}+){0,400}+)", 0, 20),
 ]
 #: A value carried by at least this many owners and repositories is a widely copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 8, 16
 
 SPAN = "array<struct<start:bigint,kind_nr:int,kind:string,end:bigint,value:bigint>>"
 # What a text must hold for a kind to match at all: a cheaper test than the pattern itself.
-GATES = {"assign": r"[:=]\x20*[\x22']?[A-Za-z0-9+/_.=-]{6}", "access": "AKIA", "hex": "[0-9a-f]{24}"}
+GATES = {"assign": r"[:=]\x20*[\x22']?[A-Za-z0-9+/_.=-]{6}", "access": "AKIA", "hex": "[0-9a-f]{24}", "private_key": "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"}
 
 
 def spans_of(text: Column, nr: int, kind: str, pattern: str, group: int, least: int) -> Column:
