@@ -1,20 +1,20 @@
 """Mixing sources to target weights.
 
-The words of a source, its documents taken by doc_id, form one long row of blocks of
-``block_words`` words. A source's target becomes an exact quota of blocks; the blocks are put in a
-pseudo-random order (a bijection on block numbers, so nothing is sorted), and the mix takes the
-first ``quota`` of that order, going round again after the last block. A
-multivariate-hypergeometric splitting tree deals the quotas of all sources to output shards: each
-node splits its blocks between its two halves without replacement, so every shard gets a random
-but exact number of blocks of each source, and disjoint pieces of each source's order. Inside a
-shard the blocks are shuffled by a hash.
+The words of a source, its documents taken by doc_id, form one long row of blocks of ``block_words`` words (fewer
+in small sources, so that each has ``BLOCKS_LEAST`` blocks or blocks of one word). A source's target becomes an exact
+quota of blocks. A multivariate-hypergeometric splitting tree deals the quotas of all sources to output shards: each
+node splits its blocks between its two halves without replacement, so every shard gets a random but exact
+number of blocks of each source. The blocks of a source are permuted (a bijection on block numbers drawn by the seed,
+so nothing is sorted); the shards draw disjoint pieces of that order, one after the other, each as long as its leaf of the
+tree says, going round again after the last block. What no shard draws is not in the mix. Inside a shard the blocks are
+shuffled by a hash.
 
 Only DataFrame functions touch the rows. The driver sees one row per source (its quota).
 
 Defined cases: a null or empty text has size 0 and is never taken from; a null source is a source
 of its own, ordered last; no rows give no rows; repeated rows count as often as they occur (their
-order within an equal doc_id is by size); a null doc_id is ordered first; further columns are
-ignored.
+order within an equal doc_id is by size); a null doc_id is ordered first; texts of any length are read whole; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, quantile_bounds, range_of, written
+from .common import WORD, written
 
-#: Multipliers of the block order; the first that does not divide the number of blocks is used.
+#: Multipliers of the block order; from the one the seed names on, the first that does not divide the number of blocks is used.
 PRIMES = [2654435761, 1000000007, 998244353, 754974721]
-BLOCK_WORDS = 64
+BLOCK_WORDS, BLOCKS_LEAST = 64, 256
+SHARDS, SEED = 16, 7
+#: Documents of a range of one source, over which a running sum is taken, about.
 DOCS_PER_RANGE = 20_000
 
 
@@ -86,53 +88,67 @@ def split_quotas(quotas: list[int], shards: int, seed: int = 7) -> list[list[int
     return [[int(x) for x in leaf] for leaf in split(np.array(quotas, dtype=object).astype(np.int64), shards)]
 
 
-def place(block: Column, blocks: Column) -> Column:
-    """The place of a block in its source's order: multiplication by a prime modulo ``blocks``,
-    in two halves of 16 bits, so that products stay in 64 bits up to 2^47 blocks."""
+def place(block: Column, blocks: Column, source: Column, seed: int = SEED) -> Column:
+    """The place of a block in its source's order: multiplication by a prime modulo ``blocks``, in two halves of 16 bits, so
+    that products stay in 64 bits up to 2^47 blocks, and a shift. The seed and the number of the source choose both."""
+    primes = [PRIMES[(seed + i) % len(PRIMES)] for i in range(len(PRIMES))]
+
     def times(p: int) -> Column:
         high = (block * (p >> 16)) % blocks
-        return (high * 65536 + (block * (p & 65535)) % blocks) % blocks
+        return (high * 65536 + (block * (p & 65535)) % blocks + (source.cast("long") * 104729 + seed) * 7919) % blocks
 
-    found = F.coalesce(*[F.when(blocks % p != 0, times(p)) for p in PRIMES], block)
+    found = F.coalesce(*[F.when(blocks % p != 0, times(p)) for p in primes], block)
     return F.when(blocks <= 1, F.lit(0).cast("long")).otherwise(found)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, block_words: int = BLOCK_WORDS, shards: int = 16, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns in ``keep`` (which also order rows of equal doc_id and size), doc_id, size, source_size, target and draws: what the mix takes from each document, an
-    array of (shard, order, word_from, word_to, turn), words from 0, word_to exclusive, by turn and place. A shard's
-    output is its draws sorted by order."""
+_DRAWS = "array<struct<shard:int,order:bigint,word_from:bigint,word_to:bigint,turn:int>>"
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in ``keep`` (which also order rows of equal doc_id and size), doc_id, size, source_size, target and draws: what
+    the mix takes from each document, an array of (shard, order, word_from, word_to, turn), words from 0, word_to exclusive,
+    by turn and place. A shard's output is its draws sorted by order."""
     spark = docs.sparkSession
     sized = written(sizes(docs, keep), "sizes")
     goals = written(targets(sized, weights, share, limit), "targets")
-    goals = goals.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("quota", F.least(F.floor(F.col("target") / block_words + 0.5), F.col("blocks") * limit))
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr(f"source_size div {BLOCKS_LEAST}")))
+    goals = goals.withColumn("block", block).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")))
+    last = place(F.col("blocks") - 1, F.col("blocks"), F.col("nr"), seed)
+
+    def rounded(words: Column) -> Column:
+        return F.least(F.floor(words / F.col("block") + 0.5), F.col("blocks") * limit)
+
+    # the last block is short; what it lacks as often as it is drawn is made up for
+    times = sum((F.when(last + F.col("blocks") * t < rounded(F.col("target")), 1).otherwise(0) for t in range(1, limit)), F.when(last < rounded(F.col("target")), 1).otherwise(0))
+    goals = goals.withColumn("quota", rounded(F.col("target") + (F.col("blocks") * F.col("block") - F.col("source_size")) * times))
     quotas = [(r.nr, r.quota) for r in goals.select("nr", "quota").orderBy("nr").collect()]  # one row per source
     if not quotas:
-        return sized.select(*keep, "doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.array().cast("array<struct<shard:int,order:bigint,word_from:bigint,word_to:bigint,turn:int>>").alias("draws"))
+        return sized.select(*keep, "doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.array().cast(_DRAWS).alias("draws"))
+    # where each shard's piece of a source's order ends
     ends = np.cumsum(np.array(split_quotas([q for _, q in quotas], shards, seed)), axis=0).T
-    dealt = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({nr}, array({', '.join(f'{x}L' for x in row)}))" for (nr, _), row in zip(quotas, ends.tolist())) + " AS t(nr, ends)")
-    goals = goals.join(dealt, "nr")
+    dealt = spark.createDataFrame([(nr, row) for (nr, _), row in zip(quotas, ends.tolist())], "nr int, ends array<bigint>")
+    goals = goals.join(dealt, "nr").drop("quota")
 
-    # where each document starts in its source: sums of doc_id ranges first, then inside a range
-    n = sized.count()
-    bounds = quantile_bounds(sized, "doc_id", min(1000, -(-n // DOCS_PER_RANGE)))
-    ranged = sized.withColumn("part", range_of(F.col("doc_id"), bounds))
+    # where each document starts in its source: sums over ranges of (source, doc_id) first, then inside a range
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sized.count() // DOCS_PER_RANGE))
+    order = ["doc_id", "size", *keep]
+    ranged = written(sized.repartitionByRange(n, "source", *order).withColumn("part", F.spark_partition_id()), "ranged")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranged.groupBy("source", "part").agg(F.sum("size").alias("n")).select(F.col("source").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    bases = bases.join(goals.select(F.col("source").alias("s"), "source_size", "target", "blocks", "quota", "ends", "nr"), F.col("of").eqNullSafe(F.col("s"))).drop("s")
-    within = Window.partitionBy("source", "part").orderBy("doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    bases = bases.join(goals.withColumnRenamed("source", "s"), F.col("of").eqNullSafe(F.col("s"))).drop("s")
+    within = Window.partitionBy("source", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.repartition(n, "source", "part").withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(bases, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
     placed = placed.withColumn("start", F.col("base") + F.col("inner"))
 
-    first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
-
-    def draw(turn: int, block: Column) -> Column:
-        at = place(block, F.col("blocks")) + F.col("blocks") * turn
-        lo = F.greatest(block * block_words - F.col("start"), F.lit(0))
-        hi = F.least((block + 1) * block_words - F.col("start"), F.col("size"))
+    def draw(turn: int, b: Column) -> Column:
+        at = place(b, F.col("blocks"), F.col("nr"), seed) + F.col("blocks") * turn
+        lo = F.greatest(b * F.col("block") - F.col("start"), F.lit(0))
+        hi = F.least((b + 1) * F.col("block") - F.col("start"), F.col("size"))
         shard = F.size(F.filter("ends", lambda e: e <= at))
-        return F.when(at < F.col("quota"), F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed), "nr", at).alias("order"), lo.alias("word_from"), hi.alias("word_to"), F.lit(turn).alias("turn")))
+        return F.when(shard < shards, F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed), "nr", at).alias("order"), lo.alias("word_from"), hi.alias("word_to"), F.lit(turn).alias("turn")))
 
+    first, last = F.expr("start div block"), F.expr("(start + size - 1) div block")
     seen = F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     drawn = F.concat(*[F.transform(seen, partial(draw, t)) for t in range(limit)])
     return placed.select(*keep, "doc_id", "size", "source_size", "target", F.array_compact(drawn).alias("draws"))
@@ -144,28 +160,33 @@ def taken(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
-def shard_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: one row per draw, shuffled inside its shard."""
+def shard_rows(mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The mix itself, as draws: one row per draw, dealt to its shard and shuffled inside it."""
     flat = mixed.select("doc_id", F.explode("draws").alias("d")).select("d.shard", "d.order", "doc_id", "d.word_from", "d.word_to")
-    return flat.repartition("shard").sortWithinPartitions("shard", "order")
+    return flat.repartition(shards, "shard").sortWithinPartitions("shard", "order")
 
 
-def mixed_texts(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents as the mix takes them: one row per document and turn, with the words that were
-    drawn in it and the space between them; a text drawn whole stays as it is. ``key``, a column of both, is unique and not null."""
-    turns = mixed.filter(F.size("draws") > 0).select(key, "size", F.explode(turns_of(F.col("draws"))).alias("turn"))
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+def mixed_texts(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame:
+    """The mix as documents: one row per document and turn, with the words that were drawn in it and the space between them; a
+    text drawn whole stays as it is. A row goes to the shard of its first draw and is shuffled there by that draw's order.
+    ``key``, a column of both, is unique and not null; the columns are those of ``docs``."""
+    turns = mixed.filter(F.size("draws") > 0).select(F.col(key).alias("_of"), F.col("size").alias("_size"), F.explode(turns_of(F.col("draws"))).alias("_turn"))
+    pieces = F.regexp_extract_all("_doc.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
 
     def cut(words: Column) -> Column:
-        taken = F.transform("turn", lambda d: F.slice(words, (d["word_from"] + 1).cast("int"), (d["word_to"] - d["word_from"]).cast("int")))
+        taken = F.transform("_turn", lambda d: F.slice(words, (d["word_from"] + 1).cast("int"), (d["word_to"] - d["word_from"]).cast("int")))
         return F.array_join(F.flatten(taken), "")
 
     # the words are bound once, by a one-element transform, not for each draw
     part = F.element_at(F.transform(F.array(pieces), cut), 1)
-    words = F.aggregate("turn", F.lit(0).cast("long"), lambda a, d: a + d["word_to"] - d["word_from"])
-    text = F.when(words == F.col("size"), F.col("text")).otherwise(part)
-    out = docs.join(turns, key).withColumn("text", text)
-    return out.select(*[c for c in docs.columns])
+    words = F.aggregate("_turn", F.lit(0).cast("long"), lambda a, d: a + d["word_to"] - d["word_from"])
+    text = F.when(words == F.col("_size"), F.col("_doc.text")).otherwise(part)
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(key).alias("_key")).join(turns, F.col("_key") == F.col("_of"))
+    rows = rows.select(F.col("_doc").withField("text", text).alias("_doc"), F.element_at("_turn", 1).alias("_draw"))
+    # several tasks for each shard where there is much of it; each is shuffled by itself
+    spread = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(spread, F.col("_draw.shard"), F.pmod(F.col("_draw.order"), F.lit(-(-spread // shards)))).sortWithinPartitions("_draw.shard", "_draw.order")
+    return rows.select("_doc.*")
 
 
 def turns_of(draws: Column) -> Column:
@@ -174,10 +195,11 @@ def turns_of(draws: Column) -> Column:
     return F.filter(F.transform(turns, lambda t: F.filter(draws, lambda d: d["turn"] == t)), lambda x: F.size(x) > 0)
 
 
-def taken_sql(block_words: int = BLOCK_WORDS) -> str:
+def taken_sql(block_words: int = BLOCK_WORDS, seed: int = SEED) -> str:
     """The same result in DuckDB SQL."""
-    times = "((((b * {h}) % blocks) * 65536 + (b * {l}) % blocks) % blocks)"
-    pick = " ".join(f"WHEN blocks % {p} <> 0 THEN {times.format(h=p >> 16, l=p & 65535)}" for p in PRIMES)
+    times = f"((((b * {{h}}) % blocks) * 65536 + (b * {{l}}) % blocks + (nr * 104729 + {seed}) * 7919) % blocks)"
+    primes = [PRIMES[(seed + i) % len(PRIMES)] for i in range(len(PRIMES))]
+    pick = " ".join(f"WHEN blocks % {p} <> 0 THEN {times.format(h=p >> 16, l=p & 65535)}" for p in primes)
     return f"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 o AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
@@ -188,15 +210,17 @@ f AS (SELECT *, coalesce(sum(source_size) OVER b, 0) * 2 AS filled, sum(weight)
       FROM w WINDOW b AS (ORDER BY source_size * 2 / weight, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (CAST(total AS DOUBLE) * 1.5 - CAST(filled AS DOUBLE)) / CAST(rest AS DOUBLE) AS level FROM f),
 m AS (SELECT level FROM l WHERE level * weight <= source_size * 2 ORDER BY source_size * 2 / weight, nr LIMIT 1),
-t AS (SELECT source, source_size, least(CAST(source_size * 2 AS DOUBLE), m.level * weight) AS target,
-      CAST(ceil(source_size / CAST({block_words} AS DOUBLE)) AS BIGINT) AS blocks FROM l, m),
-q AS (SELECT *, least(CAST(floor(target / {block_words} + 0.5) AS BIGINT), blocks * 2) AS quota FROM t),
-d AS (SELECT s.doc_id, s.size, q.source_size, q.target, q.blocks, q.quota,
+t AS (SELECT source, nr, source_size, least(CAST(source_size * 2 AS DOUBLE), m.level * weight) AS target,
+      greatest(1, least({block_words}, source_size // {BLOCKS_LEAST})) AS block FROM l, m),
+u AS (SELECT *, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks FROM t),
+v AS (SELECT *, least(CAST(floor(target / block + 0.5) AS BIGINT), blocks * 2) AS near, CASE WHEN blocks <= 1 THEN 0 {pick} ELSE b END AS last FROM (SELECT *, blocks - 1 AS b FROM u)),
+q AS (SELECT *, least(CAST(floor((target + (blocks * block - source_size) * (CASE WHEN last < near THEN 1 ELSE 0 END + CASE WHEN last + blocks < near THEN 1 ELSE 0 END)) / block + 0.5) AS BIGINT), blocks * 2) AS quota FROM v),
+d AS (SELECT s.doc_id, s.size, q.source_size, q.target, q.block, q.blocks, q.quota, q.nr,
       CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
       FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
-e AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(start // {block_words}, (start + size - 1) // {block_words} + 1) ELSE CAST([] AS BIGINT[]) END) AS b FROM d),
+e AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(start // block, (start + size - 1) // block + 1) ELSE CAST([] AS BIGINT[]) END) AS b FROM d),
 p AS (SELECT *, CASE WHEN blocks <= 1 THEN 0 {pick} ELSE b END AS place FROM e),
-k AS (SELECT doc_id, size, start, sum((least((b + 1) * {block_words} - start, size) - greatest(b * {block_words} - start, 0))
+k AS (SELECT doc_id, size, start, sum((least((b + 1) * block - start, size) - greatest(b * block - start, 0))
       * (CASE WHEN place < quota THEN 1 ELSE 0 END + CASE WHEN place + blocks < quota THEN 1 ELSE 0 END)) AS taken FROM p GROUP BY doc_id, size, start)
 SELECT d.doc_id, d.size, d.source_size, d.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id AND d.start = k.start AND d.size = k.size"""
