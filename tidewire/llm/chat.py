@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shipped
+
 Turn = tuple[str, str]
 RUN = 32
 START, END = "<|im_start|>", "<|im_end|>"
@@ -84,14 +86,15 @@ class Renderer:
 
 def render(turns: DataFrame, template: Callable[..., str] = marked, independent: bool | None = None) -> DataFrame:
     """One row per turn: conv_id, turn, piece (its span of the formatted conversation), loss_from
-    and loss_to (the answer inside the piece), rewritten. A conversation's output is its pieces by
-    (turn, piece). ``independent``: whether the template renders each turn by itself; unless said, only ``marked`` does."""
+    and loss_to (the answer inside the piece), rewritten, place (a number that rises in the order of turns, roles and texts). A conversation's output is its pieces by
+    place. ``independent``: whether the template renders each turn by itself; unless said, only ``marked`` does."""
     apart = template is marked if independent is None else independent
     rows = turns.select("conv_id", F.lit(1).alias("mark"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     firsts = turns.select("conv_id").distinct().select("conv_id", F.lit(0).alias("mark"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("text"))
     keys = ["conv_id", "mark", "turn", "role", "text"]
-    ordered = rows.unionByName(firsts).withColumn("h", F.xxhash64("text"))
-    dealt = ordered.repartitionByRange("conv_id", "mark", "turn", "role", "h") if apart else ordered.repartition("conv_id")
+    # ranges by the start of a text, which follow the order of texts
+    ordered = rows.unionByName(firsts).withColumn("head", F.substring("text", 1, 64))
+    dealt = ordered.repartitionByRange("conv_id", "mark", "turn", "role", "head") if apart else ordered.repartition("conv_id")
     ordered = dealt.sortWithinPartitions(*keys).select(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +112,14 @@ def render(turns: DataFrame, template: Callable[..., str] = marked, independent:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["conv_id", "turn", "piece", "loss_from", "loss_to", "rewritten"])
 
-    return ordered.mapInArrow(run, "conv_id long, turn long, piece string, loss_from long, loss_to long, rewritten boolean")
+    shipped(turns.sparkSession)
+    out = ordered.mapInArrow(run, "conv_id long, turn long, piece string, loss_from long, loss_to long, rewritten boolean")
+    return out.withColumn("place", F.monotonically_increasing_id())
 
 
 def summarise(pieces: DataFrame) -> DataFrame:
     """One row per conversation, read back from its formatted pieces."""
-    ordered = pieces.select("conv_id", "turn", "piece", "loss_from", "loss_to", "rewritten").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece")
+    ordered = pieces.select("conv_id", "turn", "piece", "loss_from", "loss_to", "rewritten", "place").repartition("conv_id").sortWithinPartitions("conv_id", "place")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_rewritten"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +135,7 @@ def summarise(pieces: DataFrame) -> DataFrame:
 
         for b in batches:
             done = []
-            for c, _, piece, lo, hi, odd in zip(*(x.to_pylist() for x in b.columns)):
+            for c, _, piece, lo, hi, odd, _ in zip(*(x.to_pylist() for x in b.columns)):
                 if state is None or c != conv:
                     if state is not None:
                         done.append(row())

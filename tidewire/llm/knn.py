@@ -14,7 +14,8 @@ never pile up.
 Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part, nor do
 rows without vec_id; shorter vectors count as padded with zeros; fewer than k candidates give
 fewer rows; a repeated vec_id counts each time, though never as a candidate of a query of that id; no rows give no
-rows; further columns are ignored.
+rows; components beyond a long once scaled count as the largest long, and so do scores, whose order is then that of the
+vec_ids; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shipped, written
 
 K = 5
 SCALE = 256
 #: Pivots: about half the square root of the number of distinct vectors, at most so many.
 PIVOTS = 256
 QUERIES_AT_ONCE, VECTORS_AT_ONCE = 1024, 8192
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -75,7 +77,7 @@ def _grouped(pivots: np.ndarray, cells: list[int], loads: list[int]) -> dict[int
 def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where ``is_query`` holds (over vec_id) their k
     best rows of all others, by integer inner product, ties to the smaller vec_id."""
-    spark = vectors.sparkSession
+    spark = shipped(vectors.sparkSession)
     rows = scaled(vectors, scale)
     dim = rows.agg(F.max(F.size("v"))).first()[0]
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -170,7 +172,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
                     best = other[np.argsort(-s[other], kind="stable")[:k]]
                     out[0] += [q] * len(best)
                     out[1] += ids[best].tolist()
-                    out[2] += s[best].tolist()
+                    out[2] += [min(max(x, LOWEST), HIGHEST) for x in s[best].tolist()]
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out)})
 
     keys = ["group", "block", "salt"]
