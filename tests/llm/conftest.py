@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 # Further columns whose names clash with those the operators use inside.
-CLASHES = ["row", "part", "own", "size", "start", "token", "doc", "n", "ids", "value", "found", "base", "text_", "runs", "sketch", "draws"]
+CLASHES = ["row", "part", "own", "size", "start", "token", "doc", "n", "ids", "value", "found", "base", "text_", "runs", "sketch", "draws", "spans", "block", "turn", "of", "parts", "lang_pred", "score", "mark", "at", "runs_", "gone", "decoded"]
 
 
 def build(spark, rows):

@@ -40,6 +40,9 @@ def test_knn_small_and_empty(spark):
     few = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])]
     assert [(r.rank, r.vec_id) for r in knn.search(_vectors(spark, few), F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert knn.search(_vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
+    huge = [(0, [1e19, -1e8]), (1, [1e8, 1.0]), (2, [-1e19, 0.0]), (50, [3e9, 3e9])]
+    out = {(r.query_id, r.rank): (r.vec_id, r.score) for r in knn.search(_vectors(spark, huge), F.col("vec_id") % 50 == 0).collect()}
+    assert set(out) == {(q, k) for q in (0, 50) for k in (1, 2, 3)} and out[0, 1] == (1, 2**63 - 1) and out[0, 3] == (2, -(2**63))
     assert knn.search(_vectors(spark, [(1, [1.0])]), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -52,6 +55,7 @@ def test_chat(spark):
     rows = [(c, t, "assistant" if t % 2 else "user", nasty[(c + t) % 8], 1, "x") for c in range(5) for t in range(8)]
     rows += [(9, t, "assistant" if t % 2 else "user", f"turn {t}", 1, "x") for t in range(300)]  # longer than a run
     rows += [(None, 0, None, "no id", 1, "x"), (7, 1, "a\nb|<|", "odd role", 1, "x"), (6, 0, "user", "same", 1, "x"), (6, 0, "user", "same", 1, "x")]
+    rows += [(8, 2, "assistant", x, 1, "x") for x in ("ok then", "ok", "ok!", "", "b" * 80, "b" * 79 + "a")] + [(8, 2, "user", "ok", 1, "x")]  # one turn, several rows
     got = {r.conv_id: r for r in chat.summarise(chat.render(_turns(spark, rows))).collect()}
     by = {}
     for c, t, role, text, *_ in rows:
@@ -84,7 +88,7 @@ def test_chat_renders_true_history_beyond_a_run(spark):
         return "".join(f"[{r}]{t if r != 'assistant' or i == last else ''};" for i, (r, t) in enumerate(turns)) + (f"[{prompt}]" if prompt else "")
 
     rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t}", 1, "x") for c in range(3) for t in range(70)]
-    got = {(r.conv_id, r.turn): tuple(r)[2:] for r in chat.render(_turns(spark, rows), template).collect()}
+    got = {(r.conv_id, r.turn): tuple(r)[2:6] for r in chat.render(_turns(spark, rows), template).collect()}
     for c in range(3):
         run = chat.Renderer(template, True)
         for _, t, role, text, *_ in rows[c * 70 : c * 70 + 70]:
@@ -145,12 +149,24 @@ def test_pipeline(spark, sf_dir, odd_rows):
     before, after = seen["bpe encoding and decoding"]
     assert after.count() == before.count() and after.filter("not restored").count() == 0
 
-    odd = build(spark, odd_rows).select(*names)
-    for frame in (odd, odd.filter("false")):
-        docs = frame
+    # odd rows, no rows, and further columns whose names clash with those used inside
+    for rows in (odd_rows, []):
+        docs = build(spark, rows)
+        wide = docs.columns
         for _, stage in corpus_pipeline.STAGES:
-            docs = written(stage(spark, docs, sf_dir), "stage")
-        assert docs.count() >= 0
+            before, docs = docs, written(stage(spark, docs, sf_dir), "stage")
+            if stage is corpus_pipeline.language_id:
+                texts = {r.text for r in docs.collect()}
+                assert texts <= {t for _, t, *_ in rows if any(c.isalpha() for c in t or "")} and (not rows or len(texts) >= 8)
+            if stage is corpus_pipeline.near_copies:
+                kept = [brute.shingles(r.text) for r in docs.collect()]
+                assert not any(brute.jaccard(a, b) >= 0.8 for i, a in enumerate(kept) for b in kept[:i])
+            if stage is corpus_pipeline.live_secrets:
+                assert docs.count() == before.count() and not any(brute.base_spans(r.text) for r in docs.collect())
+            if stage is corpus_pipeline.tokens:
+                assert docs.count() == before.count() and docs.filter("not restored").count() == 0
+            else:
+                assert docs.columns == wide
 
 
 def test_pipeline_keeps_clean_rows_without_or_with_equal_ids(spark, sf_dir):
