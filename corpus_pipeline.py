@@ -2,8 +2,12 @@
 without live secrets, mixed to target weights, as tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns a DataFrame;
-all but the last return the columns of documents. Nulls, empty tables and repeated rows are handled as
-each operator says. doc_ids may be null or repeat: stages that join go by a written number of each row.
+all but the last return the columns of documents, further ones too, whatever their names.
+
+Defined cases: doc_ids may be null or repeat, so stages that join go by a written number of each row; a null or empty
+text has no language and goes in the first stage, alone it links with nothing, holds no secret, has nothing to be mixed and no
+tokens; texts of any length are read whole; of rows with equal doc_id and text one stays, since they are copies; ties
+are settled as each operator says; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -12,25 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, jaccard, langid, mixing, secrets
-from tidewire.llm.common import shipped, table, written
+from tidewire.llm.common import checked, removed, shipped, table, written
 
 #: A document is rejected if no language has this share of its text.
 LEAST_SHARE = 0.5
 #: Up to this many rows of ids or spans are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
-#: The column that numbers the rows inside a stage.
-ROW = "_row_number"
+#: The columns that a stage adds inside: a number for each row, and what was found of it.
+ROW, FOUND = "_row_number", "_found"
 
 #: No SQL: language ID learns a model and the tokens come from merges.
 ORACLE_SQL = None
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """``df`` (written, narrow rows) as a side to broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number for each row, written once so that all readers see the same."""
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
@@ -38,10 +37,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that holds half of them go; lang becomes the language found."""
-    shipped(spark)
-    found = langid.identify(docs, keep=tuple(docs.columns))
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).withColumn("lang", F.col("lang_pred"))
-    return kept.select(*docs.columns)
+    found = docs.withColumn(FOUND, langid.predicted(F.col("text"), spark, langid.train(docs)))
+    kept = found.filter((F.col(FOUND)["lang_pred"] != "und") & (F.col(FOUND)["score"] >= LEAST_SHARE))
+    return kept.withColumn("lang", F.col(FOUND)["lang_pred"]).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,27 +47,29 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shipped(spark)
     rows = _numbered(docs)
     joined = written(jaccard.join(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id"), "joined")
-    many = joined.groupBy("component_id").count().filter("count > 1").select("component_id")
-    linked = written(joined.join(_checked(written(many, "many")), "component_id").join(rows.select(ROW, "doc_id"), ROW), "linked")
+    many = written(joined.groupBy("component_id").count().filter("count > 1").select("component_id"), "many")
+    linked = written(joined.join(checked(many, BROADCAST_ROWS), "component_id").join(rows.select(ROW, "doc_id"), ROW), "linked")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
     best = linked.groupBy("component_id").agg(F.min(rank)[ROW].alias(ROW)).select(ROW)
     gone = written(linked.select(ROW).join(best, ROW, "left_anti"), "gone")
-    return rows.join(_checked(gone), ROW, "left_anti").select(*docs.columns)
+    for done in (joined, many, linked):
+        removed(done)
+    return rows.join(checked(gone, BROADCAST_ROWS), ROW, "left_anti").select(*docs.columns)
 
 
 def live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets that look live are replaced in the texts; widely copied examples stay."""
     rows = _numbered(docs)
-    spans = secrets.scan(rows.withColumn("doc_id", F.col(ROW))).filter(F.exists("spans", lambda s: s["live"]))
-    spans = written(spans.withColumnRenamed("doc_id", "of"), "spans")
-    out = rows.join(_checked(spans), F.col(ROW) == F.col("of"), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("spans")))
-    out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    spans = secrets.scan(rows.select(F.col(ROW).alias("doc_id"), "text", "source")).filter(F.exists("spans", lambda s: s["live"]))
+    spans = written(spans.select(F.col("doc_id").alias(ROW), F.col("spans").alias(FOUND)), "spans")
+    out = rows.join(checked(spans, BROADCAST_ROWS), ROW, "left")
+    clean, some = F.col(FOUND).isNull(), secrets.redacted(F.col("text"), F.col(FOUND))
+    out = out.withColumn("text", F.when(clean, F.col("text")).otherwise(some)).withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them: not at all, in part, once or twice."""
+    """Documents as the mix takes them, not at all, in part, once or twice, dealt to shards and shuffled there."""
     rows = _numbered(docs)
     mixed = mixing.mixed_texts(rows, mixing.mix(rows, keep=(ROW,)), ROW)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -77,10 +77,10 @@ def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text again."""
-    shipped(spark)
     path = bpe.default_path(spark)
-    made = bpe.decode(bpe.encode(docs, path, keep=("doc_id", "lang", "source", "text")), path)
-    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("restored"))
+    made = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", bpe.encoded(F.col("text"), spark, path))
+    restored = bpe.decoded(F.col("ids"), spark, path) == F.col("text")
+    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", restored.alias("restored"))
 
 
 STAGES = [
