@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters between words: space and the controls from tab to carriage return.
@@ -19,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of an Arrow batch that goes to a Python worker, at most about.
 BATCH_BYTES = 8 << 20
+#: Names of up to this many files are broadcast.
+FILES = 1_000_000
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -73,6 +76,22 @@ def removed(df: DataFrame) -> None:
     to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
 
 
+def numbered(df: DataFrame, to: str) -> DataFrame:
+    """``df`` with a number for each row in the column ``to``, the same in all readings. Rows of a file have the place in
+    their file and the files before it, so nothing is copied; other rows are written first."""
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return written(df.withColumn(to, F.monotonically_increasing_id()), "numbered")
+    # one row a file
+    rows = written(files.groupBy("_file").agg((F.max("_at") + 1).alias("_n")), "files")
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(rows.select(F.col("_file").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "bases")
+    removed(rows)
+    found = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return found.join(checked(bases, FILES), F.col("_file") == F.col("_of")).select(*df.columns, (F.col("_base") + F.col("_at")).alias(to))
+
+
 def checked(df: DataFrame, most: int) -> DataFrame:
     """``df`` (written, narrow rows) as a side to broadcast if it has at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= most else df

@@ -390,9 +390,10 @@ def _linked(docs: DataFrame, percent: int, every: bool) -> tuple[DataFrame, Data
     rows = opened_sets(docs, wanted).join(checked(sides, BROADCAST_ROWS), "grp").select("a", "b", "side", "first", "c1", "w", "tokens")
     rows = rows.repartition("a", "b").sortWithinPartitions("a", "b", "side", "first", "c1")
     found = written(rows.mapInArrow(_verified(percent, every), "x long, y long, nx long, ny long, overlap long"), "found")
-    for done in (dense, members, sides, wanted):
+    sized = written(signed.select("doc", "n", "c1", "c2").join(classes.select("c1", "c2", "first", "w"), ["c1", "c2"], "left").drop("c1", "c2"), "sized")
+    for done in (dense, members, sides, wanted, classes, signed):
         removed(done)
-    return signed.select("doc", "n", "c1", "c2").join(classes.select("c1", "c2", "first", "w"), ["c1", "c2"], "left"), found
+    return sized, found
 
 
 def pairs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

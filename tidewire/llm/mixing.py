@@ -142,11 +142,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     placed = placed.withColumn("start", F.col("base") + F.col("inner"))
 
     def draw(turn: int, b: Column) -> Column:
-        at = place(b, F.col("blocks"), F.col("nr"), seed) + F.col("blocks") * turn
         lo = F.greatest(b * F.col("block") - F.col("start"), F.lit(0))
         hi = F.least((b + 1) * F.col("block") - F.col("start"), F.col("size"))
-        shard = F.size(F.filter("ends", lambda e: e <= at))
-        return F.when(shard < shards, F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed), "nr", at).alias("order"), lo.alias("word_from"), hi.alias("word_to"), F.lit(turn).alias("turn")))
+        # from the end on that is a shard's
+        shard = lambda at: F.size(F.filter("ends", lambda e: e <= at))
+
+        def drawn(at: Column) -> Column:
+            return F.when(at < F.element_at("ends", -1), F.struct(shard(at).alias("shard"), F.xxhash64(F.lit(seed), "nr", at).alias("order"), lo.alias("word_from"), hi.alias("word_to"), F.lit(turn).alias("turn")))
+
+        # the place is bound once, by a one-element transform
+        return F.element_at(F.transform(F.array(place(b, F.col("blocks"), F.col("nr"), seed) + F.col("blocks") * turn), drawn), 1)
 
     first, last = F.expr("start div block"), F.expr("(start + size - 1) div block")
     seen = F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
