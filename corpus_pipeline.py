@@ -4,7 +4,7 @@ without live secrets, mixed to target weights, as tokens.
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns a DataFrame;
 all but the last return the columns of documents, further ones too, whatever their names.
 
-Defined cases: doc_ids may be null or repeat, so stages that join go by a written number of each row; a null or empty
+Defined cases: doc_ids may be null or repeat, so stages that join go by a fixed number of each row; a null or empty
 text has no language and goes in the first stage, alone it links with nothing, holds no secret, has nothing to be mixed and no
 tokens; texts of any length are read whole; of rows with equal doc_id and text one stays, since they are copies; ties
 are settled as each operator says; no rows give no rows.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, jaccard, langid, mixing, secrets
-from tidewire.llm.common import checked, removed, shipped, table, written
+from tidewire.llm.common import checked, numbered, removed, shipped, table, written
 
 #: A document is rejected if no language has this share of its text.
 LEAST_SHARE = 0.5
@@ -30,11 +30,6 @@ ROW, FOUND = "_row_number", "_found"
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, written once so that all readers see the same."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that holds half of them go; lang becomes the language found."""
     found = docs.withColumn(FOUND, langid.predicted(F.col("text"), spark, langid.train(docs)))
@@ -45,7 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one with the smallest doc_id stays (null comes last, then the first row)."""
     shipped(spark)
-    rows = _numbered(docs)
+    rows = numbered(docs, ROW)
     joined = written(jaccard.join(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id"), "joined")
     many = written(joined.groupBy("component_id").count().filter("count > 1").select("component_id"), "many")
     linked = written(joined.join(checked(many, BROADCAST_ROWS), "component_id").join(rows.select(ROW, "doc_id"), ROW), "linked")
@@ -59,7 +54,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets that look live are replaced in the texts; widely copied examples stay."""
-    rows = _numbered(docs)
+    rows = numbered(docs, ROW)
     spans = secrets.scan(rows.select(F.col(ROW).alias("doc_id"), "text", "source")).filter(F.exists("spans", lambda s: s["live"]))
     spans = written(spans.select(F.col("doc_id").alias(ROW), F.col("spans").alias(FOUND)), "spans")
     out = rows.join(checked(spans, BROADCAST_ROWS), ROW, "left")
@@ -70,7 +65,7 @@ def live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them, not at all, in part, once or twice, dealt to shards and shuffled there."""
-    rows = _numbered(docs)
+    rows = numbered(docs, ROW)
     mixed = mixing.mixed_texts(rows, mixing.mix(rows, keep=(ROW,)), ROW)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
