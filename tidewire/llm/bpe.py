@@ -31,7 +31,7 @@ from .common import shipped
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 128
-CACHE_WORDS = 400_000
+CACHE_WORDS = 65_536
 MATCHES_AT_ONCE = 200_000
 _NONE = 1 << 60
 
@@ -176,6 +176,25 @@ def decoded(ids: Column, spark: SparkSession, path: str) -> Column:
     return F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)(ids)
 
 
+def round_trip(text: Column, spark: SparkSession, path: str) -> Column:
+    """ids, the token ids of a text (null: none), and restored, whether they decode to it again, as a struct. One worker does
+    both, so a task needs one vocabulary and the text stays where it is."""
+    shared = shipped(spark).sparkContext.broadcast(Vocabulary.load(path))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, of = Encoder(shared.value), shared.value.bytes_of.__getitem__
+        for b in batches:
+            ids, same = [], []
+            for t in b:
+                told = t.as_py() or ""
+                ids.append(encoder.ids(told))
+                same.append(b"".join(map(of, np.frombuffer(ids[-1], np.int32).tolist())).decode("utf-8", "replace") == told)
+            ends = np.cumsum([0, *[len(x) // 4 for x in ids]], dtype=np.int32)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))), pa.array(same, pa.bool_())], ["ids", "restored"])
+
+    return F.arrow_udf(run, "struct<ids:array<int>,restored:boolean>", F.ArrowUDFType.SCALAR_ITER)(text)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ids, the token ids of ``text``."""
     return docs.select(*keep, encoded(F.col(text), docs.sparkSession, path).alias("ids"))

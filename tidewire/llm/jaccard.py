@@ -48,7 +48,7 @@ PERCENT = 80
 HOT, HOT_MOST = 32, 1 << 18
 GROUP_BYTES = 1 << 20
 #: Tokens that a task counts at once for the sketch of common ones.
-COUNTED_AT_ONCE = 1 << 22
+COUNTED_AT_ONCE = 1 << 21
 #: Pairs of documents held at once under the tokens of a batch.
 PAIRS_AT_ONCE = 1 << 18
 #: Classes in a group at most, about; columns of a matrix of members and tokens held at once.
@@ -106,26 +106,29 @@ def common_tokens(docs: DataFrame, percent: int) -> np.ndarray:
     """Tokens of ``HOT`` and more documents, sorted; at most HOT_MOST, the most common ones. A sketch: each task counts
     blocks of ``COUNTED_AT_ONCE`` tokens (of distinct sets) and hands on those that it has met twice."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
-            token = np.concatenate(held)
+        held, size = np.empty(COUNTED_AT_ONCE, np.uint64), 0
+
+        def repeated() -> pa.RecordBatch:
+            token = held[:size]
             token.sort()
-            edge = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
+            edge = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [size]))
             n = np.diff(edge)
-            many = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(token[edge[:-1][many]].view(np.int64)), pa.array(n[many])], ["token", "n"])
+            many = np.flatnonzero(n > 1)
+            return pa.RecordBatch.from_arrays([pa.array(token[edge[many]].view(np.int64)), pa.array(n[many])], ["token", "n"])
 
-        held, size = [], 0
         for _, tokens, bounds in token_sets(batches):
-            own = _own(bounds, *class_keys(tokens, bounds))
             mine = np.zeros(len(bounds) - 1, bool)
-            mine[own] = True
-            held.append(tokens[np.repeat(mine, np.diff(bounds))])
-            size += len(held[-1])
-            if size >= COUNTED_AT_ONCE:
-                yield repeated(held)
-                held, size = [], 0
+            mine[_own(bounds, *class_keys(tokens, bounds))] = True
+            tokens = tokens[np.repeat(mine, np.diff(bounds))]
+            while len(tokens):
+                more = tokens[: len(held) - size]
+                held[size : size + len(more)] = more
+                size, tokens = size + len(more), tokens[len(more) :]
+                if size == len(held):
+                    yield repeated()
+                    size = 0
         if size:
-            yield repeated(held)
+            yield repeated()
 
     counted = docs.select("doc_id", "text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     hot = counted.filter(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(HOT_MOST).select("token").toPandas()["token"]
