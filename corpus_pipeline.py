@@ -72,10 +72,8 @@ def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text again."""
-    path = bpe.default_path(spark)
-    made = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", bpe.encoded(F.col("text"), spark, path))
-    restored = bpe.decoded(F.col("ids"), spark, path) == F.col("text")
-    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", restored.alias("restored"))
+    made = docs.select("doc_id", "lang", "source", bpe.round_trip(F.col("text"), spark, bpe.default_path(spark)).alias(FOUND))
+    return made.select("doc_id", "lang", "source", F.size(F.col(FOUND)["ids"]).cast("long").alias("n_tokens"), F.col(FOUND)["ids"].alias("ids"), F.col(FOUND)["restored"].alias("restored"))
 
 
 STAGES = [
