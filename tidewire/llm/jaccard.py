@@ -418,3 +418,15 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = F.coalesce(F.col("w") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     rows = rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("first", "doc").alias("class_id"), links.alias("n_links"))
     return rows.unionByName(docs.filter(F.col("doc_id").isNull()).select("doc_id", *[none.alias(c) for c in ("n_shingles", "component_id", "class_id", "n_links")]))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+i AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS t FROM i),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y, k = nx AND k = ny AS same FROM (SELECT p.*, a.n AS nx, b.n AS ny FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y) WHERE 100 * k >= 80 * (nx + ny - k)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT w.doc_id, coalesce((SELECT n FROM c WHERE c.doc_id = w.doc_id), 0) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = w.doc_id) AS component_id,
+ least(w.doc_id, coalesce((SELECT min(y) FROM l WHERE l.x = w.doc_id AND same), w.doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.x = w.doc_id) AS n_links FROM w"""

@@ -122,3 +122,24 @@ def digest(scanned: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+def digest_sql() -> str:
+    """The digest in DuckDB SQL: every block against every template, without filters."""
+    def starts(phrase: str) -> str:
+        return "list_filter(range(0, len(words)), lambda i: " + " AND ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split())) + ")"
+
+    phrases = ", ".join(f"({starts(p)}) AS s{k}" for k, (p, _) in enumerate(PHRASES))
+    every = "list_concat(" * (len(PHRASES) - 1) + "s0" + "".join(f", s{k})" for k in range(1, len(PHRASES)))
+    base = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM p WHERE len(s{k}) > 0" for k, (_, label) in enumerate(PHRASES))
+    templates = ", ".join(f"(list_distinct(string_split('{t}', ' ')), '{label}')" for t, label in TEMPLATES)
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+p AS (SELECT *, {phrases} FROM w), q AS (SELECT *, {every} AS starts FROM p),
+t AS (SELECT * FROM (VALUES {templates}) AS v(need, label)),
+b AS (SELECT doc_id, words[i + 1:i + {BLOCK}] AS block FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words), 1), {STEP})) AS i FROM w)),
+f AS (SELECT doc_id, label, max(len(list_intersect(block, need)) / CAST(len(need) AS DOUBLE)) AS share FROM b, t WHERE len(list_intersect(block, need)) * 100 >= {PERCENT} * len(need) GROUP BY doc_id, label),
+l AS (SELECT doc_id, label FROM f UNION {base}), h AS ({base})
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word,
+ coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM h WHERE h.doc_id = q.doc_id), '') AS base_labels, coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM l WHERE l.doc_id = q.doc_id), '') AS labels,
+ CASE WHEN len(starts) > 0 THEN 1.0 ELSE coalesce((SELECT max(share) FROM f WHERE f.doc_id = q.doc_id), 0.0) END AS score FROM q"""

@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_knn": knn.SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.taken_sql(), "op8_substrings": substrings.SQL}
+    return {"op1_knn": knn.SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.taken_sql(), "op7_licenses": licenses.digest_sql(), "op8_substrings": substrings.SQL, "op10_jaccard": jaccard.SQL}
