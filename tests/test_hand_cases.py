@@ -110,3 +110,59 @@ def test_nal_units(spark):
 def test_empty_input(spark):
     none = packets(spark, [1]).filter("false")
     assert sequences.loss_statistics(none).count() == 0 and sequences.lost_sequences(none).count() == 0
+
+
+def reordered(spark, frames, **more):
+    rows = [(0, i, n, t, p, d, c) for i, (n, t, p, d, c) in enumerate(frames)]
+    df = spark.createDataFrame(rows, "stream_id long, arrival_idx long, event_id long, frame_type string, pts long, dts long, capture_us long")
+    return [(r.event_id, r.dts) for r in folds.reordered(df, **more).orderBy("out").collect()]
+
+
+def test_reorder_buffer(spark):
+    at = lambda i: i * 33_000
+    simple = [(1, "I", 1000, 1000, at(0)), (4, "P", 4000, 2000, at(1)), (2, "B", 2000, 3000, at(2)), (3, "B", 3000, 4000, at(3))]
+    assert [n for n, _ in reordered(spark, simple)] == [1, 4, 2, 3]
+    group = [(i + 1, t, p * 1000, i * 1000, at(i)) for i, (t, p) in enumerate(zip("IPBBPBBBBI", (0, 3, 1, 2, 6, 4, 5, 7, 8, 9)))]
+    out = reordered(spark, group)
+    assert len(out) == 10 and [d for _, d in out] == sorted(d for _, d in out)
+    back = [(1, "I", 1000, 1000, at(0)), (2, "P", 2000, 2000, at(1)), (3, "P", 3000, 3000, at(2)), (4, "P", 4000, 500, at(3))]
+    assert [n for n, _ in reordered(spark, back)] == [1, 2, 3]  # one dropped
+    assert reordered(spark, [(1, "I", 1000, 0, 0)]) == [(1, 1000)]  # the DTS is the PTS
+    late = [(1, "B", 1000, 1000, 0), (2, "B", 2000, 2000, 300_000)]
+    assert [n for n, _ in reordered(spark, late, depth=5)] == [1, 2]
+    idr = [(1, "P", 1000, 1000, at(0)), (2, "B", 5000, 5000, at(1)), (3, "IDR", 4000, 4000, at(2))]
+    assert [d for _, d in reordered(spark, idr)] == [1000, 4000, 5000]
+    reset = [(i, "P", t, t, at(i)) for i, t in enumerate([5_000_000, 5_003_000, 5_006_000, 1000, 4000, 7000])]
+    assert sorted(n for n, _ in reordered(spark, reset)) == list(range(6))  # a new time base is accepted
+    wrap = [(i, "P", t % (1 << 33), t % (1 << 33), at(i)) for i, t in enumerate(range((1 << 33) - 9000, (1 << 33) + 9000, 3000))]
+    assert len(reordered(spark, wrap)) == 6
+
+
+def test_timestamp_rules(spark):
+    top = (1 << 33) - 1
+
+    def checked(pairs):
+        df = spark.createDataFrame([(0, i, p, d) for i, (p, d) in enumerate(pairs)], "stream_id long, arrival_idx long, pts long, dts long")
+        return [(r.problem, r.warnings, r.pts_wraps, r.dts_wraps) for r in folds.checked_timestamps(df).orderBy("arrival_idx").collect()]
+
+    for pair, problem in [((90_000, 0), None), ((90_000, 90_000), None), ((95_000, 90_000), None), ((-1, 0), "range"), ((90_000, -1), "range"), ((top + 1, 0), "range"), ((90_000, top + 1), "range"), ((90_000, 95_000), "order")]:
+        assert checked([pair])[0][0] == problem
+    assert [x[:2] for x in checked([(1000, 1000), (2000, 2000), (1500, 0), (3000, 3000), (4000, 2500)])] == [(None, []), (None, []), (None, ["behind"]), (None, []), ("back", [])]
+    assert checked([(top - 1000, top - 1000), (1000, 1000)])[1] == (None, ["wrap", "dts wrap"], 1, 1)
+
+
+def test_picture_sizes_of_known_sets():
+    from tidewire.functions import parsing
+
+    # 1280 x 720, baseline; 1920 x 1080, high, cropped by eight rows
+    assert parsing.first_size([bytes.fromhex("68CE3880"), bytes.fromhex("6742001FDA014016E4")], "H264") == (1280, 720)
+    assert parsing.first_size([bytes.fromhex("67640028ACD940780227E5C0440000030004000003")], "H264") == (1920, 1080)
+    assert parsing.first_size([b"", b"\x67", bytes.fromhex("674200")], "H264") is None and parsing.first_size([b"\x42\x01"], "HEVC") is None
+
+
+def test_alignment(spark):
+    packet = lambda k: b"\x47" + bytes([k]) * 187
+    stream = b"\x01\x47\x02" + packet(1) + packet(2) + packet(3)
+    df = spark.createDataFrame([(0, i, bytearray(stream[a : a + 100])) for i, a in enumerate(range(0, len(stream), 100))] + [(1, 0, bytearray(b"abc")), (1, 1, None)], "stream_id long, arrival_idx long, chunk binary")
+    got = {r.n: bytes(r.packet) for r in folds.aligned(df).collect()}
+    assert all(len(p) == 188 and p[0] == 0x47 for p in got.values()) and len(got) == 3

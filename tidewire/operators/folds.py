@@ -20,22 +20,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidewire.sources.session import shipped
 
 
-def ordered_fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple], adds: T.StructType) -> DataFrame:
-    """Adds the columns ``adds``: for each row of a key, in order, what ``step(state, row)`` returns;
-    ``start()`` makes the state of a new key, which ``step`` changes in place."""
+def ordered_fold(rows: DataFrame, key: str, order: list[str], needs: list[str], start: Callable[[], Any], step: Callable[..., tuple], adds: T.StructType) -> DataFrame:
+    """Adds the columns ``adds``: for each row of a key, in order, what ``step(state, *values of needs)`` returns;
+    ``start()`` makes the state of a new key, which ``step`` changes in place. Batches pass by columns, and only the
+    columns named are read in Python."""
     shipped(rows.sparkSession)
     schema = T.StructType([*rows.schema.fields, *adds.fields])
     added = to_arrow_schema(adds)
+    at = [rows.columns.index(c) for c in [key, *needs]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
         for b in batches:
             out = []
-            for row in b.to_pylist():
-                if row[key] != now or state is None:
-                    now, state = row[key], start()
-                out.append(step(state, row))
-            more = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(added)]
+            for k, *values in zip(*(b.column(i).to_pylist() for i in at)):
+                if k != now or state is None:
+                    now, state = k, start()
+                out.append(step(state, *values))
+            more = [pa.array(x, f.type) for x, f in zip(zip(*out), added)] if out else [pa.array([], f.type) for f in added]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *added.names])
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
@@ -50,54 +52,54 @@ def token_bucket(rows: DataFrame, rate: int, key: str = "stream_id", at: str = "
     millisecond at once."""
     most = max(rate, 1024)
 
-    def step(s: dict, r: dict) -> tuple:
+    def step(s: dict, now: int, n: int) -> tuple:
         if s["at"] is None:
-            s["at"] = r[at]
-        new = (r[at] - s["at"]) * rate // 1_000_000
-        if r[at] - s["at"] >= 1000 and new > 0:
-            s["tokens"], s["at"] = min(most, s["tokens"] + new), r[at]
-        allowed = r[size] <= s["tokens"]
+            s["at"] = now
+        new = (now - s["at"]) * rate // 1_000_000
+        if now - s["at"] >= 1000 and new > 0:
+            s["tokens"], s["at"] = min(most, s["tokens"] + new), now
+        allowed = n <= s["tokens"]
         if allowed:
-            s["tokens"] -= r[size]
+            s["tokens"] -= n
         return allowed, s["tokens"]
 
-    return ordered_fold(rows, key, list(order), lambda: {"tokens": most, "at": None}, step, _fields(allowed=T.BooleanType(), tokens=T.LongType()))
+    return ordered_fold(rows, key, list(order), [at, size], lambda: {"tokens": most, "at": None}, step, _fields(allowed=T.BooleanType(), tokens=T.LongType()))
 
 
 def circuit_breaker(rows: DataFrame, failed: str, threshold: int, timeout_us: int, key: str = "stream_id", at: str = "capture_us", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
     """Adds allowed and state: closed, open after so many failures, half-open (one probe) after a
     pause."""
-    def step(s: dict, r: dict) -> tuple:
+    def step(s: dict, now: int, bad: bool) -> tuple:
         if s["state"] == "open":
-            allowed = r[at] - s["last"] > timeout_us
+            allowed = now - s["last"] > timeout_us
             if allowed:
                 s["state"], s["used"] = "half-open", True
         elif s["state"] == "half-open":
             allowed, s["used"] = not s["used"], True
         else:
             allowed = True
-        if allowed and r[failed]:
-            s["failures"], s["last"] = s["failures"] + 1, r[at]
+        if allowed and bad:
+            s["failures"], s["last"] = s["failures"] + 1, now
             if s["failures"] >= threshold:
                 s["state"] = "open"
         elif allowed:
             s.update(failures=0, state="closed", used=False)
         return allowed, s["state"]
 
-    return ordered_fold(rows, key, list(order), lambda: {"state": "closed", "failures": 0, "last": 0, "used": False}, step, _fields(allowed=T.BooleanType(), state=T.StringType()))
+    return ordered_fold(rows, key, list(order), [at, failed], lambda: {"state": "closed", "failures": 0, "last": 0, "used": False}, step, _fields(allowed=T.BooleanType(), state=T.StringType()))
 
 
 def rate_controller(rows: DataFrame, least: int, most: int, target: float = 0.7, up: float = 1.2, down: float = 0.8, history: int = 10, key: str = "stream_id", order: tuple[str, ...] = ("tick",)) -> DataFrame:
     """Adds smoothed and rate for a column pressure: raised below 90 % of the target, cut above
     110 %, nudged in between; quick changes of pressure count more than its weighted mean."""
-    def step(s: dict, r: dict) -> tuple:
+    def step(s: dict, pressure: float) -> tuple:
         seen = s["seen"]
-        seen.append(r["pressure"])
+        seen.append(pressure)
         del seen[:-history]
         weights = range(1, len(seen) + 1)
         smooth = sum(w * p for w, p in zip(weights, seen)) / sum(weights)
-        gap = r["pressure"] - smooth
-        p = r["pressure"] * 0.7 + smooth * 0.3 if abs(gap) > 0.1 else smooth
+        gap = pressure - smooth
+        p = pressure * 0.7 + smooth * 0.3 if abs(gap) > 0.1 else smooth
         if p < target * 0.9:
             factor = up * (1.5 if p < target * 0.5 else 1.0)
         elif p > target * 1.1:
@@ -107,7 +109,7 @@ def rate_controller(rows: DataFrame, least: int, most: int, target: float = 0.7,
         s["rate"] = min(most, max(least, int(s["rate"] * factor)))
         return smooth, s["rate"]
 
-    return ordered_fold(rows, key, list(order), lambda: {"seen": [], "rate": most}, step, _fields(smoothed=T.DoubleType(), rate=T.LongType()))
+    return ordered_fold(rows, key, list(order), ["pressure"], lambda: {"seen": [], "rate": most}, step, _fields(smoothed=T.DoubleType(), rate=T.LongType()))
 
 
 def quality_ladder(rows: DataFrame, bitrates: tuple[int, ...], key: str = "stream_id", order: tuple[str, ...] = ("win",)) -> DataFrame:
@@ -115,10 +117,10 @@ def quality_ladder(rows: DataFrame, bitrates: tuple[int, ...], key: str = "strea
     bandwidth has a fifth to spare, one down when strained, two in an emergency."""
     last = len(bitrates) - 1
 
-    def step(s: dict, r: dict) -> tuple:
-        now, score, busy = s["profile"], r["score"], max(r["cpu"], r["memory"])
+    def step(s: dict, score: float, cpu: float, memory: float, bandwidth: float) -> tuple:
+        now, busy = s["profile"], max(cpu, memory)
         if score > 0.8 and busy < 0.6:
-            if now > 0 and r["bandwidth"] > bitrates[now - 1] * 120 // 100:
+            if now > 0 and bandwidth > bitrates[now - 1] * 120 // 100:
                 now -= 1
         elif score < 0.3 or busy > 0.95:
             now = min(last, now + 2)
@@ -127,154 +129,263 @@ def quality_ladder(rows: DataFrame, bitrates: tuple[int, ...], key: str = "strea
         s["profile"] = now
         return (now,)
 
-    return ordered_fold(rows, key, list(order), lambda: {"profile": 1}, step, _fields(profile=T.IntegerType()))
+    return ordered_fold(rows, key, list(order), ["score", "cpu", "memory", "bandwidth"], lambda: {"profile": 1}, step, _fields(profile=T.IntegerType()))
 
 
 def connection_limit(rows: DataFrame, most: int, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
     """Adds admitted and held for a column opens: an opening is admitted below the limit, anything
     else closes one."""
-    def step(s: dict, r: dict) -> tuple:
+    def step(s: dict, opens: bool) -> tuple:
         ok = None
-        if r["opens"]:
+        if opens:
             ok = s["held"] < most
             s["held"] += ok
         else:
             s["held"] = max(0, s["held"] - 1)
         return ok, s["held"]
 
-    return ordered_fold(rows, key, list(order), lambda: {"held": 0}, step, _fields(admitted=T.BooleanType(), held=T.LongType()))
+    return ordered_fold(rows, key, list(order), ["opens"], lambda: {"held": 0}, step, _fields(admitted=T.BooleanType(), held=T.LongType()))
 
 
-def checked_timestamps(rows: DataFrame, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
-    """Adds problem for columns pts and dts: a row out of range, with pts before dts, or with dts
-    going back is rejected and leaves the state as it was."""
-    top = (1 << 33) - 1
-
-    def step(s: dict, r: dict) -> tuple:
-        pts, dts = r["pts"], r["dts"]
-        if not (0 <= pts <= top and 0 <= dts <= top):
-            return ("range",)
-        if dts and pts < dts:
-            return ("order",)
-        if s["dts"] is not None and dts < s["dts"] and s["dts"] - dts <= top // 2:
-            return ("back",)
-        s["dts"] = dts
-        return (None,)
+#: Times have 33 bits; ticks of 90 kHz of the largest step that is taken for one, and of the largest lead of PTS.
+TOP, MOST_STEP, MOST_LEAD = (1 << 33) - 1, 900_000, 90_000
+
 
-    return ordered_fold(rows, key, list(order), lambda: {"dts": None}, step, _fields(problem=T.StringType()))
+def checked_timestamps(rows: DataFrame, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
+    """Adds problem, warnings, pts_wraps and dts_wraps for columns pts and dts (0: absent). A row out of range, with pts
+    before dts, or with a dts a little behind the last one is rejected; the last does not undo the count of a pts wrap.
+    Warnings: lead (pts more than a second ahead of dts), wrap, jump (pts more than ten seconds on), behind (pts a little
+    back), dts wrap."""
+    def step(s: dict, pts: int, dts: int) -> tuple:
+        said: list[str] = []
+        if not (0 <= pts <= TOP and 0 <= dts <= TOP):
+            problem = "range"
+        elif dts and pts < dts:
+            problem = "order"
+        else:
+            problem = None
+            if dts and pts - dts > MOST_LEAD:
+                said.append("lead")
+            if s["pts"] is not None:
+                moved = pts - s["pts"]
+                if moved < -(TOP // 2):
+                    s["pts_wraps"] += 1
+                    said.append("wrap")
+                elif moved > MOST_STEP:
+                    said.append("jump")
+                elif -MOST_STEP < moved < 0:
+                    said.append("behind")
+                back = s["dts"] - dts if dts and s["dts"] else 0
+                if back > TOP // 2:
+                    s["dts_wraps"] += 1
+                    said.append("dts wrap")
+                elif 0 < back < MOST_STEP:
+                    problem = "back"
+            if problem is None:
+                s["pts"], s["dts"] = pts, dts
+        return problem, said, s["pts_wraps"], s["dts_wraps"]
+
+    adds = _fields(problem=T.StringType(), warnings=T.ArrayType(T.StringType()), pts_wraps=T.LongType(), dts_wraps=T.LongType())
+    return ordered_fold(rows, key, list(order), ["pts", "dts"], lambda: {"pts": None, "dts": None, "pts_wraps": 0, "dts_wraps": 0}, step, adds)
 
 
 def alert_deduplication(rows: DataFrame, pause_us: int, key: str = "alert", at: str = "capture_us", order: tuple[str, ...] = ("capture_us", "arrival_idx")) -> DataFrame:
     """Adds sent: an alert is repeated only when its last sending is longer ago than the pause."""
-    def step(s: dict, r: dict) -> tuple:
-        new = s["at"] is None or r[at] - s["at"] > pause_us
+    def step(s: dict, now: int) -> tuple:
+        new = s["at"] is None or now - s["at"] > pause_us
         if new:
-            s["at"] = r[at]
+            s["at"] = now
         return (new,)
 
-    return ordered_fold(rows, key, list(order), lambda: {"at": None}, step, _fields(sent=T.BooleanType()))
+    return ordered_fold(rows, key, list(order), [at], lambda: {"at": None}, step, _fields(sent=T.BooleanType()))
 
 
 def checked_packets(rows: DataFrame, most_gap: int = 100, most_jump: int = 60 * 90_000, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
     """Adds problem for columns seq and rtp_ts: a sequence gap or a time jump beyond its limit
     rejects the row and leaves the state as it was."""
-    def step(s: dict, r: dict) -> tuple:
+    def step(s: dict, seq: int, ts: int) -> tuple:
         if s["seq"] is not None:
-            gap = (r["seq"] - s["seq"] + 32768) % 65536 - 32768
-            jump = (r["rtp_ts"] - s["ts"] + (1 << 31)) % (1 << 32) - (1 << 31)
+            gap = (seq - s["seq"] + 32768) % 65536 - 32768
+            jump = (ts - s["ts"] + (1 << 31)) % (1 << 32) - (1 << 31)
             if abs(gap) > most_gap:
                 return ("gap",)
             if abs(jump) > most_jump:
                 return ("jump",)
-        s["seq"], s["ts"] = r["seq"], r["rtp_ts"]
+        s["seq"], s["ts"] = seq, ts
         return (None,)
 
-    return ordered_fold(rows, key, list(order), lambda: {"seq": None, "ts": None}, step, _fields(problem=T.StringType()))
-
-
-def reordered(rows: DataFrame, depth: int, key: str = "stream_id") -> DataFrame:
-    """stream_id, event_id, dts, out: frames as a buffer of so many frames releases them by decode
-    time. A frame whose time has passed when it comes is dropped; a keyframe empties the buffer; what
-    is left at the end of a stream is released last. The state is the buffer."""
+    return ordered_fold(rows, key, list(order), ["seq", "rtp_ts"], lambda: {"seq": None, "ts": None}, step, _fields(problem=T.StringType()))
+
+
+class _Reorderer:
+    """One stream's frames (dts, number, pts, kind, capture time, event) on their way from arrival to decode order."""
+
+    def __init__(self, depth: int, wait_us: int):
+        self.depth, self.wait = depth, wait_us
+        self.held: list[tuple] = []
+        self.count = 0
+        self.dts = self.pts = None  # of the last frame released; pts of the last one that is not a B frame
+
+    def _due(self, now: int) -> bool:
+        """Whether the frame with the least dts may go."""
+        dts, _, _, kind, seen, _ = self.held[0]
+        n = len(self.held)
+        if n >= self.depth or kind == "IDR" or now - seen > self.wait or kind == "I" and n > 1:
+            return True
+        if kind != "P" or n < 2:
+            return False
+        after = min(self.held[1:3])  # a heap: the second least is a child of the least
+        return n >= (self.depth + 1) // 2 or after[3] in ("I", "P") and after[0] - dts > MOST_GAP
+
+    def _fits(self, frame: tuple) -> bool:
+        """Whether a frame keeps the order of those released. A long way back is a wrap or a new time base."""
+        dts, _, pts, kind, _, _ = frame
+        if self.pts is None:
+            return True
+        back = self.dts - dts if dts < self.dts else self.pts - pts if kind != "B" else 0
+        return back <= 0 or back > MOST_STEP
+
+    def _released(self) -> tuple | None:
+        frame = heapq.heappop(self.held)
+        if not self._fits(frame):
+            return None
+        self.dts = frame[0]
+        if frame[3] != "B":
+            self.pts = frame[2]
+        return frame[5], frame[0]
+
+    def add(self, pts: int, dts: int, kind: str, now: int, event: int) -> Iterator[tuple]:
+        heapq.heappush(self.held, (dts or pts, self.count, pts, kind, now, event))  # without a dts it is the pts
+        self.count += 1
+        while self.held and self._due(now):
+            if (out := self._released()) is not None:
+                yield out
+
+    def rest(self) -> Iterator[tuple]:
+        while self.held:
+            if (out := self._released()) is not None:
+                yield out
+
+
+#: Fixed value: ticks between a P frame and the next I or P frame beyond which no B frames are waited for.
+MOST_GAP = 10_000
+
+
+def reordered(rows: DataFrame, depth: int = 3, wait_us: int = 200_000, key: str = "stream_id") -> DataFrame:
+    """stream_id, event_id, dts, out: frames as a buffer of so many frames releases them by decode time. The least frame
+    goes when the buffer is full, when it has waited too long (by the capture time of the newest frame), when it is an IDR
+    frame, an I frame with another behind it, or a P frame with half a buffer or a long gap behind it. A frame behind those
+    released is dropped, unless it is so far behind that the times have wrapped or begun anew. At the end of a stream the
+    rest goes. The state is the buffer."""
     shipped(rows.sparkSession)
+    needs = [key, "pts", "dts", "frame_type", "capture_us", "event_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, heap, last, n = object(), [], None, 0
+        now, state, n = None, _Reorderer(depth, wait_us), 0
         for b in batches:
             out: list[tuple] = []
 
-            def release(k: int) -> None:
-                nonlocal last, n
-                while len(heap) > k:
-                    dts, event = heapq.heappop(heap)
+            def put(found: Iterator[tuple]) -> None:
+                nonlocal n
+                for event, dts in found:
                     out.append((now, event, dts, n))
-                    last, n = dts, n + 1
-
-            for r in b.to_pylist():
-                if r[key] != now:
-                    release(0)
-                    now, last, n = r[key], None, 0
-                if last is not None and r["dts"] <= last:
-                    continue
-                if r["frame_type"] == "IDR":
-                    release(0)
-                heapq.heappush(heap, (r["dts"], r["event_id"]))
-                release(depth)
+                    n += 1
+
+            for k, *frame in zip(*(x.to_pylist() for x in b.columns)):
+                if k != now:
+                    put(state.rest())
+                    now, state, n = k, _Reorderer(depth, wait_us), 0
+                put(state.add(*frame))
             yield batch(out)
-        out = []
-        while heap:
-            dts, event = heapq.heappop(heap)
-            out.append((now, event, dts, n))
-            n += 1
-        yield batch(out)
+        yield batch([(now, event, dts, n + i) for i, (event, dts) in enumerate(state.rest())])
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], [key, "event_id", "dts", "out"])
 
-    return rows.repartition(key).sortWithinPartitions(key, "arrival_idx").mapInArrow(run, f"{key} long, event_id long, dts long, out long")
+    ordered = rows.repartition(key).sortWithinPartitions(key, "arrival_idx").select(*needs)
+    return ordered.mapInArrow(run, f"{key} long, event_id long, dts long, out long")
 
 
 def memory_limit(rows: DataFrame, most: int, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
     """Adds granted and used for a column change: what would go over the limit is refused, what is
     given back always counts."""
-    def step(s: dict, r: dict) -> tuple:
-        ok = r["change"] <= 0 or s["used"] + r["change"] <= most
+    def step(s: dict, change: int) -> tuple:
+        ok = change <= 0 or s["used"] + change <= most
         if ok:
-            s["used"] = max(0, s["used"] + r["change"])
+            s["used"] = max(0, s["used"] + change)
         return ok, s["used"]
 
-    return ordered_fold(rows, key, list(order), lambda: {"used": 0}, step, _fields(granted=T.BooleanType(), used=T.LongType()))
+    return ordered_fold(rows, key, list(order), ["change"], lambda: {"used": 0}, step, _fields(granted=T.BooleanType(), used=T.LongType()))
 
 
 def cached(rows: DataFrame, most: int, ttl_us: int, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
     """Adds hit for columns entry and capture_us: a cache of so many entries, the least recently used
     of which goes first, and of which none lives longer than its time."""
-    def step(s: dict, r: dict) -> tuple:
+    def step(s: dict, entry: int, now: int) -> tuple:
         held = s["held"]
-        born = held.pop(r["entry"], None)
-        hit = born is not None and r["capture_us"] - born <= ttl_us
-        held[r["entry"]] = born if hit else r["capture_us"]
+        born = held.pop(entry, None)
+        hit = born is not None and now - born <= ttl_us
+        held[entry] = born if hit else now
         if len(held) > most:
             del held[next(iter(held))]
         return (hit,)
 
-    return ordered_fold(rows, key, list(order), lambda: {"held": {}}, step, _fields(hit=T.BooleanType()))
+    return ordered_fold(rows, key, list(order), ["entry", "capture_us"], lambda: {"held": {}}, step, _fields(hit=T.BooleanType()))
 
 
 def drift_corrected(samples: DataFrame, limit_us: int = 40_000, share: float = 0.1, most_us: int = 5_000, pause_us: int = 100_000, last: int = 100) -> DataFrame:
     """Adds offset_us and corrections for drift samples: once ten samples are there, and not more
     often than the pause, a tenth of the mean drift, at most a step, moves the audio offset; later
     samples see it."""
-    def step(s: dict, r: dict) -> tuple:
-        drift = r["drift_us"] - s["offset"]
+    def step(s: dict, now: int, measured: int) -> tuple:
+        drift = measured - s["offset"]
         seen = s["seen"]
         seen.append(drift)
         del seen[:-last]
-        if abs(drift) > limit_us and len(seen) >= 10 and (s["at"] is None or r["capture_us"] - s["at"] > pause_us):
+        if abs(drift) > limit_us and len(seen) >= 10 and (s["at"] is None or now - s["at"] > pause_us):
             mean = int(sum(seen) / len(seen))
             if abs(mean) >= limit_us // 2:
                 move = max(-most_us, min(most_us, int(mean * share)))
-                s["offset"], s["at"], s["n"] = s["offset"] - move, r["capture_us"], s["n"] + 1
+                s["offset"], s["at"], s["n"] = s["offset"] - move, now, s["n"] + 1
         return s["offset"], s["n"]
 
-    return ordered_fold(samples, "stream_id", ["capture_us", "event_id"], lambda: {"offset": 0, "seen": [], "at": None, "n": 0}, step, _fields(offset_us=T.LongType(), corrections=T.LongType()))
+    return ordered_fold(samples, "stream_id", ["capture_us", "event_id"], ["capture_us", "drift_us"], lambda: {"offset": 0, "seen": [], "at": None, "n": 0}, step, _fields(offset_us=T.LongType(), corrections=T.LongType()))
+
+
+#: Bytes of a transport packet, and the byte that begins one.
+PACKET, SYNC = 188, 0x47
+
+
+def _synchronised(data: bytes) -> int:
+    """Where the first packet begins: a sync byte with another one a packet further on, or too near the end for that; -1 if there is none."""
+    at = data.find(SYNC)
+    while at >= 0 and at + PACKET < len(data) and data[at + PACKET] != SYNC:
+        at = data.find(SYNC, at + 1)
+    return at
+
+
+def aligned(chunks: DataFrame, key: str = "stream_id", order: str = "arrival_idx") -> DataFrame:
+    """stream_id, n and packet: the packets in each stream's chunks (a column chunk), whatever the places at which these were
+    cut. Less than a packet is carried on to the next chunk; what stands before a sync byte is dropped."""
+    shipped(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n = None, b"", 0
+        for b in batches:
+            keys, numbers, packets = [], [], []
+            for k, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != now:
+                    now, held, n = k, b"", 0
+                held += chunk or b""
+                if held and held[0] != SYNC:
+                    if (at := _synchronised(held)) < 0:
+                        continue
+                    held = held[at:]
+                for at in range(0, len(held) - PACKET + 1, PACKET):
+                    keys.append(k), numbers.append(n), packets.append(held[at : at + PACKET])
+                    n += 1
+                held = held[len(held) // PACKET * PACKET :]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64()), pa.array(packets, pa.binary())], [key, "n", "packet"])
+
+    ordered = chunks.repartition(key).sortWithinPartitions(key, order).select(key, "chunk")
+    return ordered.mapInArrow(run, f"{key} long, n long, packet binary")

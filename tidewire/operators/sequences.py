@@ -73,20 +73,42 @@ def unwrapped(packets: DataFrame, column: str, bits: int, to: str) -> DataFrame:
     return packets.withColumn("turn", turn).withColumn(to, F.col(column) + F.sum("turn").over(arrival()) * span).drop("turn")
 
 
-def jitter(packets: DataFrame, clock: int = 90_000) -> DataFrame:
-    """Interarrival jitter of RFC 3550, folded over each stream in order of arrival, in clock units.
-    The fold holds one stream's transit times (16 bytes a packet) at a time."""
-    common = gcd(clock, 1_000_000)  # so that microseconds of the epoch times the clock stay in 64 bits
-    transit = F.expr(f"capture_us * {clock // common} div {1_000_000 // common}") - F.col("ts")
-    steps = unwrapped(packets, "rtp_ts", 32, "ts").withColumn("transit", transit).withColumn("d", F.abs(F.col("transit") - F.lag("transit").over(arrival())).cast("double"))
-    folded = steps.filter("d is not null").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("arrival_idx", "d"))).alias("ds"))
-    zero = F.struct(F.lit(0.0).alias("j"), F.lit(0.0).alias("most"))
+#: Rows of a block over which a recurrence is folded at once.
+BLOCK = 1024
+
+
+def smoothed(rows: DataFrame, value: Column, keep: float, start: Column | None = None) -> DataFrame:
+    """stream_id, last and most: the last and the highest state of a weighted mean, keep * state + (1 - keep) * value, over
+    each stream's rows in order of arrival, from ``start`` (a value of the first row; 0 unless given) on. Rows are folded by
+    blocks: a first fold from 0 gives what a block adds, so the state in which the next one starts; ``keep`` to the power of
+    ``BLOCK`` is so small that the block before the last but one no longer counts in double precision."""
+    held = rows.withColumn("x", value.cast("double")).withColumn("block", F.expr(f"(row_number() over (partition by stream_id order by arrival_idx) - 1) div {BLOCK}"))
+    blocks = held.groupBy("stream_id", "block").agg(F.array_sort(F.collect_list(F.struct("arrival_idx", "x"))).alias("xs"))
+    first = F.when(F.col("block") == 0, start if start is not None else F.lit(0.0)).otherwise(F.lit(0.0))
+
+    def step(a: Column, v: Column) -> Column:
+        return a * keep + v["x"] * (1 - keep)
+
+    by = Window.partitionBy("stream_id").orderBy("block")
+    ends = blocks.withColumn("first", first).withColumn("end", F.aggregate("xs", F.col("first"), step))
+    state = F.lag("end").over(by) + F.coalesce(F.lag("end", 2).over(by) * keep**BLOCK, F.lit(0.0))
+    zero = F.struct(F.coalesce(state, "first").alias("j"), F.lit(float("-inf")).alias("most"))
 
-    def step(a: Column, x: Column) -> Column:
-        j = a["j"] + (x["d"] - a["j"]) / 16.0
+    def both(a: Column, v: Column) -> Column:
+        j = step(a["j"], v)
         return F.struct(j.alias("j"), F.greatest(a["most"], j).alias("most"))
 
-    return folded.select("stream_id", F.aggregate("ds", zero, step).alias("r")).select("stream_id", F.round("r.j", 4).alias("jitter"), F.round("r.most", 4).alias("max_jitter"))
+    ends = ends.withColumn("zero", zero).withColumn("r", F.aggregate("xs", F.col("zero"), both))
+    return ends.groupBy("stream_id").agg(F.max_by("r.j", "block").alias("last"), F.max("r.most").alias("most"))
+
+
+def jitter(packets: DataFrame, clock: int = 90_000) -> DataFrame:
+    """Interarrival jitter of RFC 3550 over each stream in order of arrival, in clock units."""
+    common = gcd(clock, 1_000_000)  # so that microseconds of the epoch times the clock stay in 64 bits
+    transit = F.expr(f"capture_us * {clock // common} div {1_000_000 // common}") - F.col("ts")
+    steps = unwrapped(packets, "rtp_ts", 32, "ts").withColumn("transit", transit).withColumn("d", F.abs(F.col("transit") - F.lag("transit").over(arrival())))
+    made = smoothed(steps.filter("d is not null"), F.col("d"), 15 / 16)
+    return made.select("stream_id", F.round("last", 4).alias("jitter"), F.round("most", 4).alias("max_jitter"))
 
 
 def playout(packets: DataFrame, delay_us: int = 50_000, clock: int = 90_000) -> DataFrame:
@@ -105,14 +127,31 @@ def continuity(packets: DataFrame) -> DataFrame:
     return rows.groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.count_if(F.col("step") == 0).alias("repeats"), F.count_if(F.col("step") > 1).alias("breaks"))
 
 
+def counted_within(rows: DataFrame, at: str, span: int, counts: dict[str, Column], key: str = "stream_id") -> DataFrame:
+    """Adds each of ``counts`` summed over the rows of the key with ``at`` in [at - span, at]: the running sum up to the row
+    less the one at the start of its span, which is found in one order with the rows themselves, so no frame is folded
+    again for each row."""
+    upto = Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    known = rows.withColumns({f"_upto_{c}": F.sum(v.cast("long")).over(upto) for c, v in counts.items()} | {f"_one_{c}": v.cast("long") for c, v in counts.items()})
+    asks = known.withColumn("_t", F.col(at) - span).withColumn("_side", F.lit(0)).withColumns({f"_one_{c}": F.lit(0).cast("long") for c in counts})
+    adds = known.select(key, *[f"_one_{c}" for c in counts], F.col(at).alias("_t"), F.lit(1).alias("_side"))
+    before = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asks.unionByName(adds, allowMissingColumns=True).withColumns({c: F.col(f"_upto_{c}") - F.sum(f"_one_{c}").over(before) for c in counts})
+    return both.filter("_side = 0").select(*rows.columns, *counts)
+
+
 def sliding_bitrate(packets: DataFrame, span_us: int = 10_000_000) -> DataFrame:
-    """Bits a second over the span before each packet, from the running byte counter."""
-    span = Window.partitionBy("stream_id").orderBy("capture_us").rangeBetween(-span_us, 0)
+    """Bits a second over the span before each packet, from the running byte counter. The first packet of the span is
+    found by a fill over packets and starts of spans in one order."""
     rows = packets.withColumn("total", F.sum("size").over(Window.partitionBy("stream_id").orderBy("capture_us", "arrival_idx")))
-    first = F.min(F.struct("capture_us", "arrival_idx", "total")).over(span)
-    took = F.col("capture_us") - first["capture_us"]
-    rate = F.when(took > 0, F.expr("(total - first.total) * 8000000 div (capture_us - first.capture_us)")).otherwise(F.lit(0).cast("long"))
-    return rows.withColumn("first", first).withColumn("bitrate", rate).drop("first", "total")
+    held = F.struct(F.col("capture_us").alias("at"), F.col("total").alias("bytes"))
+    asks = rows.withColumn("_t", F.col("capture_us") - span_us).withColumn("_side", F.lit(0))
+    adds = rows.select("stream_id", "arrival_idx", F.col("capture_us").alias("_t"), F.lit(1).alias("_side"), held.alias("_held"))
+    back = Window.partitionBy("stream_id").orderBy(F.desc("_t"), F.desc("_side"), F.desc("arrival_idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asks.unionByName(adds, allowMissingColumns=True).withColumn("_held", F.last("_held", ignorenulls=True).over(back)).filter("_side = 0")
+    took = F.col("capture_us") - F.col("_held.at")
+    rate = F.when(took > 0, F.expr("(total - _held.bytes) * 8000000 div (capture_us - _held.at)")).otherwise(F.lit(0).cast("long"))
+    return both.withColumn("bitrate", rate).select(*packets.columns, "bitrate")
 
 
 def sessions(events: DataFrame, key: str, at: str, gap_s: int) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gops, live, media, policies, quality, sequences, wire
+from . import gops, live, media, parsing, policies, quality, sequences, wire
 
-PARTS = (sequences, gops, quality, policies, wire, media, live)
+PARTS = (sequences, gops, quality, policies, wire, media, parsing, live)
 
 
 def everything() -> dict:

@@ -12,13 +12,13 @@ CATALOGUE = Catalogue()
 add = CATALOGUE.add
 
 
-@add(161, 162, sql="SELECT user_id % 8 AS stream_id, epoch_us(ts) // 86400000000 * 86400 AS window_s, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL")
+@add(161, 162, sql="SELECT user_id AS stream_id, epoch_us(ts) // 86400000000 * 86400 AS window_s, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL")
 def stream_rate_windows(spark, sf_dir):
     rows = live.drained(live.rate_windows(live.event_stream(spark, sf_dir), late=live.lateness(spark, sf_dir)), "update")
     return rows.groupBy("stream_id", "window_s").agg(F.max_by("n", "batch").alias("n"), F.max_by("ids", "batch").alias("ids"))
 
 
-@add(188, sql="SELECT event_id, user_id % 8 AS stream_id FROM events")
+@add(188, sql="SELECT event_id, user_id AS stream_id FROM events")
 def stream_deduplication(spark, sf_dir):
     events = live.event_stream(spark, sf_dir)
     return live.drained(live.deduplicated(events.union(events), live.lateness(spark, sf_dir)).select("event_id", "stream_id")).select("event_id", "stream_id")
@@ -34,7 +34,7 @@ def stream_sessions(spark, sf_dir):
     return rows.join(F.broadcast(last), "batch").select("user_id", "started_us", "n", "first_id")
 
 
-@add(191, 193, sql="WITH d AS (SELECT user_id % 8 AS stream_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS step FROM events) SELECT stream_id, max(event_id) AS high, CAST(sum(greatest(step - 1, 0)) AS BIGINT) AS lost FROM d GROUP BY stream_id")
+@add(191, 193, sql="WITH d AS (SELECT user_id AS stream_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events) SELECT stream_id, max(event_id) AS high, CAST(sum(greatest(step - 1, 0)) AS BIGINT) AS lost FROM d GROUP BY stream_id")
 def stream_gap_counts(spark, sf_dir):
     rows = live.drained(live.gap_counts(live.event_stream(spark, sf_dir)), "update")
     return rows.groupBy("stream_id").agg(F.max("high").alias("high"), F.max_by("lost", "batch").alias("lost"))

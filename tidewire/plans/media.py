@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import wire
-from tidewire.operators import avsync, folds, gops
+from tidewire.operators import avsync, folds, gops, sequences
 from tidewire.sources.projections import audio, packets, table
 
 from .base import WITH, Catalogue
@@ -111,10 +111,11 @@ def pes_assembly(spark, sf_dir):
 @add(154, sql=WITH + """, l AS (SELECT stream_id, list(CAST(size AS DOUBLE) ORDER BY arrival_idx) AS xs, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END), 6) AS success FROM packets GROUP BY stream_id)
 SELECT stream_id, round(list_reduce(xs, lambda a, x: a * 0.9 + x * 0.1), 4) AS mean, CAST(success AS DOUBLE) AS success FROM l""")
 def recovery_metrics(spark, sf_dir):
-    """Exponentially weighted mean, folded in order, and the share of successes."""
-    rows = packets(spark, sf_dir).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("arrival_idx", F.col("size").cast("double").alias("x")))).alias("xs"), F.round(F.avg(F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)), 6).alias("success"))
-    rest = F.slice("xs", F.lit(2), F.greatest(F.size("xs") - 1, F.lit(0)))
-    return rows.select("stream_id", F.round(F.aggregate(rest, F.get("xs", F.lit(0))["x"], lambda a, v: a * 0.9 + v["x"] * 0.1), 4).alias("mean"), "success")
+    """Exponentially weighted mean in order of arrival, and the share of successes."""
+    rows = packets(spark, sf_dir)
+    mean = sequences.smoothed(rows, F.col("size"), 0.9, start=F.get("xs", F.lit(0))["x"])
+    success = rows.groupBy("stream_id").agg(F.round(F.avg(F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)), 6).alias("success"))
+    return mean.join(success, "stream_id").select("stream_id", F.round("last", 4).alias("mean"), "success")
 
 
 @add(14, sql=WITH + "SELECT stream_id, event_id AS id, pts, dts, frame_type AS kind, CAST(size AS BIGINT) AS size FROM packets")
@@ -132,16 +133,26 @@ def serialized_frames(spark, sf_dir):
     return rows.select("stream_id", part(0, 8).alias("id"), part(8, 8).alias("pts"), part(16, 8).alias("dts"), kind.alias("kind"), part(25, 4).alias("size"))
 
 
-@add(194)
+@add(194, sql=(WITH + """, t AS (SELECT stream_id, arrival_idx, CASE WHEN event_id % 41 = 0 THEN (seq + 500) % 65536 ELSE seq END AS seq, CASE WHEN event_id % 43 = 0 THEN (rtp_ts + 9000000) % 4294967296 ELSE rtp_ts END AS ts, row_number() OVER (PARTITION BY stream_id ORDER BY arrival_idx) AS n FROM packets),
+r AS (SELECT stream_id, n, arrival_idx, CAST(NULL AS VARCHAR) AS problem, CAST(seq AS BIGINT) AS ls, CAST(ts AS BIGINT) AS lt FROM t WHERE n = 1 UNION ALL (
+ SELECT stream_id, n, arrival_idx, problem, CASE WHEN problem IS NULL THEN seq ELSE ls END, CASE WHEN problem IS NULL THEN ts ELSE lt END FROM (
+  SELECT t.*, r.ls, r.lt, CASE WHEN abs((t.seq - r.ls + 98304) % 65536 - 32768) > 100 THEN 'gap' WHEN abs((t.ts - r.lt + 6442450944) % 4294967296 - 2147483648) > 5400000 THEN 'jump' END AS problem FROM r JOIN t ON t.stream_id = r.stream_id AND t.n = r.n + 1) x))
+SELECT stream_id, arrival_idx, problem FROM r""").replace("WITH packets", "WITH RECURSIVE packets", 1))
 def rtp_timestamp_validation(spark, sf_dir):
-    rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", "seq", "rtp_ts")
+    """Packets, some of them far off in number or time."""
+    e = F.col("event_id")
+    seq = F.when(e % 41 == 0, F.pmod(F.col("seq") + 500, F.lit(65536))).otherwise(F.col("seq"))
+    ts = F.when(e % 43 == 0, F.pmod(F.col("rtp_ts") + 9000000, F.lit(1 << 32))).otherwise(F.col("rtp_ts"))
+    rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", seq.alias("seq"), ts.alias("rtp_ts"))
     return folds.checked_packets(rows).select("stream_id", "arrival_idx", "problem")
 
 
-@add(213, 214, 215)
+@add(212, 213, 214, 215)
 def reordered_frames(spark, sf_dir):
-    rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", "event_id", "dts", "frame_type")
-    return folds.reordered(rows, depth=3)
+    """Frames as they arrive, some with gaps, some with a new time base, in decode order."""
+    later = F.when(F.col("event_id") % 211 == 0, 2_000_000).otherwise(0)
+    rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", "event_id", F.col("pts") + later, F.col("dts") + later, "frame_type", "capture_us")
+    return folds.reordered(rows.toDF("stream_id", "arrival_idx", "event_id", "pts", "dts", "frame_type", "capture_us"))
 
 
 @add()

@@ -63,14 +63,30 @@ def connection_limits(spark, sf_dir):
     return folds.connection_limit(rows, 25).select("stream_id", "arrival_idx", "admitted", "held")
 
 
-@add(197)
+_PDV = (WITH + """, t AS (SELECT stream_id, arrival_idx, row_number() OVER (PARTITION BY stream_id ORDER BY arrival_idx) AS n, CASE WHEN event_id % 31 = 0 THEN -pts - 1 ELSE (pts + 8589900000) % 8589934592 END AS pts, CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 37 = 0 THEN (dts + 8589850000) % 8589934592 ELSE (dts + 8589900000) % 8589934592 END AS dts FROM packets),
+z AS (SELECT stream_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS lp, CAST(NULL AS BIGINT) AS ld, CAST(0 AS BIGINT) AS pw, CAST(0 AS BIGINT) AS dw, CAST(NULL AS BIGINT) AS arrival_idx, CAST(NULL AS VARCHAR) AS problem, '' AS warnings FROM packets GROUP BY stream_id),
+r AS (SELECT * FROM z UNION ALL (
+ SELECT stream_id, n, CASE WHEN problem IS NULL THEN pts ELSE lp END, CASE WHEN problem IS NULL THEN dts ELSE ld END, pw + CASE WHEN seen AND lp IS NOT NULL AND pts - lp < -4294967295 THEN 1 ELSE 0 END,
+  dw + CASE WHEN seen AND back > 4294967295 THEN 1 ELSE 0 END, arrival_idx, problem,
+  CASE WHEN seen THEN concat_ws(',', CASE WHEN dts <> 0 AND pts - dts > 90000 THEN 'lead' END, CASE WHEN pts - lp < -4294967295 THEN 'wrap' WHEN pts - lp > 900000 THEN 'jump' WHEN pts - lp < 0 AND pts - lp > -900000 THEN 'behind' END, CASE WHEN back > 4294967295 THEN 'dts wrap' END) ELSE '' END
+ FROM (SELECT *, problem IS NULL OR problem = 'back' AS seen FROM (SELECT *, CASE WHEN pts < 0 OR pts > 8589934591 OR dts < 0 OR dts > 8589934591 THEN 'range' WHEN dts <> 0 AND pts < dts THEN 'order' WHEN back > 0 AND back < 900000 THEN 'back' END AS problem
+  FROM (SELECT t.*, r.lp, r.ld, r.pw, r.dw, CASE WHEN t.dts <> 0 AND r.ld <> 0 THEN r.ld - t.dts ELSE 0 END AS back FROM r JOIN t ON t.stream_id = r.stream_id AND t.n = r.n + 1) a) b) c))
+SELECT stream_id, arrival_idx, problem, warnings, pw AS pts_wraps, dw AS dts_wraps FROM r WHERE n > 0""").replace("WITH packets", "WITH RECURSIVE packets", 1)
+
+
+@add(197, sql=_PDV)
 def timestamp_validation(spark, sf_dir):
-    pts = F.when(F.col("event_id") % 31 == 0, -F.col("pts") - 1).otherwise(F.col("pts"))
-    rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", pts.alias("pts"), "dts")
-    return folds.checked_timestamps(rows).select("stream_id", "arrival_idx", "problem")
+    """Times near their wrap, some negative, some without a DTS, some with one that goes back."""
+    e, top = F.col("event_id"), F.lit(1 << 33)
+    pts = F.when(e % 31 == 0, -F.col("pts") - 1).otherwise(F.pmod(F.col("pts") + 8589900000, top))
+    dts = F.when(e % 13 == 0, 0).when(e % 37 == 0, F.pmod(F.col("dts") + 8589850000, top)).otherwise(F.pmod(F.col("dts") + 8589900000, top))
+    rows = packets(spark, sf_dir).select("stream_id", "arrival_idx", pts.alias("pts"), dts.alias("dts"))
+    return folds.checked_timestamps(rows).select("stream_id", "arrival_idx", "problem", F.array_join("warnings", ",").alias("warnings"), "pts_wraps", "dts_wraps")
 
 
-@add(245)
+@add(245, sql=(WITH + """, a AS (SELECT *, row_number() OVER (PARTITION BY alert ORDER BY capture_us, arrival_idx) AS n FROM (SELECT CAST(stream_id AS VARCHAR) || ':' || frame_type AS alert, stream_id, arrival_idx, capture_us FROM packets WHERE event_type = 'error') x),
+r AS (SELECT *, true AS sent, capture_us AS last FROM a WHERE n = 1 UNION ALL (SELECT a.*, a.capture_us - r.last > 5000000, CASE WHEN a.capture_us - r.last > 5000000 THEN a.capture_us ELSE r.last END FROM r JOIN a ON a.alert = r.alert AND a.n = r.n + 1))
+SELECT stream_id, arrival_idx, alert, sent FROM r""").replace("WITH packets", "WITH RECURSIVE packets", 1))
 def alert_deduplication(spark, sf_dir):
     rows = packets(spark, sf_dir).filter("event_type = 'error'").select(F.concat_ws(":", "stream_id", "frame_type").alias("alert"), "stream_id", "arrival_idx", "capture_us")
     return folds.alert_deduplication(rows, 5_000_000).select("stream_id", "arrival_idx", "alert", "sent")

@@ -146,10 +146,10 @@ p AS (SELECT *, (i1 + i2) // 2 AS mean FROM w), q AS (SELECT *, coalesce(mean >
 SELECT stream_id, arrival_idx, recent, repeating, CASE WHEN recent / 5.0 > 20.0 THEN 'fast' WHEN repeating THEN 'adaptive' WHEN corrupt > 2 THEN 'preemptive' ELSE 'default' END AS strategy FROM q""")
 def recovery_strategy(spark, sf_dir):
     """The strategy by the errors of the last five minutes (here fast above 20 a minute)."""
-    span = Window.partitionBy("stream_id").orderBy("capture_us").rangeBetween(-300_000_000, 0)
     by = Window.partitionBy("stream_id").orderBy("capture_us", "arrival_idx")
     at = [F.col("capture_us"), *[F.lag("capture_us", k).over(by) for k in (1, 2, 3)]]
-    rows = errors(spark, sf_dir).withColumn("recent", F.count(F.lit(1)).over(span)).withColumn("corrupt", F.sum((F.col("kind") == "corruption").cast("int")).over(span))
+    counts = {"recent": F.lit(1), "corrupt": (F.col("kind") == "corruption").cast("int")}
+    rows = seq.counted_within(errors(spark, sf_dir), "capture_us", 300_000_000, counts)
     rows = rows.withColumn("i3", at[0] - at[1]).withColumn("i2", at[1] - at[2]).withColumn("i1", at[2] - at[3]).withColumn("mean", F.expr("(i1 + i2) div 2"))
     near = [F.col(i).between(0.8 * F.col("mean"), 1.2 * F.col("mean")) for i in ("i1", "i2", "i3")]
     rows = rows.withColumn("repeating", F.coalesce((F.col("mean") > 0) & near[0] & near[1] & near[2], F.lit(False)))

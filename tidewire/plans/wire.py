@@ -16,9 +16,9 @@ CATALOGUE = Catalogue()
 add = CATALOGUE.add
 
 
-@add(74, sql=WITH + "SELECT stream_id, arrival_idx, true AS sync, false AS error, event_id % 3 = 0 AS starts, stream_id + 256 AS pid, CAST(1 AS BIGINT) AS control, CAST(seq % 16 AS BIGINT) AS counter FROM packets")
+@add(74, sql=WITH + "SELECT stream_id, arrival_idx, true AS sync, false AS error, event_id % 3 = 0 AS starts, stream_id % 4096 + 256 AS pid, CAST(1 AS BIGINT) AS control, CAST(seq % 16 AS BIGINT) AS counter FROM packets")
 def transport_headers(spark, sf_dir):
-    rows = packets(spark, sf_dir).withColumn("data", wire.ts_header(F.col("stream_id") + 256, (F.col("seq") % 16).cast("long"), F.col("event_id") % 3 == 0))
+    rows = packets(spark, sf_dir).withColumn("data", wire.ts_header(F.col("stream_id") % 4096 + 256, (F.col("seq") % 16).cast("long"), F.col("event_id") % 3 == 0))
     return rows.select("stream_id", "arrival_idx", *[v.alias(k) for k, v in wire.ts_fields(F.col("data")).items()])
 
 

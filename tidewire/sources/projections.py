@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKETS = """
 WITH e AS (
-  SELECT event_id, event_type, value, user_id % 8 AS stream_id,
-         CAST(row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS BIGINT) AS n
+  SELECT event_id, event_type, value, user_id AS stream_id,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS n
   FROM events),
 p AS (
   SELECT stream_id, n, event_id, event_type,
@@ -27,10 +27,10 @@ SELECT stream_id, seq, rtp_ts, pts, dts, frame_type, size, event_id, event_type,
 FROM p"""
 
 AUDIO = """
-SELECT user_id % 8 AS stream_id, event_id, n * 1600 + n * 16 AS audio_pts,
+SELECT user_id AS stream_id, event_id, n * 1600 + n * 16 AS audio_pts,
        1704067200000000 + n * 33333 AS capture_us
 FROM (SELECT user_id, event_id, event_type,
-             CAST(row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS BIGINT) AS n
+             CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS n
       FROM events) e
 WHERE event_type = 'view'"""
 
