@@ -1,5 +1,6 @@
 """Operators over documents against plain forms, on odd rows, empty tables and the small tables."""
 
+import math
 import random
 import re
 
@@ -31,6 +32,28 @@ def test_fingerprints(odd, odd_rows, none):
     assert fingerprints.edited(none).count() == 0
 
 
+def test_fingerprints_of_neighbours_over_several_ranges(spark):
+    """The next document is the one with the next smaller doc_id, across ranges too; estimates against exact sets."""
+    r = random.Random(9)
+    ids = r.sample(range(1000), 60)
+    texts = {}
+    for k, i in enumerate(sorted(ids)):
+        words = prose(900 + k // 3, 300).split()
+        for _ in range(k % 3 * 8):
+            words[r.randrange(len(words))] = f"edit{r.randrange(10**6)}"
+        texts[i] = " ".join(words[: 300 - 40 * (k % 4)])
+    docs = build(spark, [(i, t, "en", "a") for i, t in texts.items()])
+    order = sorted(ids, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    near = fingerprints.with_next(docs, docs_per_range=7)
+    rows = near.select("doc_id", "text", "next_text", fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near"), fingerprints.containment(F.col("sketch"), F.col("next_sketch")).alias("inside")).collect()
+    assert len(rows) == len(ids)
+    for x in rows:
+        assert x.next_text == texts[after[x.doc_id]]
+        a, b = brute.shingles(x.text), brute.shingles(x.next_text)
+        assert abs(x.near - brute.jaccard(a, b)) < 0.15 and abs(x.inside - len(a & b) / len(a)) < 0.2
+
+
 def test_sketches_merge(spark):
     a, b = list(range(1, 400, 2)), list(range(0, 400, 2))
     df = spark.createDataFrame([(sorted(a)[:128], sorted(b)[:128], sorted(a + b)[:128])], "a array<long>, b array<long>, u array<long>")
@@ -326,6 +349,50 @@ def test_langid(spark, odd, odd_rows, none, sf_dir):
     assert langid.identify(odd, langid.train(none)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_langid_against_plain_expectation_maximisation(spark, sf_dir):
+    """The chosen languages, their shares and the prediction, by loops over single trigrams."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    langs, table = langid.train(docs)
+
+    def mixed(rows, chosen):
+        share = {c: 1 / len(chosen) for c in chosen}
+        for _ in range(12 if len(chosen) > 1 else 0):
+            new = dict.fromkeys(chosen, 0.0)
+            for n, p in rows:
+                total = sum(share[c] * p[c] for c in chosen)
+                for c in chosen:
+                    new[c] += n * share[c] * p[c] / total
+            size = sum(n for n, _ in rows)
+            new = {c: v / size for c, v in new.items()}
+            still = max(abs(new[c] - share[c]) for c in chosen) < 1e-3
+            share = new
+            if still:
+                break
+        return share, sum(n * math.log(sum(share[c] * p[c] for c in chosen)) for n, p in rows)
+
+    sample = docs.filter("length(text) between 60 and 3000").orderBy("doc_id").limit(12).collect()
+    texts = {r.doc_id: r.text for r in sample} | {-1: sample[0].text[:400] + " " + sample[1].text[:400] + " " + sample[2].text[:400]}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in langid.identify(rows, (langs, table)).collect():
+        bins, counts = langid.trigrams(texts[r.doc_id])
+        like = [[float(x) for x in table[b].astype("float32")] for b in bins]
+        rows_ = [(int(n), [x / max(p) for x in p]) for n, p in zip(counts, like)]
+        price = langid.PENALTY * math.log(sum(n for n, _ in rows_) + 1)
+        chosen = list(range(len(langs)))
+        share, ll = mixed(rows_, chosen)
+        if any(v < 0.02 for v in share.values()):
+            chosen = [c for c in chosen if share[c] >= 0.02]
+            share, ll = mixed(rows_, chosen)
+        while len(chosen) > 1:
+            rest = [c for c in chosen if c != min(chosen, key=share.get)]
+            fewer, less = mixed(rows_, rest)
+            if less + price < ll:
+                break
+            chosen, share, ll = rest, fewer, less
+        assert r.lang_pred == langs[max(chosen, key=share.get)] and {s.lang for s in r.shares} == {langs[c] for c in chosen}
+        assert all(abs(s.share - share[langs.index(s.lang)]) < 1e-4 for s in r.shares) and abs(r.score - min(1.0, max(share.values()))) < 1e-4
+
+
 def test_langid_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = registered.op9_langid(spark, sf_dir).filter("held_out").join(docs, "doc_id")
