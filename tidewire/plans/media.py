@@ -10,6 +10,7 @@ from tidewire.operators import avsync, folds, gops, sequences
 from tidewire.sources.projections import audio, packets, table
 
 from .base import WITH, Catalogue
+from .quality import _D
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -167,6 +168,12 @@ def parameter_cache(spark, sf_dir):
     return folds.cached(rows, most=16, ttl_us=5_000_000).groupBy("stream_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-@add(226)
+@add(226, sql=(_D + """, o AS (SELECT stream_id, event_id, capture_us, drift_us, row_number() OVER (PARTITION BY stream_id ORDER BY capture_us, event_id) AS n FROM d),
+r AS (SELECT stream_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS off, CAST([] AS BIGINT[]) AS seen, CAST(NULL AS BIGINT) AS moved, CAST(0 AS BIGINT) AS cnt FROM o GROUP BY stream_id UNION ALL (
+ SELECT stream_id, n, event_id, CASE WHEN moves THEN off - step ELSE off END, seen, CASE WHEN moves THEN t ELSE moved END, cnt + CASE WHEN moves THEN 1 ELSE 0 END FROM (
+  SELECT *, far AND abs(mean) >= 20000 AS moves, CAST(greatest(-5000, least(5000, trunc(mean * 0.1))) AS BIGINT) AS step FROM (
+   SELECT *, CAST(trunc(list_sum(seen) / CAST(len(seen) AS DOUBLE)) AS BIGINT) AS mean, abs(dr) > 40000 AND len(seen) >= 10 AND (moved IS NULL OR t - moved > 100000) AS far FROM (
+    SELECT o.stream_id, o.n, o.event_id, o.capture_us AS t, r.off, o.drift_us - r.off AS dr, list_append(CASE WHEN len(r.seen) >= 100 THEN r.seen[2:] ELSE r.seen END, o.drift_us - r.off) AS seen, r.moved, r.cnt FROM r JOIN o ON o.stream_id = r.stream_id AND o.n = r.n + 1) x) y) z))
+SELECT stream_id, event_id, off AS offset_us, cnt AS corrections FROM r WHERE n > 0""").replace("WITH packets", "WITH RECURSIVE packets", 1))
 def drift_correction(spark, sf_dir):
     return folds.drift_corrected(avsync.drift(packets(spark, sf_dir), audio(spark, sf_dir))).select("stream_id", "event_id", "offset_us", "corrections")
