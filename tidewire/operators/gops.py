@@ -108,7 +108,7 @@ def without_tail(frames: DataFrame, bad: Column) -> DataFrame:
     return frames.withColumn("first_bad", first).filter(F.col("first_bad").isNull() | (F.col("pos") < F.col("first_bad"))).drop("first_bad")
 
 
-def keyframe_at(targets: DataFrame, frames: DataFrame, slot: int = 12 * 3000 * 4) -> DataFrame:
+def keyframe_at(targets: DataFrame, frames: DataFrame) -> DataFrame:
     """For each (stream_id, target): the last keyframe with pts up to it, by a backward fill over
     the union of both, so neither side is broadcast and no range join is needed."""
     keys = frames.filter(is_key()).select("stream_id", F.col("pts").alias("t"), F.lit(0).alias("side"), F.col("pts").alias("key_pts"), F.col("event_id").alias("key_event"), F.lit(None).cast("long").alias("target"))

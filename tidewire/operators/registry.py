@@ -15,9 +15,10 @@ def upserted(updates: DataFrame, key: str, version: list[str]) -> DataFrame:
     return out.select(key, "r.*", "created_at", "n_updates")
 
 
-def live(streams: DataFrame, heartbeats: DataFrame, key: str, at: str, now: Column, ttl: str) -> tuple[DataFrame, DataFrame]:
-    """Streams with a heartbeat within the time to live, and the expired ones."""
-    fresh = heartbeats.filter(F.col(at) > now - F.expr(f"INTERVAL {ttl}")).select(key).distinct()
+def live(streams: DataFrame, heartbeats: DataFrame, key: str, at: str, ttl: str) -> tuple[DataFrame, DataFrame]:
+    """Streams with a heartbeat within the time to live before the newest of all, and the expired ones."""
+    now = heartbeats.agg(F.max(at).alias("_now"))
+    fresh = heartbeats.crossJoin(F.broadcast(now)).filter(F.col(at) > F.col("_now") - F.expr(f"INTERVAL {ttl}")).select(key).distinct()  # one row
     return streams.join(fresh, key, "left_semi"), streams.join(fresh, key, "left_anti")
 
 

@@ -115,8 +115,7 @@ SELECT c_custkey AS stream_id, c_name AS name, c_custkey IN (SELECT o_custkey FR
 def registry_list(spark, sf_dir):
     streams = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"), F.col("c_name").alias("name"))
     beats = _orders(spark, sf_dir)
-    now = beats.agg(F.max("at")).first()[0]
-    alive, expired = registry.live(streams, beats, "stream_id", "at", F.lit(now).cast("timestamp_ntz"), "180 DAY")
+    alive, expired = registry.live(streams, beats, "stream_id", "at", "180 DAY")
     return alive.withColumn("alive", F.lit(True)).unionByName(expired.withColumn("alive", F.lit(False)))
 
 

@@ -3,7 +3,6 @@ that bound the state. Sources of any kind work as long as they have the columns
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewire.sources.session import shipped
+from tidewire.sources.session import shared_folder, shipped
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +76,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, then returns its rows. Output and offsets go to the
     shared checkpoint folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/part={number}")
