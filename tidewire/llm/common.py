@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewire.sources import session
+from tidewire.sources.session import shared_folder
+
 #: Characters between words: space and the controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,38 +26,17 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shipped(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once a session, so that their Python finds it, and bounds the bytes of the
-    Arrow batches that they get, unless the session has set a bound itself."""
-    context = spark.sparkContext
-    if not getattr(context, "_tidewire_shipped", False):
-        root = Path(__file__).resolve().parent.parent
-        to = Path(tempfile.mkdtemp(prefix="spark-")) / "tidewire.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(str(to))
-        context._tidewire_shipped = True
+    """Sends this package to the executors once a session, and bounds the bytes of the Arrow batches that they get, unless
+    the session has set a bound itself."""
     if spark.conf.get(_BATCH) == "67108864b":  # Spark's own default
         spark.conf.set(_BATCH, str(BATCH_BYTES))
-    return spark
+    return session.shipped(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where that is unset and Spark runs on one machine
-    (tests), it is a new local folder, kept for the session; a cluster must name one."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        known = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
-
-
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost
     executors, and lets several readers use one computation."""
