@@ -31,7 +31,8 @@ from .common import shipped
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 128
-CACHE_WORDS = 65_536
+#: Words whose ids a task keeps, where it only encodes and where it decodes too.
+CACHE_WORDS, CACHE_WORDS_BOTH = 400_000, 65_536
 MATCHES_AT_ONCE = 200_000
 _NONE = 1 << 60
 
@@ -110,21 +111,21 @@ class Vocabulary:
 class _Words(dict):
     """Token ids (as int32 bytes) of the words seen so far; emptied when full."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.make = vocabulary.word
+    def __init__(self, vocabulary: Vocabulary, most: int):
+        self.make, self.most = vocabulary.word, most
 
     def __missing__(self, word: str) -> bytes:
         ids = self.make(word)
         if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary):
-        self.words = _Words(vocabulary)
+    def __init__(self, vocabulary: Vocabulary, most: int = CACHE_WORDS):
+        self.words = _Words(vocabulary, most)
         self.special = vocabulary.special
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
@@ -182,7 +183,7 @@ def round_trip(text: Column, spark: SparkSession, path: str) -> Column:
     shared = shipped(spark).sparkContext.broadcast(Vocabulary.load(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, of = Encoder(shared.value), shared.value.bytes_of.__getitem__
+        encoder, of = Encoder(shared.value, CACHE_WORDS_BOTH), shared.value.bytes_of.__getitem__
         for b in batches:
             ids, same = [], []
             for t in b:

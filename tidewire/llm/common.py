@@ -19,7 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, at most about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 #: Names of up to this many files are broadcast.
 FILES = 1_000_000
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
