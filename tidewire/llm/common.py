@@ -55,12 +55,27 @@ def removed(df: DataFrame) -> None:
     to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
 
 
+#: Nodes of a plan under which each row is one row of a file.
+_PLAIN = {"Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _of_files(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of a file of its own: a scan under filters and projections alone. Hidden columns
+    pass through generators, joins and unions too, where several rows would share a place."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in _PLAIN:
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
 def numbered(df: DataFrame, to: str) -> DataFrame:
     """``df`` with a number for each row in the column ``to``, the same in all readings. Rows of a file have the place in
-    their file and the files before it, so nothing is copied; other rows are written first."""
+    their file and the files before it, so nothing is copied; other rows (behind a generator, join or union) are written first."""
     try:
-        files = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        files = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")) if _of_files(df) else None
     except AnalysisException:
+        files = None
+    if files is None:
         return written(df.withColumn(to, F.monotonically_increasing_id()), "numbered")
     # one row a file
     rows = written(files.groupBy("_file").agg((F.max("_at") + 1).alias("_n")), "files")
@@ -71,6 +86,23 @@ def numbered(df: DataFrame, to: str) -> DataFrame:
     return found.join(checked(bases, FILES), F.col("_file") == F.col("_of")).select(*df.columns, (F.col("_base") + F.col("_at")).alias(to))
 
 
+#: A key that more than one in so many rows have is joined in parts; so many keys can do so at most.
+HOT_PARTS = 1_000
+
+
+def salted(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, a written table of one row a key with the number ``n`` of its rows. Rows of a key that
+    holds a large share are dealt over parts, to which its row of ``keyed`` is copied; the list of such keys has at most
+    ``HOT_PARTS`` rows and is broadcast."""
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    most = max(1, -(-total // HOT_PARTS))
+    parts = F.ceil(F.col(n) / most).cast("int")
+    hot = keyed.filter(F.col(n) > most).select(F.col(key).alias("_hot"), parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.lit(0)).cast("int")).drop("_hot", "_parts")
+    copied = keyed.select("*", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("_part"))
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
 def checked(df: DataFrame, most: int) -> DataFrame:
     """``df`` (written, narrow rows) as a side to broadcast if it has at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= most else df

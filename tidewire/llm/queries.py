@@ -3,12 +3,15 @@ derives the digest columns from what the operator returns."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, knn, langid, licenses, mixing, secrets, substrings
+from tidewire.sources.session import shared_folder
+
+from . import bpe, centroids, chat, fingerprints, jaccard, knn, langid, licenses, mixing, secrets, spelling, substrings, token_counts
 from .common import table
 
 
@@ -66,9 +69,23 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a cache that lasts is named by the session; else each run begins with an empty one
+    cache = spark.conf.get("spark.tidewire.token_cache", None) or f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.counted(table(spark, sf_dir, "documents"), token_counts.Tokenizer.load(bpe.default_path(spark)), cache)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn, op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op7_licenses, op8_substrings, op9_langid, op10_jaccard)}
+    return {f.__name__: f for f in (op1_knn, op2_fingerprints, op3_secrets, op4_bpe, op5_chat, op6_mixing, op7_licenses, op8_substrings, op9_langid, op10_jaccard, op11_token_counts, op12_centroids, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_knn": knn.SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.taken_sql(), "op7_licenses": licenses.digest_sql(), "op8_substrings": substrings.SQL, "op10_jaccard": jaccard.SQL}
+    return {"op1_knn": knn.SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.taken_sql(), "op7_licenses": licenses.digest_sql(), "op8_substrings": substrings.SQL, "op10_jaccard": jaccard.SQL, "op12_centroids": centroids.sql(), "op13_spelling": spelling.SQL}
