@@ -10,7 +10,7 @@ lost executor costs its tasks only.
 Defined cases: vectors that are null, of another length, or hold a null or non-finite component take no part; ties
 go to the smaller cluster; repeated rows count as often as they are there; ids may repeat or be null (a null id is hashed
 as an empty one, ties of the hash go to the smaller vector); with fewer vectors than clusters there are as many clusters as vectors;
-no vectors give no rows. Components are exact up to 2^62 in size after scaling and clipped there; distances and sums
+no vectors give no rows. Components are exact up to 2^40 in size after scaling and clipped there; distances and sums
 of distances beyond a long are returned as its largest value.
 """
 
@@ -32,7 +32,8 @@ from .common import shipped, written
 BLOCK = 4096
 #: Values from which squared differences may leave 64 bits: such blocks go by Python's integers.
 SMALL = 1 << 27
-CLIP, LONG = 1 << 62, (1 << 63) - 1
+#: Components are clipped here, so that sums over 10^11 vectors fit exact decimals.
+CLIP, LONG = 1 << 40, (1 << 63) - 1
 #: What a round returns besides the sum of each dimension: number and total distance of a cluster's vectors.
 _N, _DISTANCE = -1, -2
 
