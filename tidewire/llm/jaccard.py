@@ -57,9 +57,9 @@ MEMBERS, COLUMNS = 256, 4096
 BROADCAST_ROWS = 300_000
 
 
-def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def token_sets(batches: Iterator[pa.RecordBatch], secret: wordhash.Key = wordhash.OPEN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For groups of documents: ids, tokens (distinct in each document, rising) and bounds."""
-    for ids, words, bounds in wordhash.groups(batches, lower=True, size=GROUP_BYTES):
+    for ids, words, bounds in wordhash.groups(batches, lower=True, size=GROUP_BYTES, key=secret):
         n = np.diff(bounds)
         size = np.maximum(n - WIDTH + 1, n > 0)  # few words are one token, the whole sequence
         ends = np.concatenate(([0], np.cumsum(size)))
@@ -102,7 +102,7 @@ def _own(bounds: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
     return np.sort(some[first])
 
 
-def common_tokens(docs: DataFrame, percent: int) -> np.ndarray:
+def common_tokens(docs: DataFrame, percent: int, secret: wordhash.Key = wordhash.OPEN) -> np.ndarray:
     """Tokens of ``HOT`` and more documents, sorted; at most HOT_MOST, the most common ones. A sketch: each task counts
     blocks of ``COUNTED_AT_ONCE`` tokens (of distinct sets) and hands on those that it has met twice."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def common_tokens(docs: DataFrame, percent: int) -> np.ndarray:
             many = np.flatnonzero(n > 1)
             return pa.RecordBatch.from_arrays([pa.array(token[edge[many]].view(np.int64)), pa.array(n[many])], ["token", "n"])
 
-        for _, tokens, bounds in token_sets(batches):
+        for _, tokens, bounds in token_sets(batches, secret):
             mine = np.zeros(len(bounds) - 1, bool)
             mine[_own(bounds, *class_keys(tokens, bounds))] = True
             tokens = tokens[np.repeat(mine, np.diff(bounds))]
@@ -135,7 +135,7 @@ def common_tokens(docs: DataFrame, percent: int) -> np.ndarray:
     return np.sort(hot.to_numpy(np.int64).view(np.uint64))
 
 
-def signatures(docs: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, percent: int, hot: np.ndarray, secret: wordhash.Key = wordhash.OPEN) -> DataFrame:
     """One row per row of ``docs`` with a doc_id: doc, n (set size), c1 and c2 (its class), and, given once for equal sets of a
     batch, key (its group before any split) and the leading tokens, rare and common ones."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
-        for ids, tokens, bounds in token_sets(batches):
+        for ids, tokens, bounds in token_sets(batches, secret):
             c1, c2 = class_keys(tokens, bounds)
             n = np.diff(bounds)
             own = _own(bounds, c1, c2)
@@ -341,12 +341,12 @@ def _verified(percent: int, every: bool):
     return run
 
 
-def opened_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+def opened_sets(docs: DataFrame, members: DataFrame, secret: wordhash.Key = wordhash.OPEN) -> DataFrame:
     """The rows of ``members`` (first, c1, c2, grp, w) with their tokens, read from their first documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, (c1, c2, grp, w) = np.arange(b.num_rows), (b.column(i).to_numpy() for i in range(2, 6))
-            for at, tokens, bounds in token_sets(iter([pa.RecordBatch.from_arrays([pa.array(rows), b.column(1)], ["row", "text"])])):
+            for at, tokens, bounds in token_sets(iter([pa.RecordBatch.from_arrays([pa.array(rows), b.column(1)], ["row", "text"])]), secret):
                 k1, k2 = class_keys(tokens, bounds)
                 same = (c1[at] == k1) & (c2[at] == k2)  # else another text of the same doc_id
                 keep, n = at[same], np.diff(bounds)[same]
@@ -362,7 +362,8 @@ def _linked(docs: DataFrame, percent: int, every: bool) -> tuple[DataFrame, Data
     """One row per row of ``docs`` with a doc_id (doc, n, first, w: its class's least doc_id and number of rows), and what
     ``_verified`` finds in the opened groups."""
     shipped(docs.sparkSession)
-    signed = written(signatures(docs, percent, common_tokens(docs, percent)), "signed")
+    secret = wordhash.new_key()
+    signed = written(signatures(docs, percent, common_tokens(docs, percent, secret), secret), "signed")
     whole = signed.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("key"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("w"))
     classes = written(whole, "classes")
     # the number of parts of large groups: at most one row for each MEMBERS classes
@@ -390,7 +391,7 @@ def _linked(docs: DataFrame, percent: int, every: bool) -> tuple[DataFrame, Data
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("grp")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("grp")), F.struct(F.lit(1).alias("side"), F.col("b").alias("grp"))))
     sides = written(opened.select("a", "b", F.explode(both).alias("s")).select("a", "b", "s.side", "s.grp"), "sides")
     wanted = written(members.join(sides.select("grp").distinct(), "grp", "left_semi"), "wanted")
-    rows = opened_sets(docs, wanted).join(checked(sides, BROADCAST_ROWS), "grp").select("a", "b", "side", "first", "c1", "w", "tokens")
+    rows = opened_sets(docs, wanted, secret).join(checked(sides, BROADCAST_ROWS), "grp").select("a", "b", "side", "first", "c1", "w", "tokens")
     rows = rows.repartition("a", "b").sortWithinPartitions("a", "b", "side", "first", "c1")
     found = written(rows.mapInArrow(_verified(percent, every), "x long, y long, nx long, ny long, overlap long"), "found")
     sized = written(signed.select("doc", "n", "c1", "c2").join(classes.select("c1", "c2", "first", "w"), ["c1", "c2"], "left").drop("c1", "c2"), "sized")

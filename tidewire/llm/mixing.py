@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-#: Multipliers of the block order; from the one the seed names on, the first that does not divide the number of blocks is used.
-PRIMES = [2654435761, 1000000007, 998244353, 754974721]
+#: The block order: its modulus (fixed, so that products stay in 64 bits), rounds, and how often a place may fall behind the end.
+PRIME, ROUNDS, WALKS = (1 << 31) - 1, 6, 24
 BLOCK_WORDS, BLOCKS_LEAST = 64, 256
 SHARDS, SEED = 16, 7
 #: Documents of a range of one source, over which a running sum is taken, about.
@@ -59,22 +59,40 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return one.select("source", "nr", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+#: Up to this many blocks numpy draws itself; beyond, the distribution is tabulated around its mode.
+DRAWN = 10**8
+
+
+def hypergeometric(rng: np.random.Generator, own: int, rest: int, want: int) -> int:
+    """How many of ``own`` blocks are among ``want`` that are drawn without replacement from ``own`` + ``rest``, at any size. Large
+    cases are drawn by the inverse of the distribution, whose terms follow from their neighbours' ratio; those left out lie
+    more than twelve standard deviations off."""
+    low, high = max(0, want - rest), min(own, want)
+    if low == high:
+        return low
+    if own + rest <= DRAWN:
+        return int(rng.hypergeometric(own, rest, want))
+    total = own + rest
+    mode = (own + 1) * (want + 1) // (total + 2)
+    spread = 50 + int(12 * (want * (own / total) * (rest / total) * ((total - want) / (total - 1))) ** 0.5)
+    low, high = max(low, mode - spread), min(high, mode + spread)
+    k = np.arange(low, high, dtype=np.float64)
+    ratio = np.log(own - k) + np.log(want - k) - np.log(k + 1) - np.log(rest - want + k + 1)
+    weight = np.concatenate(([0.0], np.cumsum(ratio)))
+    chance = np.cumsum(np.exp(weight - weight.max()))
+    return low + int(np.searchsorted(chance, rng.random() * chance[-1], "right"))
+
+
 def split_quotas(quotas: list[int], shards: int, seed: int = 7) -> list[list[int]]:
     """The multivariate-hypergeometric splitting tree: for each shard, how many blocks of each
     quota it gets. Rows sum to equal shares (within one), columns to the quotas."""
     rng = np.random.default_rng(seed)
 
     def draw(have: np.ndarray, want: int) -> np.ndarray:
-        # without replacement, source by source; above numpy's range the bulk is dealt in proportion
+        # without replacement, source by source
         out, left, want = np.zeros_like(have), int(have.sum()), int(want)
         for i, n in enumerate(map(int, have)):
-            unit = max(1, left // 10**8)
-            if unit == 1:
-                got = int(rng.hypergeometric(n, left - n, want)) if n and want and left > n else (min(n, want) if left == n else 0)
-            else:
-                got = int(rng.hypergeometric(n // unit, max(1, (left - n) // unit), want // unit)) * unit
-            got = max(got, want - (left - n), 0)
-            out[i] = got = min(got, n, want)
+            out[i] = got = hypergeometric(rng, n, left - n, want)
             left, want = left - n, want - got
         return out
 
@@ -88,17 +106,33 @@ def split_quotas(quotas: list[int], shards: int, seed: int = 7) -> list[list[int
     return [[int(x) for x in leaf] for leaf in split(np.array(quotas, dtype=object).astype(np.int64), shards)]
 
 
+def _keys(seed: int) -> list[tuple[int, int]]:
+    """The multipliers of the rounds, from the seed: (of the square, of the source's number)."""
+    rng = np.random.default_rng((seed, 0x5EED))
+    return [tuple(int(x) for x in rng.integers(1 << 20, PRIME, 2)) for _ in range(ROUNDS)]
+
+
 def place(block: Column, blocks: Column, source: Column, seed: int = SEED) -> Column:
-    """The place of a block in its source's order: multiplication by a prime modulo ``blocks``, in two halves of 16 bits, so
-    that products stay in 64 bits up to 2^47 blocks, and a shift. The seed and the number of the source choose both."""
-    primes = [PRIMES[(seed + i) % len(PRIMES)] for i in range(len(PRIMES))]
+    """The place of a block in its source's order: a Feistel network over numbers of two digits, to bases whose product is the least
+    above ``blocks`` that is nearly a square. Each round adds to one digit a keyed square of the other modulo a prime; seed and
+    source are the key. A place behind the last block goes through the network again until it is none; as fewer than one
+    in the larger base are, ``WALKS`` rounds leave none (below 2^48 blocks)."""
+    a = F.ceil(F.sqrt(blocks.cast("double"))).cast("long")
+    b = F.floor((blocks + a - 1) / a).cast("long")
+
+    def keyed(digit: Column, k: tuple[int, int]) -> Column:
+        y = digit + (source.cast("long") * k[1]) % PRIME
+        return (((y * y) % PRIME) * k[0] + y) % PRIME
 
-    def times(p: int) -> Column:
-        high = (block * (p >> 16)) % blocks
-        return (high * 65536 + (block * (p & 65535)) % blocks + (source.cast("long") * 104729 + seed) * 7919) % blocks
+    def through(x: Column) -> Column:
+        out = F.struct(F.floor(x / b).cast("long").alias("l"), (x % b).alias("r"))
+        for i, k in enumerate(_keys(seed)):
+            turn = (lambda k: lambda s: F.struct(((s["l"] + keyed(s["r"], k)) % a).alias("l"), s["r"].alias("r")))(k) if i % 2 == 0 else (lambda k: lambda s: F.struct(s["l"].alias("l"), ((s["r"] + keyed(s["l"], k)) % b).alias("r")))(k)
+            out = F.element_at(F.transform(F.array(out), turn), 1)  # each round is bound once
+        return F.element_at(F.transform(F.array(out), lambda s: s["l"] * b + s["r"]), 1)
 
-    found = F.coalesce(*[F.when(blocks % p != 0, times(p)) for p in primes], block)
-    return F.when(blocks <= 1, F.lit(0).cast("long")).otherwise(found)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), through(block), lambda at, _: F.when(at >= blocks, through(at)).otherwise(at))
+    return F.when(blocks <= 1, F.lit(0).cast("long")).otherwise(walked)
 
 
 _DRAWS = "array<struct<shard:int,order:bigint,word_from:bigint,word_to:bigint,turn:int>>"
@@ -202,9 +236,17 @@ def turns_of(draws: Column) -> Column:
 
 def taken_sql(block_words: int = BLOCK_WORDS, seed: int = SEED) -> str:
     """The same result in DuckDB SQL."""
-    times = f"((((b * {{h}}) % blocks) * 65536 + (b * {{l}}) % blocks + (nr * 104729 + {seed}) * 7919) % blocks)"
-    primes = [PRIMES[(seed + i) % len(PRIMES)] for i in range(len(PRIMES))]
-    pick = " ".join(f"WHEN blocks % {p} <> 0 THEN {times.format(h=p >> 16, l=p & 65535)}" for p in primes)
+    def through(x: str) -> str:
+        text = f"{{'l': ({x}) // eb, 'r': ({x}) % eb}}"
+        for i, (square, own) in enumerate(_keys(seed)):
+            one, two, base = ("l", "r", "ea") if i % 2 == 0 else ("r", "l", "eb")
+            y = f"(d.{two} + (nr * {own}) % {PRIME})"
+            new = f"(d.{one} + ((({y} * {y}) % {PRIME}) * {square} + {y}) % {PRIME}) % {base}"
+            text = f"list_transform([{text}], lambda d: {{'l': {new if one == 'l' else 'd.l'}, 'r': {new if one == 'r' else 'd.r'}}})[1]"
+        return f"list_transform([{text}], lambda d: d.l * eb + d.r)[1]"
+
+    walked = f"list_reduce(range({WALKS}), lambda p, i: CASE WHEN p >= blocks THEN {through('p')} ELSE p END, {through('b')})"
+    pick = f"WHEN true THEN {walked}"
     return f"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 o AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
@@ -217,14 +259,14 @@ l AS (SELECT *, (CAST(total AS DOUBLE) * 1.5 - CAST(filled AS DOUBLE)) / CAST(re
 m AS (SELECT level FROM l WHERE level * weight <= source_size * 2 ORDER BY source_size * 2 / weight, nr LIMIT 1),
 t AS (SELECT source, nr, source_size, least(CAST(source_size * 2 AS DOUBLE), m.level * weight) AS target,
       greatest(1, least({block_words}, source_size // {BLOCKS_LEAST})) AS block FROM l, m),
-u AS (SELECT *, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks FROM t),
-v AS (SELECT *, least(CAST(floor(target / block + 0.5) AS BIGINT), blocks * 2) AS near, CASE WHEN blocks <= 1 THEN 0 {pick} ELSE b END AS last FROM (SELECT *, blocks - 1 AS b FROM u)),
+r AS (SELECT *, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks FROM t), g AS (SELECT *, CAST(ceil(sqrt(CAST(blocks AS DOUBLE))) AS BIGINT) AS ea FROM r), u AS (SELECT *, (blocks + ea - 1) // greatest(ea, 1) AS eb FROM g),
+v AS (SELECT *, least(CAST(floor(target / block + 0.5) AS BIGINT), blocks * 2) AS near, CASE WHEN blocks <= 1 THEN 0 {pick} END AS last FROM (SELECT *, blocks - 1 AS b FROM u)),
 q AS (SELECT *, least(CAST(floor((target + (blocks * block - source_size) * (CASE WHEN last < near THEN 1 ELSE 0 END + CASE WHEN last + blocks < near THEN 1 ELSE 0 END)) / block + 0.5) AS BIGINT), blocks * 2) AS quota FROM v),
-d AS (SELECT s.doc_id, s.size, q.source_size, q.target, q.block, q.blocks, q.quota, q.nr,
+d AS (SELECT s.doc_id, s.size, q.source_size, q.target, q.block, q.blocks, q.quota, q.nr, q.ea, q.eb,
       CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
       FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
 e AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(start // block, (start + size - 1) // block + 1) ELSE CAST([] AS BIGINT[]) END) AS b FROM d),
-p AS (SELECT *, CASE WHEN blocks <= 1 THEN 0 {pick} ELSE b END AS place FROM e),
+p AS (SELECT *, CASE WHEN blocks <= 1 THEN 0 {pick} END AS place FROM e),
 k AS (SELECT doc_id, size, start, sum((least((b + 1) * block - start, size) - greatest(b * block - start, 0))
       * (CASE WHEN place < quota THEN 1 ELSE 0 END + CASE WHEN place + blocks < quota THEN 1 ELSE 0 END)) AS taken FROM p GROUP BY doc_id, size, start)
 SELECT d.doc_id, d.size, d.source_size, d.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken

@@ -10,8 +10,8 @@ Positions come from splitting the text at the matches, so all work stays in Data
 and texts are never shuffled: only candidates are.
 
 Defined cases: null counts as an empty text; repeated rows (equal doc_id and text) are one
-repository; a null source is an owner of its own; spans of one kind do not overlap, those of several kinds may; texts of any
-length are read whole, a private key up to 65,536 characters; no rows give no rows; further columns are ignored, whatever
+repository; a null source is an owner of its own; spans of one kind do not overlap, those of several kinds may; texts and values of any
+length are read whole; no rows give no rows; further columns are ignored, whatever
 their names.
 """
 
@@ -32,11 +32,13 @@ BASE = [
 ]
 # Further candidates: well-known token forms.
 MORE = [
-    ("github", r"gh[pousr]_[A-Za-z0-9]{36,255}", 0, 40),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    # through the END line; a key cut off before it, through its lines of base64
-    ("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[\s\S]{1,65536}?-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{40,}+){0,400}+)", 0, 20),
+    # through the END line, whatever is between but another BEGIN or END; a key cut off before it, through its header lines and
+    # lines of base64 (after a space or a written line break only long ones, since words look like short ones)
+    ("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+     r"|(?:\r?\n(?:[A-Za-z0-9-]++:[^\r\n]*+|[A-Za-z0-9+/=]*+)(?=[\r\n]|\z)|(?:\s|\\[rn])*+[A-Za-z0-9+/=]{40,}+)*+)", 0, 20),
 ]
 #: A value carried by at least this many owners and repositories is a widely copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 8, 16

@@ -26,6 +26,7 @@ their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,10 @@ def _joined(doc: np.ndarray, start: np.ndarray, ref_doc: np.ndarray, ref_start:
     return first, np.diff(np.append(first, len(doc)))
 
 
-def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _file(batches: Iterator[pa.RecordBatch], secret: wordhash.Key) -> Iterator[pa.RecordBatch]:
     """Rows for the reference lookup (windows set) and factors settled within a group (n set)."""
     width = WINDOW - ANCHOR + 1
-    for ids, words, bounds, marks in wordhash.groups(batches, size=GROUP_BYTES, marks=True):
+    for ids, words, bounds, marks in wordhash.groups(batches, size=GROUP_BYTES, marks=True, key=secret):
         if len(words) < WINDOW:
             continue
         of = np.repeat(np.arange(len(ids)), np.diff(bounds))
@@ -132,7 +133,7 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def referred(docs: DataFrame) -> DataFrame:
     """doc, mark (of its text), start (of the first window), n (windows), ref_doc, ref_start: runs of windows that an earlier
     document holds."""
-    filed = docs.select("doc_id", "text").mapInArrow(_file, ROW)
+    filed = docs.select("doc_id", "text").mapInArrow(partial(_file, secret=wordhash.new_key()), ROW)
     met = filed.repartition("key").sortWithinPartitions("key", "doc", "at")
     mark, start = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     return met.mapInArrow(_look_up, ROW).select("doc", mark.alias("mark"), start.alias("start"), "n", "ref_doc", "ref_start")
