@@ -107,9 +107,9 @@ def session_diagnostics(spark, sf_dir):
     return metrics(spark, sf_dir).withColumn("score", score).select("stream_id", "win", "score", scores.session_status(c("score")).alias("status"))
 
 
-@add(142, sql=_M + "SELECT stream_id, win, CAST(round((1.0 - least(cpu / 0.8, 1.0)) * 0.25 + (1.0 - least(memory / 0.8, 1.0)) * 0.2 + (1.0 - least(drops / 0.05, 1.0)) * 0.25 + (1.0 - least(loss / 0.02, 1.0)) * 0.2 + CASE WHEN latency_ms > 100 THEN greatest(0.0, 1.0 - (latency_ms - 100) / 400.0) ELSE 1.0 END * 0.1, 5) AS DOUBLE) AS score FROM m")
+@add(142, sql=_M + "SELECT stream_id, win, (1.0 - least(cpu / 0.8, 1.0)) * 0.25 + (1.0 - least(memory / 0.8, 1.0)) * 0.2 + (1.0 - least(drops / 0.05, 1.0)) * 0.25 + (1.0 - least(loss / 0.02, 1.0)) * 0.2 + CASE WHEN latency_ms > 100 THEN greatest(0.0, 1.0 - (latency_ms - 100) / 400.0) ELSE 1.0 END * 0.1 AS score FROM m")
 def adaptive_quality(spark, sf_dir):
-    return metrics(spark, sf_dir).select("stream_id", "win", F.round(scores.adaptive_quality(*[F.col(x) for x in ("cpu", "memory", "drops", "loss", "latency_ms")]), 5).alias("score"))
+    return metrics(spark, sf_dir).select("stream_id", "win", scores.adaptive_quality(*[F.col(x) for x in ("cpu", "memory", "drops", "loss", "latency_ms")]).alias("score"))
 
 
 @add(247, sql=_M + """, br AS (SELECT *, drops > 0.05 AS breach FROM m), c AS (SELECT *, CASE WHEN breach IS DISTINCT FROM lag(breach) OVER (PARTITION BY stream_id ORDER BY win) THEN 1 ELSE 0 END AS new FROM br), i AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY win) AS island FROM c)
