@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codecs, gops, live, media, parsing, policies, quality, sequences, wire
+from . import codecs, gops, live, media, parsing, policies, quality, sequences, transport, wire
 
-PARTS = (sequences, gops, quality, policies, wire, media, parsing, codecs, live)
+PARTS = (sequences, gops, quality, policies, wire, media, parsing, codecs, transport, live)
 
 
 def everything() -> dict:
