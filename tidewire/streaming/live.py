@@ -3,6 +3,7 @@ that bound the state. Sources of any kind work as long as they have the columns
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -75,11 +76,26 @@ def gap_counts(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, then returns its rows. Output and offsets go to the
     shared checkpoint folder."""
+    return watched(stream, mode)[0]
+
+
+def watched(stream: DataFrame, mode: str = "append", provider: str | None = None) -> tuple[DataFrame, list[int]]:
+    """The same, with the number of rows of state after each batch. ``provider`` names the state store for this stream."""
     spark = stream.sparkSession
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/part={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out/part=*")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    if provider:
+        spark.conf.set(name, provider)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        if provider:
+            spark.conf.set(name, before) if before else spark.conf.unset(name)
+    query.awaitTermination()
+    held = [sum(o["numRowsTotal"] for o in json.loads(p.json)["stateOperators"]) for p in query.recentProgress]
+    return spark.read.parquet(f"{at}/out/part=*"), held
