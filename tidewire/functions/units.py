@@ -217,3 +217,50 @@ def h264_fields(units: Column) -> Column:
     """(kind, slice_type, pps, sps, problem) of each of a frame's units (array<binary>)."""
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("slice_type", pa.int32()), ("pps", pa.int64()), ("sps", pa.int64()), ("problem", pa.string())]))
     return _each(lambda units: [unit_fields(u or b"") for u in units], kind, "array<struct<kind:int,slice_type:int,pps:bigint,sps:bigint,problem:string>>", units)
+
+
+# Checksums
+
+#: Fixed value: the polynomial of CRC-32, lowest power first.
+POLYNOMIAL = 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo the checksum's (the highest bit is the power 0)."""
+    out = 0
+    while a:
+        if a & 1 << 31:
+            out ^= b
+        a, b = a << 1 & 0xFFFFFFFF, b >> 1 ^ (POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+def combined_crc(parts: list[dict]) -> int:
+    """The CRC-32 of bytes from those of their chunks (crc and size, in order): each is moved on by the bytes behind it."""
+    out = 0
+    for part in parts:
+        # x to the power of 8 * size, by squares
+        shift, power, n = 1 << 31, 1 << 30, 8 * part["size"]
+        while n:
+            if n & 1:
+                shift = _times(shift, power)
+            power, n = _times(power, power), n >> 1
+        out = _times(shift, out) ^ part["crc"]
+    return out
+
+
+def chunked_crc(parts: Column) -> Column:
+    """``combined_crc`` of an array of (crc, size)."""
+    return _each(combined_crc, pa.int64(), "bigint", parts)
+
+
+def unit_problem(unit: Column) -> Column:
+    """What is wrong with a unit (binary) of H.264 or HEVC: empty, too large, or the forbidden bit; else null."""
+    return F.when(F.coalesce(F.length(unit), F.lit(0)) == 0, "empty").when(F.length(unit) > UNIT_BYTES, "size").when(number(F.hex(F.substring(unit, 1, 1)), 0, 1) >= 128, "forbidden")
+
+
+def frame_problem(units: Column) -> Column:
+    """What is wrong with a frame of units: empty, more than a thousand of them, too large as a whole, or one that is wrong."""
+    total = F.aggregate(units, F.lit(0).cast("long"), lambda a, u: a + F.coalesce(F.length(u), F.lit(0)))
+    found = F.filter(F.transform(units, unit_problem), lambda p: p.isNotNull())
+    return F.when(F.coalesce(F.size(units), F.lit(0)) < 1, "empty").when(F.size(units) > MOST_UNITS, "units").when(total > FRAME_BYTES, "size").otherwise(F.get(found, F.lit(0)))

@@ -356,17 +356,32 @@ def drift_corrected(samples: DataFrame, limit_us: int = 40_000, share: float = 0
 PACKET, SYNC = 188, 0x47
 
 
-def _synchronised(data: bytes) -> int:
-    """Where the first packet begins: a sync byte with another one a packet further on, or too near the end for that; -1 if there is none."""
-    at = data.find(SYNC)
+def _synchronised(data: bytes, at: int) -> int:
+    """Where the first packet from ``at`` on begins: a sync byte with another one a packet further on, or too near the end for that; -1
+    if there is none."""
+    at = data.find(SYNC, at)
     while at >= 0 and at + PACKET < len(data) and data[at + PACKET] != SYNC:
         at = data.find(SYNC, at + 1)
     return at
 
 
+def cut_packets(data: bytes) -> tuple[list[bytes], bytes]:
+    """The packets in some bytes, each of which begins with a sync byte, and what is left: less than a packet."""
+    out, at = [], 0
+    while len(data) - at >= PACKET:
+        if data[at] == SYNC:
+            out.append(data[at : at + PACKET])
+            at += PACKET
+        elif (found := _synchronised(data, at)) >= 0:
+            at = found
+        else:
+            at = len(data) - PACKET + 1
+    return out, data[at:]
+
+
 def aligned(chunks: DataFrame, key: str = "stream_id", order: str = "arrival_idx") -> DataFrame:
     """stream_id, n and packet: the packets in each stream's chunks (a column chunk), whatever the places at which these were
-    cut. Less than a packet is carried on to the next chunk; what stands before a sync byte is dropped."""
+    cut. Less than a packet is carried on to the next chunk; what stands before a sync byte, also between packets, is dropped."""
     shipped(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,15 +391,10 @@ def aligned(chunks: DataFrame, key: str = "stream_id", order: str = "arrival_idx
             for k, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if k != now:
                     now, held, n = k, b"", 0
-                held += chunk or b""
-                if held and held[0] != SYNC:
-                    if (at := _synchronised(held)) < 0:
-                        continue
-                    held = held[at:]
-                for at in range(0, len(held) - PACKET + 1, PACKET):
-                    keys.append(k), numbers.append(n), packets.append(held[at : at + PACKET])
+                found, held = cut_packets(held + (chunk or b""))
+                for packet in found:
+                    keys.append(k), numbers.append(n), packets.append(packet)
                     n += 1
-                held = held[len(held) // PACKET * PACKET :]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64()), pa.array(packets, pa.binary())], [key, "n", "packet"])
 
     ordered = chunks.repartition(key).sortWithinPartitions(key, order).select(key, "chunk")

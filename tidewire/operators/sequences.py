@@ -6,7 +6,7 @@ stream in order of arrival.
 
 from __future__ import annotations
 
-from math import gcd
+from math import ceil, exp, gcd, log
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -73,16 +73,20 @@ def unwrapped(packets: DataFrame, column: str, bits: int, to: str) -> DataFrame:
     return packets.withColumn("turn", turn).withColumn(to, F.col(column) + F.sum("turn").over(arrival()) * span).drop("turn")
 
 
-#: Rows of a block over which a recurrence is folded at once.
-BLOCK = 1024
+#: Rows of a block over which a recurrence is folded at once, at least, and at most before a mean is refused.
+BLOCK, LONGEST = 1024, 4_000_000
 
 
 def smoothed(rows: DataFrame, value: Column, keep: float, start: Column | None = None) -> DataFrame:
     """stream_id, last and most: the last and the highest state of a weighted mean, keep * state + (1 - keep) * value, over
     each stream's rows in order of arrival, from ``start`` (a value of the first row; 0 unless given) on. Rows are folded by
-    blocks: a first fold from 0 gives what a block adds, so the state in which the next one starts; ``keep`` to the power of
-    ``BLOCK`` is so small that the block before the last but one no longer counts in double precision."""
-    held = rows.withColumn("x", value.cast("double")).withColumn("block", F.expr(f"(row_number() over (partition by stream_id order by arrival_idx) - 1) div {BLOCK}"))
+    blocks: a first fold from 0 gives what a block adds, so the state in which the next one starts. A block has so many rows that
+    ``keep`` to their power no longer counts in double precision, so nothing from before the last but one is needed; a mean
+    that forgets more slowly than ``LONGEST`` rows allow is refused."""
+    block = max(BLOCK, ceil(-40 / log(keep))) if 0 < keep < 1 else BLOCK
+    if not 0 <= keep < 1 or block > LONGEST:
+        raise ValueError(f"keep must be from 0 to {exp(-40 / LONGEST):.6f}, not {keep}")
+    held = rows.withColumn("x", value.cast("double")).withColumn("block", F.expr(f"(row_number() over (partition by stream_id order by arrival_idx) - 1) div {block}"))
     blocks = held.groupBy("stream_id", "block").agg(F.array_sort(F.collect_list(F.struct("arrival_idx", "x"))).alias("xs"))
     first = F.when(F.col("block") == 0, start if start is not None else F.lit(0.0)).otherwise(F.lit(0.0))
 
@@ -91,7 +95,7 @@ def smoothed(rows: DataFrame, value: Column, keep: float, start: Column | None =
 
     by = Window.partitionBy("stream_id").orderBy("block")
     ends = blocks.withColumn("first", first).withColumn("end", F.aggregate("xs", F.col("first"), step))
-    state = F.lag("end").over(by) + F.coalesce(F.lag("end", 2).over(by) * keep**BLOCK, F.lit(0.0))
+    state = F.lag("end").over(by) + F.coalesce(F.lag("end", 2).over(by) * keep**block, F.lit(0.0))
     zero = F.struct(F.coalesce(state, "first").alias("j"), F.lit(float("-inf")).alias("most"))
 
     def both(a: Column, v: Column) -> Column:

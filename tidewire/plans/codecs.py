@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire.functions import parsing, wire
-from tidewire.functions.units import h264_fields, unit_kinds
+from tidewire.functions.units import chunked_crc, frame_problem, h264_fields, unit_kinds
 from tidewire.functions.wire import hexed
 from tidewire.operators import boundaries, parameters, payloads
 from tidewire.sources.projections import packets
@@ -229,3 +229,24 @@ def parameter_fallbacks(spark, sf_dir):
     """What stands in for the sets of frames that lack them."""
     shipped(spark)
     return parameters.fallbacks(_frames(spark, sf_dir))
+
+
+@add(76, 77, sql=WITH + """SELECT stream_id, arrival_idx, CASE WHEN event_id % 7 = 0 THEN 'empty' WHEN event_id % 211 = 1 THEN 'units' WHEN event_id % 5 = 1 THEN 'forbidden' WHEN event_id % 5 = 2 THEN 'empty' END AS problem FROM packets""")
+def unit_validity(spark, sf_dir):
+    """Frames of units that are empty, too many, or have the forbidden bit."""
+    e = F.col("event_id")
+    good = F.unhex(F.concat(F.lit("41"), hexed(e, 8)))
+    second = F.when(e % 5 == 1, F.unhex(F.lit("C101"))).when(e % 5 == 2, F.unhex(F.lit(""))).otherwise(good)
+    units = F.when(e % 7 == 0, F.array().cast("array<binary>")).when(e % 211 == 1, F.array_repeat(good, 1001)).otherwise(F.array(good, second))
+    return packets(spark, sf_dir).select("stream_id", "arrival_idx", frame_problem(units).alias("problem"))
+
+
+@add(68, 69, sql=WITH + """, t AS MATERIALIZED (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) AS b(i)),
+x AS (SELECT stream_id, arrival_idx, hex(encode(event_type || event_id || repeat(event_type, CAST(event_id % 9 AS INT)))) AS x FROM packets)
+SELECT stream_id, arrival_idx, CAST(xor(4294967295, list_reduce(list_transform(range(1, CAST(length(x) AS BIGINT), 2), lambda i: CAST(strpos('0123456789ABCDEF', x[i]) - 1 AS BIGINT) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 1), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295)) AS BIGINT) AS crc FROM x, t""")
+def chunked_checksums(spark, sf_dir):
+    """The CRC-32 of payloads from those of their chunks, none of which sees the others."""
+    shipped(spark)
+    chunks = F.array(F.col("event_type"), F.col("event_id").cast("string"), F.expr("repeat(event_type, cast(event_id % 9 as int))"))
+    parts = F.transform(chunks, lambda c: F.struct(F.crc32(c.cast("binary")).alias("crc"), F.octet_length(c).cast("long").alias("size")))
+    return packets(spark, sf_dir).select("stream_id", "arrival_idx", chunked_crc(parts).alias("crc"))
