@@ -217,6 +217,55 @@ def checked_packets(rows: DataFrame, most_gap: int = 100, most_jump: int = 60 *
     return ordered_fold(rows, key, list(order), ["seq", "rtp_ts"], lambda: {"seq": None, "ts": None}, step, _fields(problem=T.StringType()))
 
 
+#: Payload types of a source, its sequence gap and time jump at most, times that the frame duration is read from, the
+#: range of such a duration and the one until it is known, frames that a B frame may lie back, packets until order counts.
+PAYLOAD_TYPES, MOST_SEQ_GAP, MOST_TIME_JUMP = range(96, 128), 100, 60 * 90_000
+TIMES, LEAST_FRAME, MOST_FRAME, FRAME, FRAMES_BACK, SETTLED = 10, 750, 9000, 3000, 5, 3
+
+
+def _frame_duration(times: list[int]) -> int:
+    """The commonest step between times, the shortest of equals."""
+    steps: dict[int, int] = {}
+    for a, b in zip(times, times[1:]):
+        if LEAST_FRAME <= b - a <= MOST_FRAME:
+            steps[b - a] = steps.get(b - a, 0) + 1
+    return min(steps, key=lambda d: (-steps[d], d), default=FRAME)
+
+
+def validated_source(rows: DataFrame, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
+    """Adds problem, duration (of a frame, as the times so far tell) and back (whether the time lies behind the highest) for columns
+    version, payload_type, padding (its length as the last byte tells; null without), bytes, seq and rtp_ts. Structure comes
+    first: version, payload type, padding of no or more bytes than the packet has, bytes (12 to 65,536). Then the state of the source: a
+    number too far from the last one taken; a time too far ahead of the highest, or more than five frames behind it, which
+    is as far as a B frame may lie. A packet that is refused leaves number and highest time as they were; its time still counts for
+    the duration, unless its number was refused. A time behind a wrap begins anew."""
+    def step(s: dict, version: int, kind: int, padding: int | None, size: int, seq: int, ts: int) -> tuple:
+        wrong = "version" if version != 2 else "payload type" if kind not in PAYLOAD_TYPES else "padding" if padding is not None and not 0 < padding <= size else "bytes" if not 12 <= size <= 65_536 else None
+        if wrong:
+            return wrong, s["duration"], False
+        if s["seq"] is None:
+            s.update(seq=seq, ts=ts, high=ts, n=1, times=[ts])
+            return None, s["duration"], False
+        if abs((seq - s["seq"] + 32768) % 65536 - 32768) > MOST_SEQ_GAP:
+            return "gap", s["duration"], False
+        if s["ts"] > 0xF0000000 and ts < 0x10000000:
+            s["high"] = ts
+        s["times"] = [*s["times"], ts][-TIMES:]
+        s["duration"] = _frame_duration(s["times"])
+        back = ts < s["high"]
+        if s["n"] < SETTLED:
+            if ts - s["ts"] > MOST_TIME_JUMP and s["ts"] > 0:
+                return "jump", s["duration"], back
+        elif ts - s["high"] > MOST_TIME_JUMP or s["high"] - ts > FRAMES_BACK * s["duration"]:
+            return "jump", s["duration"], back
+        s.update(seq=seq, ts=ts, high=max(s["high"], ts), n=s["n"] + 1)
+        return None, s["duration"], back
+
+    adds = _fields(problem=T.StringType(), duration=T.LongType(), back=T.BooleanType())
+    needs = ["version", "payload_type", "padding", "bytes", "seq", "rtp_ts"]
+    return ordered_fold(rows, key, list(order), needs, lambda: {"seq": None, "ts": 0, "high": 0, "n": 0, "times": [], "duration": FRAME}, step, adds)
+
+
 class _Reorderer:
     """One stream's frames (dts, number, pts, kind, capture time, event) on their way from arrival to decode order."""
 

@@ -22,6 +22,33 @@ def live(streams: DataFrame, heartbeats: DataFrame, key: str, at: str, ttl: str)
     return streams.join(fresh, key, "left_semi"), streams.join(fresh, key, "left_anti")
 
 
+def replayed(log: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds applied to a log of writes (a column op: set, update or delete): a set always applies, an update and a delete only if
+    the key is there at that point, which is so if the last set or applied delete before was a set. A delete of a key that is not
+    there changes nothing, so the last set or delete of any kind tells."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    there = F.coalesce(F.last(F.when(F.col("op") == "set", F.lit(True)).when(F.col("op") == "delete", F.lit(False)), ignorenulls=True).over(before), F.lit(False))
+    return log.withColumn("applied", (F.col("op") == "set") | there)
+
+
+def current(log: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
+    """The rows that a log leaves: for each key that is there, the newest value that is not null of each column since its last delete,
+    when it was set, and how many writes applied since."""
+    rows = replayed(log, key, order).filter("applied")
+    by = Window.partitionBy(key).orderBy(*order)
+    rows = rows.withColumn("life", F.sum((F.col("op") == "delete").cast("int")).over(by))
+    last = F.max("life").over(Window.partitionBy(key))
+    rows = rows.withColumn("newest", last).filter((F.col("life") == F.col("newest")) & (F.col("op") != "delete"))
+    at = F.struct(*order)
+    held = [F.max_by(v, F.when(F.col(v).isNotNull(), at)).alias(v) for v in values]
+    return rows.groupBy(key).agg(*held, F.min(order[0]).alias("created_at"), F.count(F.lit(1)).alias("n_writes"))
+
+
+def got(streams: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of one key, by a filter that reaches the scan; none if it is not there."""
+    return streams.filter(F.col(key) == F.lit(value))
+
+
 def page(streams: DataFrame, key: str, after: int, n: int) -> DataFrame:
     """The next ``n`` rows by key: a filter that reaches the scan, then a top-n."""
     return streams.filter(F.col(key) > after).orderBy(key).limit(n)

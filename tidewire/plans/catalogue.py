@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codecs, gops, live, media, parsing, policies, quality, sequences, timed, transport, wire
+from . import codecs, gops, live, media, parsing, policies, quality, sequences, sources, timed, transport, wire
 
-PARTS = (sequences, gops, quality, policies, wire, media, parsing, codecs, transport, timed, live)
+PARTS = (sequences, gops, quality, policies, wire, media, parsing, codecs, transport, sources, timed, live)
 
 
 def everything() -> dict:
