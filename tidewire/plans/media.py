@@ -148,7 +148,32 @@ def rtp_timestamp_validation(spark, sf_dir):
     return folds.checked_packets(rows).select("stream_id", "arrival_idx", "problem")
 
 
-@add(212, 213, 214, 215)
+def _released(k: int, due: str) -> str:
+    """One release of the least frame held, if it is due and fits, over the states of the level before."""
+    p = k - 1
+    fits = f"(lpts{p} IS NULL OR CASE WHEN h{k}.d < ldts{p} THEN ldts{p} - h{k}.d WHEN h{k}.k <> 'B' THEN lpts{p} - h{k}.p ELSE 0 END NOT BETWEEN 1 AND 900000)"
+    return f"""SELECT *, CASE WHEN due{k} THEN held{p}[2:] ELSE held{p} END AS held{k}, CASE WHEN due{k} AND fits{k} THEN h{k}.d ELSE ldts{p} END AS ldts{k}, CASE WHEN due{k} AND fits{k} AND h{k}.k <> 'B' THEN h{k}.p ELSE lpts{p} END AS lpts{k},
+ CASE WHEN due{k} AND fits{k} THEN o{p} || [{{'e': h{k}.e, 'd': h{k}.d}}] ELSE o{p} END AS o{k} FROM (SELECT *, {fits} AS fits{k}, {due.format(n=f"len(held{p})", h=f"h{k}")} AS due{k} FROM (SELECT *, held{p}[1] AS h{k} FROM (@) l{k}a) l{k}b) l{k}c"""
+
+
+def _levels(first: str, n: int, due: str) -> str:
+    for k in range(1, n + 1):
+        first = _released(k, due).replace("@", first)
+    return first
+
+
+_HELD, _OUT = "STRUCT(d BIGINT, c BIGINT, p BIGINT, k VARCHAR, s BIGINT, e BIGINT)[]", "STRUCT(e BIGINT, d BIGINT)[]"
+# a buffer of three holds three at most, so three releases follow a frame at most, and two are left at the end
+_DUE = "coalesce({n} >= 3 OR {n} > 0 AND ({h}.k = 'IDR' OR t - {h}.s > 200000 OR {h}.k IN ('I', 'P') AND {n} > 1), false)"
+_REORDER = WITH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", f AS (SELECT stream_id, arrival_idx AS n, event_id AS e, pts + CASE WHEN event_id % 211 = 0 THEN 2000000 ELSE 0 END AS p, dts + CASE WHEN event_id % 211 = 0 THEN 2000000 ELSE 0 END AS d, frame_type AS k, capture_us AS t FROM packets),
+r AS (SELECT stream_id, CAST(0 AS BIGINT) AS n, CAST([] AS {_HELD}) AS held, CAST(NULL AS BIGINT) AS ldts, CAST(NULL AS BIGINT) AS lpts, CAST([] AS {_OUT}) AS found FROM f WHERE n = 1
+ UNION ALL SELECT stream_id, n, CAST(held3 AS {_HELD}), ldts3, lpts3, CAST(o3 AS {_OUT}) FROM ({_levels(f"SELECT f.*, list_sort(r.held || [{{'d': CASE WHEN f.d = 0 THEN f.p ELSE f.d END, 'c': f.n, 'p': f.p, 'k': f.k, 's': f.t, 'e': f.e}}]) AS held0, r.ldts AS ldts0, r.lpts AS lpts0, CAST([] AS {_OUT}) AS o0 FROM r JOIN f ON f.stream_id = r.stream_id AND f.n = r.n + 1", 3, _DUE)}) x),
+z AS (SELECT stream_id, n, found FROM r UNION ALL SELECT stream_id, n + 1, o2 FROM ({_levels(f"SELECT r.stream_id, r.n, r.held AS held0, r.ldts AS ldts0, r.lpts AS lpts0, CAST([] AS {_OUT}) AS o0 FROM r JOIN (SELECT stream_id AS s, max(n) AS m FROM r GROUP BY ALL) ON s = r.stream_id AND m = r.n", 2, "({n} > 0)")}) y),
+u AS (SELECT stream_id, n, i, found[i] AS x FROM z, unnest(range(1, len(found) + 1)) AS q(i))
+SELECT stream_id, x.e AS event_id, x.d AS dts, row_number() OVER (PARTITION BY stream_id ORDER BY n, i) - 1 AS out FROM u"""
+
+
+@add(212, 213, 214, 215, sql=_REORDER)
 def reordered_frames(spark, sf_dir):
     """Frames as they arrive, some with gaps, some with a new time base, in decode order."""
     later = F.when(F.col("event_id") % 211 == 0, 2_000_000).otherwise(0)
