@@ -41,3 +41,10 @@ def test_source_state(spark):
     # over the wrap the time begins anew
     near = (1 << 32) - 4000
     assert [x[0] for x in source(spark, [at(i, near + 3000 * i) for i in range(6)])] == [None] * 6
+
+
+def test_alerts_wait_for_their_cooldown(spark):
+    breaches = [(0, True), (10, True), (20, False), (30, True), (119, True), (121, True), (130, False), (500, True)]
+    df = spark.createDataFrame([(1, i, t, b) for i, (t, b) in enumerate(breaches)], "stream_id long, event_id long, capture_us long, breach boolean")
+    found = [(r.alert, r.active) for r in folds.alerts_with_cooldown(df, 100).orderBy("event_id").collect()]
+    assert found == [("raised", True), (None, True), ("resolved", False), (None, False), (None, False), ("raised", True), ("resolved", False), ("raised", True)]

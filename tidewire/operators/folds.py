@@ -200,6 +200,22 @@ def alert_deduplication(rows: DataFrame, pause_us: int, key: str = "alert", at:
     return ordered_fold(rows, key, list(order), [at], lambda: {"at": None}, step, _fields(sent=T.BooleanType()))
 
 
+def alerts_with_cooldown(rows: DataFrame, pause_us: int = 300_000_000, key: str = "stream_id", at: str = "capture_us", order: tuple[str, ...] = ("capture_us", "event_id")) -> DataFrame:
+    """Adds alert (raised, resolved, or null) and active for a column breach: an alert is raised at a breach if there was none yet or
+    the last one was resolved longer ago than the pause, at whatever row of the breach that is; it is resolved at the first
+    row without one."""
+    def step(s: dict, now: int, breach: bool) -> tuple:
+        said = None
+        if breach and not s["active"] and (s["resolved"] is None or now - s["resolved"] > pause_us):
+            s["active"], said = True, "raised"
+        elif not breach and s["active"]:
+            s.update(active=False, resolved=now)
+            said = "resolved"
+        return said, s["active"]
+
+    return ordered_fold(rows, key, list(order), [at, "breach"], lambda: {"active": False, "resolved": None}, step, _fields(alert=T.StringType(), active=T.BooleanType()))
+
+
 def checked_packets(rows: DataFrame, most_gap: int = 100, most_jump: int = 60 * 90_000, key: str = "stream_id", order: tuple[str, ...] = ("arrival_idx",)) -> DataFrame:
     """Adds problem for columns seq and rtp_ts: a sequence gap or a time jump beyond its limit
     rejects the row and leaves the state as it was."""

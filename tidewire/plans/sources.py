@@ -81,3 +81,14 @@ def source_validation(spark, sf_dir):
         "stream_id", "arrival_idx", F.when(e % 53 == 0, 1).otherwise(2).alias("version"), (F.lit(94) + e % 36).alias("payload_type"), F.when(e % 6 == 0, e % 48).alias("padding"),
         F.when(e % 47 == 0, 11).when(e % 59 == 0, 70_000).otherwise(F.lit(12) + e % 31).alias("bytes"), seq.alias("seq"), F.pmod(F.col("rtp_ts") + moved, F.lit(1 << 32)).alias("rtp_ts"))
     return folds.validated_source(rows).select("stream_id", "arrival_idx", "problem", "duration", "back")
+
+
+@add(247, sql=WITH.replace("WITH ", "WITH RECURSIVE ", 1) + """, f AS (SELECT stream_id, event_id, capture_us AS t, event_id % 7 < 3 AS breach, row_number() OVER (PARTITION BY stream_id ORDER BY capture_us, event_id) AS n FROM packets),
+r AS (SELECT stream_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS alert, false AS active, CAST(NULL AS BIGINT) AS resolved FROM f WHERE n = 1
+ UNION ALL SELECT stream_id, n, event_id, CASE WHEN up THEN 'raised' WHEN down THEN 'resolved' END, up OR was AND NOT down, CASE WHEN down THEN t ELSE resolved END FROM
+ (SELECT f.*, r.active AS was, r.resolved, f.breach AND NOT r.active AND (r.resolved IS NULL OR f.t - r.resolved > 150000) AS up, NOT f.breach AND r.active AS down FROM r JOIN f ON f.stream_id = r.stream_id AND f.n = r.n + 1) x)
+SELECT stream_id, event_id, alert, active FROM r WHERE n > 0""")
+def alert_cooldowns(spark, sf_dir):
+    """Threshold alerts raised and resolved, and silent for a while after they are resolved."""
+    rows = packets(spark, sf_dir).select("stream_id", "event_id", "capture_us", (F.col("event_id") % 7 < 3).alias("breach"))
+    return folds.alerts_with_cooldown(rows, 150_000).select("stream_id", "event_id", "alert", "active")
