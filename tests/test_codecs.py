@@ -341,3 +341,10 @@ def test_obu_frame_types(spark):
     df = spark.createDataFrame([(i, bytearray(d), "AV1") for i, (d, _) in enumerate(cases)], "i int, data binary, codec string")
     rows = df.select("i", boundaries.av1_frame_type(units.unit_kinds(F.col("data"), F.col("codec"))).alias("t")).orderBy("i").collect()
     assert [r.t for r in rows] == [t for _, t in cases]
+
+
+def test_codec_of_payloads(spark):
+    cases = [(b"\x40\x01", "HEVC"), (b"\x40\x00", None), (b"\x41\x00", "H264"), (b"\x7c\x85", "H264"), (b"\x62\x01", "HEVC"), (b"\x12\x00\x00\x00", "H264"), (b"\x20\x00\x01\x02", "AV1"), (b"\x20\x00\x01", None), (b"\xc1\x01", None), (b"\x41", None), (b"", None), (None, None)]
+    df = spark.createDataFrame([(i, 96, None if d is None else bytearray(d)) for i, (d, _) in enumerate(cases)] + [(len(cases), 97, bytearray(b""))], "i int, pt int, data binary")
+    known = F.create_map(F.lit(97), F.lit("AV1"))
+    assert [r.c for r in df.select("i", boundaries.payload_codec(F.col("data"), F.col("pt"), known).alias("c")).orderBy("i").collect()] == [*(c for _, c in cases), "AV1"]

@@ -170,3 +170,19 @@ def h264_frame_type(fields: Column) -> Column:
     kind = F.get(F.lit(["P", "B", "I", "P", "I"]), F.get(known, F.lit(0)) % 5)
     none = F.size(known) == 0
     return F.when(F.coalesce(intra, F.lit(False)), "IDR").when(has(H264_IDR) & none, "I").when(none & has(H264_SPS), "SPS").when(none & has(H264_PPS), "PPS").otherwise(F.coalesce(kind, F.lit("P")))
+
+
+#: HEVC types that H.264 lacks, H.264 types of payloads, AV1 types.
+HEVC_ONLY, H264_ANY, AV1_ANY = (32, 49), (1, 29), (1, 8)
+
+
+def payload_codec(data: Column, payload_type: Column, known: Column) -> Column:
+    """The codec of a payload (binary): what a session description says of its payload type (``known``, a map), else what its first
+    bytes look like: HEVC by types that H.264 lacks and a temporal id, H.264 by any of its types, AV1 by what is left; null if it is
+    none or has fewer than two bytes."""
+    h = F.hex(data)
+    head, second = number(h, 0, 1), number(h, 1, 1)
+    hevc = F.shiftright(head, 1).bitwiseAND(63).between(*HEVC_ONLY) & (second.bitwiseAND(7) > 0)
+    obu = F.shiftright(head, 3).bitwiseAND(15).between(*AV1_ANY) & (F.length(data) >= 4)
+    looks = F.when(hevc, "HEVC").when(head.bitwiseAND(31).between(*H264_ANY), "H264").when(obu, "AV1")
+    return F.coalesce(F.try_element_at(known, payload_type), F.when((head < 128) & second.isNotNull(), looks))

@@ -250,3 +250,13 @@ def chunked_checksums(spark, sf_dir):
     chunks = F.array(F.col("event_type"), F.col("event_id").cast("string"), F.expr("repeat(event_type, cast(event_id % 9 as int))"))
     parts = F.transform(chunks, lambda c: F.struct(F.crc32(c.cast("binary")).alias("crc"), F.octet_length(c).cast("long").alias("size")))
     return packets(spark, sf_dir).select("stream_id", "arrival_idx", chunked_crc(parts).alias("crc"))
+
+
+@add(44, sql=WITH + """, x AS (SELECT stream_id, arrival_idx, event_id % 256 AS a, event_id // 3 % 256 AS b, 1 + event_id % 5 AS n, 96 + event_id % 13 AS pt FROM packets)
+SELECT stream_id, arrival_idx, CASE pt WHEN 97 THEN 'H264' WHEN 100 THEN 'HEVC' ELSE CASE WHEN n < 2 OR a >= 128 THEN NULL WHEN a // 2 % 64 BETWEEN 32 AND 49 AND b % 8 > 0 THEN 'HEVC' WHEN a % 32 BETWEEN 1 AND 29 THEN 'H264' WHEN n >= 4 AND a // 8 % 16 BETWEEN 1 AND 8 THEN 'AV1' END END AS codec FROM x""")
+def payload_codecs(spark, sf_dir):
+    """Codecs of payloads of one to five bytes, by their payload type where a session names it, else by their first bytes."""
+    e = F.col("event_id")
+    data = F.unhex(F.concat(hexed(e % 256, 2), F.when(e % 5 > 0, hexed((F.floor(e / 3) % 256).cast("long"), 2)).otherwise(""), F.repeat(F.lit("00"), (e % 5 - 1).cast("int"))))
+    known = F.create_map(F.lit(97), F.lit("H264"), F.lit(100), F.lit("HEVC"))
+    return packets(spark, sf_dir).select("stream_id", "arrival_idx", boundaries.payload_codec(data, (F.lit(96) + e % 13).cast("int"), known).alias("codec"))
