@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.conftest import build
-from tidewire.llm import jaccard, mixing, secrets, substrings, wordhash
+from tests.llm.conftest import build, prose
+from tidewire.llm import jaccard, licenses, mixing, secrets, substrings, wordhash
 
 BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
 
@@ -118,3 +118,15 @@ def test_keys_change_what_meets():
     one, two = b"abcdefg", b"abcdefgh"
     seen = {int(np.subtract(*(wordhash.words(w, (k, 2 * k + 1))[0][0] for w in (one, two)))) for k in range(50)}
     assert len(seen) == 50
+
+
+def test_long_templates_are_found_in_themselves(spark):
+    r = np.random.default_rng(3)
+    words = [f"w{''.join(r.choice(list('abcdefgh'), 6))}" for _ in range(400)]
+    long, longer = " ".join(words[:99] + words[:60]), " ".join(words[50:400])
+    templates = [*licenses.TEMPLATES, (long, "long"), (longer, "longer")]
+    texts = {1: long, 2: prose(1, 1000) + " " + long + " " + prose(2, 777), 3: longer, 4: prose(4, 5000) + " " + longer, 5: " ".join(words[:79]), 6: " ".join(words[:78] + ["other"] * 21), 7: prose(5, 300), 8: "Licensed under the Apache License, Version 2.0", 9: None}
+    got = {x.doc_id: (set(x.labels), {(f["template"], f["block"]) for f in x.found}) for x in licenses.scan(build(spark, [(i, t, "en", "a") for i, t in texts.items()]), templates).collect()}
+    n = len(licenses.TEMPLATES)
+    assert [got[i][0] for i in range(1, 10)] == [{"long"}, {"long"}, {"longer"}, {"longer"}, set(), set(), set(), {"apache", "apache-2.0"}, set()]
+    assert got[1][1] == {(n, 0)} and (len(templates), licenses.width_of(long), licenses.width_of(longer), licenses.width_of("all rights reserved")) == (n + 2, 512, 1024, 64)

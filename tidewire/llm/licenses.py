@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join with license templates.
 
 A text block is a window of ``BLOCK`` words, a new one every ``STEP`` words, so that any passage of up to
-``STEP`` words lies whole in some block. A template is found in a block that holds at least ``PERCENT`` per cent
+``STEP`` words lies whole in some block. Templates of more words have blocks of their own, twice as long until they fit; a
+template is looked for in blocks of its width only. It is found in a block that holds at least ``PERCENT`` per cent
 of its distinct words. Words are ordered by their frequency over all documents, rarest first: with
 o words to be shared, a block that qualifies must hold one of the template's |T| - o + 1 rarest
 (prefix filter), must have o distinct words (length filter), and must have enough words left
@@ -10,8 +11,8 @@ behind the first shared one, on both sides (positional filter). What remains is
 Base phrases are found by the place of their words in the text; they always give their label. Where
 a template is found too, its own label is added.
 
-Defined cases: null counts as an empty text; a text without words has no labels and score 0;
-repeated rows get equal results; no rows give no rows; further columns are ignored.
+Defined cases: null counts as an empty text; a text without words has no labels and score 0; texts and templates of any length
+are taken whole; doc_ids may be null; repeated rows get equal results; no rows give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,13 +59,21 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r.w: r.n for r in rows}
 
 
+def width_of(template: str) -> int:
+    """Words of the blocks in which a template is looked for: the least width whose step holds it whole."""
+    width = BLOCK
+    while width // BLOCK * STEP < len(template.split()):
+        width *= 2
+    return width
+
+
 def prefixes(templates: list[tuple[str, str]], order: dict[str, int], percent: int) -> list[tuple]:
-    """(nr, label, words by order, words to share, prefix) of each template."""
+    """(nr, block width, words by order, words to share, prefix) of each template."""
     out = []
-    for nr, (text, label) in enumerate(templates):
+    for nr, (text, _) in enumerate(templates):
         words = sorted(set(text.split()), key=order.__getitem__)
         share = -(-percent * len(words) // 100)
-        out.append((nr, label, words, share, words[: len(words) - share + 1]))
+        out.append((nr, width_of(text), words, share, words[: len(words) - share + 1]))
     return out
 
 
@@ -77,16 +86,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
     plans = prefixes(templates, order, percent)
     rare = sorted({w for *_, p in plans for w in p})
+    widths = sorted({width for _, width, *_ in plans})
 
     words = words_of(ascii_lower(F.col("text")), WORD)
 
+    def told_of(w: Column, width: int) -> Column:
+        # of each block its width and number, the template words in it, the number of its distinct words
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(width // BLOCK * STEP)), lambda at: F.slice(w, at + 1, width))
+        return F.transform(blocks, lambda b, i: F.struct(F.lit(width).alias("width"), i.alias("block"), F.array_distinct(F.filter(b, lambda x: x.isin(vocabulary))).alias("words"), F.size(F.array_distinct(b)).alias("size")))
+
     def look(w: Column) -> Column:
         spots = [F.when(F.array_contains(w, phrase.split()[-1]), places(w, phrase)).otherwise(F.array().cast("array<int>")) for phrase, _ in PHRASES]
-        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(STEP)), lambda at: F.slice(w, at + 1, BLOCK))
-        # the order of a block's template words; its number of distinct words
-        told = F.transform(blocks, lambda b: F.struct(F.array_distinct(F.filter(b, lambda x: x.isin(vocabulary))).alias("words"), F.size(F.array_distinct(b)).alias("size")))
+        told = F.concat(*[told_of(w, width) for width in widths])
         some = F.arrays_overlap(w, F.array(*[F.lit(x) for x in rare]))
-        none = F.array().cast("array<struct<words:array<string>,size:int>>")
+        none = F.array().cast("array<struct<width:int,block:int,words:array<string>,size:int>>")
         return F.struct(F.size(w).cast("long").alias("n_words"), F.array(*spots).alias("spots"), F.when(some, told).otherwise(none).alias("blocks"))
 
     # the array of words is bound once, by a one-element transform
@@ -94,11 +107,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
     read = written(read, "license-words")
 
     ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    blocks = read.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", F.array_sort(F.transform("b.words", lambda w: F.struct(F.element_at(ranks, w).alias("rank"), w.alias("word")))).alias("ordered"), "b.size")
-    tokens = blocks.select("row", "block", "ordered", "size", F.posexplode("ordered").alias("at", "t")).select("row", "block", "ordered", "size", "at", F.col("t.word").alias("word"))
-    index = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', {nr}, {at}, {share}, array({', '.join(repr(x) for x in all_)}))" for nr, _, all_, share, pre in plans for at, w in enumerate(pre)) + " AS t(word, template, place, share, whole)")
+    blocks = read.select("row", F.explode("blocks").alias("b")).select("row", "b.width", "b.block", F.array_sort(F.transform("b.words", lambda w: F.struct(F.element_at(ranks, w).alias("rank"), w.alias("word")))).alias("ordered"), "b.size")
+    tokens = blocks.select("row", "width", "block", "ordered", "size", F.posexplode("ordered").alias("at", "t")).select("row", "width", "block", "ordered", "size", "at", F.col("t.word").alias("word"))
+    index = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', {width}, {nr}, {at}, {share}, array({', '.join(repr(x) for x in all_)}))" for nr, width, all_, share, pre in plans for at, w in enumerate(pre)) + " AS t(word, width, template, place, share, whole)")
     # the index has one row a prefix word of the fixed templates
-    met = tokens.join(F.broadcast(index), "word").filter(F.col("size") >= F.col("share"))
+    met = tokens.join(F.broadcast(index), ["word", "width"]).filter(F.col("size") >= F.col("share"))
     behind = 1 + F.least(F.size("whole") - F.col("place") - 1, F.size("ordered") - F.col("at") - 1)
     first = met.groupBy("row", "block", "template").agg(F.min(F.struct("at", "place", "share", behind.alias("behind"), "whole", "ordered")).alias("m")).filter("m.behind >= m.share")
     shared = F.size(F.array_intersect(F.transform("m.ordered", lambda x: x["word"]), F.col("m.whole")))
