@@ -348,3 +348,9 @@ def test_codec_of_payloads(spark):
     df = spark.createDataFrame([(i, 96, None if d is None else bytearray(d)) for i, (d, _) in enumerate(cases)] + [(len(cases), 97, bytearray(b""))], "i int, pt int, data binary")
     known = F.create_map(F.lit(97), F.lit("AV1"))
     assert [r.c for r in df.select("i", boundaries.payload_codec(F.col("data"), F.col("pt"), known).alias("c")).orderBy("i").collect()] == [*(c for _, c in cases), "AV1"]
+
+
+def test_coverage(spark):
+    r = parameters.coverage(_frames(spark, [[_pps(0, 2), _pps(1, 1)], [_sps(1)], [_pps(0, 1)], [_pps(3, 5)], [b"\x68"]])).first()
+    assert (r.picture_sets, r.covered, round(r.coverage, 4)) == (3, 2, 0.6667)
+    assert parameters.coverage(_frames(spark, [[_sps(1)]])).count() == 0

@@ -119,3 +119,13 @@ def fallbacks(frames: DataFrame) -> DataFrame:
     generic = F.struct(F.lit(GENERIC[0]).alias("quality"), F.lit("generic").alias("strategy"), F.lit(GENERIC[1]).alias("success"))
     ranked = F.array_max(F.array(F.when(fits, compatible), F.when(both, approximate), generic))
     return rows.select("stream_id", "arrival_idx", ranked.alias("best")).select("stream_id", "arrival_idx", "best.strategy", "best.quality", "best.success")
+
+
+def coverage(frames: DataFrame) -> DataFrame:
+    """stream_id, picture_sets, covered and coverage: of the numbers of picture sets that a stream has brought, those whose last set names
+    a sequence set that the stream has brought too."""
+    read = _read(frames)
+    pps = _sets(read, H264_PPS).groupBy("stream_id", "pps").agg(F.max_by("sps", F.struct("arrival_idx", "place")).alias("sps"))
+    sps = _sets(read, H264_SPS).select("stream_id", "sps").distinct().withColumn("there", F.lit(True))
+    found = pps.join(sps, ["stream_id", "sps"], "left").groupBy("stream_id").agg(F.count(F.lit(1)).alias("picture_sets"), F.count("there").alias("covered"))
+    return found.withColumn("coverage", F.col("covered") / F.col("picture_sets"))

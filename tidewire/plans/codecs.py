@@ -260,3 +260,11 @@ def payload_codecs(spark, sf_dir):
     data = F.unhex(F.concat(hexed(e % 256, 2), F.when(e % 5 > 0, hexed((F.floor(e / 3) % 256).cast("long"), 2)).otherwise(""), F.repeat(F.lit("00"), (e % 5 - 1).cast("int"))))
     known = F.create_map(F.lit(97), F.lit("H264"), F.lit(100), F.lit("HEVC"))
     return packets(spark, sf_dir).select("stream_id", "arrival_idx", boundaries.payload_codec(data, (F.lit(96) + e % 13).cast("int"), known).alias("codec"))
+
+
+@add(151, sql=_F + """, p AS (SELECT stream_id, pps_set, arg_max(refers, arrival_idx) AS sps FROM n WHERE pps_set IS NOT NULL GROUP BY ALL), k AS (SELECT DISTINCT stream_id, sps_set FROM n WHERE sps_set IS NOT NULL)
+SELECT p.stream_id, count(*) AS picture_sets, count(k.sps_set) AS covered, count(k.sps_set) / count(*) AS coverage FROM p LEFT JOIN k ON k.stream_id = p.stream_id AND k.sps_set = p.sps GROUP BY p.stream_id""")
+def parameter_coverage(spark, sf_dir):
+    """The share of each stream's picture sets whose sequence set is there."""
+    shipped(spark)
+    return parameters.coverage(_frames(spark, sf_dir))
