@@ -24,6 +24,12 @@ def hexed(value: Column, digits: int) -> Column:
     return F.lpad(F.hex(value), digits, "0")
 
 
+def hexed_whole(value: Column, digits: int) -> Column:
+    """At least so many digits (an even number), more where the number has more, always in whole bytes."""
+    h = F.hex(value)
+    return F.lpad(h, F.greatest(F.lit(digits), F.length(h) + F.length(h) % 2), "0")
+
+
 def ts_header(pid: Column, counter: Column, starts: Column) -> Column:
     """The four bytes that begin a transport packet with payload only."""
     second = F.shiftright(pid, 8) + F.when(starts, 0x40).otherwise(0)
