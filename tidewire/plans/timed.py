@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import machines
 from tidewire.sources.projections import packets
-from tidewire.sources.session import shared_folder
+from tidewire.sources.session import kept, shared_folder
 from tidewire.streaming import keyed, live
 
 from .base import WITH, Catalogue
@@ -22,6 +22,8 @@ add = CATALOGUE.add
 
 #: Parts of a stream, how far they overlap, how late rows may be.
 PARTS, OVERLAP_US, LATE_MS = 6, 150_000, 250
+#: Rows of a part that go to one of its files.
+FILE_ROWS = 500_000
 _BUFFER = partial(machines.JitterBuffer, most=3, delay_us=90_000)
 _RECOVERY = partial(machines.Recovery, wait_us=200_000, most_us=300_000)
 
@@ -42,17 +44,24 @@ def errors(spark, sf_dir) -> DataFrame:
 
 def streamed(rows: DataFrame) -> DataFrame:
     """``rows`` as a stream: parts by time, written one after the other and read one a batch; a fifth of the rows comes in a part
-    that is up to ``OVERLAP_US`` late."""
+    that is up to ``OVERLAP_US`` late. All parts have the same number of files, which follows the rows, so that a batch is
+    a part and no part passes one task."""
     spark = rows.sparkSession
     to = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
-    low, high = rows.agg(F.min("capture_us"), F.max("capture_us")).first()
+    low, high, n = rows.agg(F.min("capture_us"), F.max("capture_us"), F.count(F.lit(1))).first()
+    files = 1 + n // (PARTS * FILE_ROWS)
     at = F.col("capture_us") + F.when(F.col("event_id") % 5 == 0, OVERLAP_US).otherwise(0)
     part = F.floor((at - (low or 0)) * PARTS / ((high or 0) - (low or 0) + OVERLAP_US + 1)).cast("int")
-    held = rows.withColumn("part", part)
+    held, none, known = rows.withColumn("part", part), spark.createDataFrame([], rows.schema), 0
     for k in range(PARTS):
-        held.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(to)
+        of_part = held.filter(F.col("part") == k).drop("part")
+        (of_part.coalesce(1) if files == 1 else of_part.repartition(files)).write.mode("append").parquet(to)
+        while files > 1 and len(spark.read.schema(rows.schema).parquet(to).inputFiles()) < known + files:
+            # tasks without rows write no file
+            none.coalesce(1).write.mode("append").parquet(to)
+        known += files
         time.sleep(0.02)  # files are read in the order of their times
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(to)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(to)
 
 
 def passed(outcomes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -89,7 +98,7 @@ def jitter_buffer(spark, sf_dir):
 @add(171, 188, 189, sql=_J + _PASSED.format(rows="a"))
 def stream_jitter_buffer(spark, sf_dir):
     """The same over a stream of unordered parts, up to its watermark."""
-    rows = buffered(spark, sf_dir)
+    rows = kept(buffered(spark, sf_dir))
     found, _ = live.watched(keyed.timed(streamed(rows), _BUFFER, f"{LATE_MS} milliseconds"), provider=keyed.PROVIDER)
     return told(machines.JitterBuffer, passed(found.drop("batch"), rows))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shipped(spark: SparkSession) -> SparkSession:
@@ -33,3 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
         known = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, computed once and read from the shared folder by all jobs that follow."""
+    to = f"{shared_folder(rows.sparkSession)}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(to)
+    return rows.sparkSession.read.schema(rows.schema).parquet(to)
