@@ -125,6 +125,6 @@ def recovery_states(spark, sf_dir):
 @add(238, sql=_R + _PASSED.format(rows="j"))
 def stream_recovery_states(spark, sf_dir):
     """The same over a stream, whose waits run out by timers."""
-    rows = errors(spark, sf_dir)
+    rows = kept(errors(spark, sf_dir))
     found, _ = live.watched(keyed.timed(streamed(rows), _RECOVERY, f"{LATE_MS} milliseconds"), provider=keyed.PROVIDER)
     return told(machines.Recovery, passed(found.drop("batch"), rows))
