@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions import wire
+from tidewire.functions import parsing, wire
 from tidewire.plans import catalogue
 
 from .compare import same
@@ -31,3 +31,11 @@ def test_whole_bytes(spark):
     values = [0, 0xFFFF, 0x10000, 0xFFFFF, 0x100000, 0xFFFFFF, 0x1000000]
     found = spark.createDataFrame([(v,) for v in values], "v long").select(wire.hexed_whole(F.col("v"), 4)).collect()
     assert [x[0] for x in found] == ["0000", "FFFF", "010000", "0FFFFF", "100000", "FFFFFF", "01000000"]
+
+
+def test_bits_are_made_once(spark):
+    texts = ["1", "10101010", "111100001", "0" * 40 + "1"]
+    df = spark.createDataFrame([(t,) for t in texts], "bits string").select(parsing.bits_to_hex(F.col("bits")).alias("h"))
+    assert [x.h for x in df.collect()] == [int(t.ljust(-(-len(t) // 8) * 8, "0"), 2).to_bytes(-(-len(t) // 8)).hex().upper() for t in texts]
+    body = df._jdf.queryExecution().analyzed().toString().split("lambdafunction(", 1)[1].split("lambda ", 1)[0]
+    assert "bits#" not in body  # else the whole string is computed for each of its bytes

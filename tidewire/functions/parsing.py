@@ -36,9 +36,9 @@ def size(h: Column) -> Column:
 
 def bits_to_hex(bits: Column) -> Column:
     """A string of bits, filled up with zeros, in hexadecimal."""
-    n = F.ceil(F.length(bits) / 8).cast("int")
-    full = F.rpad(bits, n * 8, "0")
-    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.conv(F.substring(full, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
+    full = F.rpad(bits, F.ceil(F.length(bits) / 8).cast("int") * 8, "0")
+    # the function of each byte must not name the string, which would be made again for every byte
+    return F.array_join(F.transform(F.regexp_extract_all(full, F.lit("([01]{8})")), lambda b: F.lpad(F.conv(b, 2, 16), 2, "0")), "")
 
 
 # Transport packets and their tables

@@ -97,18 +97,11 @@ def signed_golomb(ue: Column) -> Column:
 @pandas_udf(T.BinaryType())
 def escaped(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A payload in which no start code can occur: 3 after two zeros before 0 to 3."""
-    def one(data: bytes) -> bytes:
-        out, zeros = bytearray(), 0
-        for b in data:
-            if zeros >= 2 and b <= 3:
-                out.append(3)
-                zeros = 0
-            out.append(b)
-            zeros = zeros + 1 if b == 0 else 0
-        return bytes(out)
+    import re
 
+    pattern = re.compile(rb"\x00\x00(?=[\x00-\x03])")
     for s in payloads:
-        yield s.map(one, na_action="ignore")
+        yield s.map(lambda d: pattern.sub(b"\x00\x00\x03", d), na_action="ignore")
 
 
 @pandas_udf(T.BinaryType())
